@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import decontaminate, grammar_shards, host_rules, langid
+from . import count_vectors, decontaminate, grammar_shards, host_rules, langid
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language_id": langid.op2_language_id,
     "op3_host_rules": host_rules.op3_host_rules,
+    "op4_jaccard_components": count_vectors.op4_jaccard_components,
     "op5_grammar_shards": grammar_shards.op5_grammar_shards,
 }
 SQL = {
