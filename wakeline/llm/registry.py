@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import count_vectors, decontaminate, grammar_shards, host_rules, langid
+from . import count_vectors, decontaminate, grammar_shards, host_rules, langid, repeats
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_jaccard_components": count_vectors.op4_jaccard_components,
     "op5_grammar_shards": grammar_shards.op5_grammar_shards,
+    "op10_repeats": repeats.op10_repeats,
 }
 SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
