@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import count_vectors, decontaminate, grammar_shards, host_rules, langid, repeats
+from . import count_vectors, decontaminate, grammar_shards, host_rules, langid, mixture, repeats, url_lists
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -8,9 +8,13 @@ QUERIES = {
     "op3_host_rules": host_rules.op3_host_rules,
     "op4_jaccard_components": count_vectors.op4_jaccard_components,
     "op5_grammar_shards": grammar_shards.op5_grammar_shards,
+    "op6_url_lists": url_lists.op6_url_lists,
+    "op8_mixture": mixture.op8_mixture,
     "op10_repeats": repeats.op10_repeats,
 }
 SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op3_host_rules": host_rules.OP3_SQL,
+    "op6_url_lists": url_lists.OP6_SQL,
+    "op8_mixture": mixture.OP8_SQL,
 }
