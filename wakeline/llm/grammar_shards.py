@@ -39,7 +39,7 @@ from .tokens import WORD_BPE, encoder
 
 END_ID, FIRST_RULE = 1, 49408
 BLOCK_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST = 6, 2500, 4
+ROUNDS, RULES_A_ROUND, LEAST = 4, 4000, 4
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -51,26 +51,30 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_A_ROU
             break
         code = seq[:-1].astype(np.uint32) << 16 | seq[1:]
         order = np.sort(code)
-        cuts = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        count = np.diff(np.concatenate([cuts, [len(order)]]))
-        pairs = order[cuts]
-        good = np.flatnonzero((count >= least) & (pairs >> 16 != end_id) & (pairs & 0xFFFF != end_id))
-        good = good[np.lexsort((pairs[good], -count[good]))][: min(per_round, room)]
+        cuts = np.flatnonzero(order[1:] != order[:-1]) + 1
+        count = np.diff(cuts, prepend=0, append=len(order))
+        pairs = order[np.concatenate([[0], cuts])]
+        good = np.flatnonzero(count >= least)
+        good = good[(pairs[good] >> 16 != end_id) & (pairs[good] & 0xFFFF != end_id)]
+        good = good[np.argsort(-count[good], kind="stable")][: min(per_round, room)]
         if not len(good):
             break
-        chosen = np.sort(pairs[good])
-        left, right = np.zeros(65536, bool), np.zeros(65536, bool)
-        left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        place = np.minimum(np.searchsorted(chosen, code[at]), len(chosen) - 1)
+        chosen = pairs[good][::-1]
+        # a small table finds chosen pairs; of two in one slot the more frequent stays, the other waits for the next round
+        slot = np.full(1 << 18, -1, np.int32)
+        slot[chosen * np.uint32(2654435761) >> 14] = np.arange(len(chosen), dtype=np.int32)
+        place = slot[code * np.uint32(2654435761) >> 14]
+        at = np.flatnonzero(place >= 0)
+        place = place[at]
         hit = chosen[place] == code[at]
         at, place = at[hit], place[hit]
         # of pairs that overlap in a row, the first, third, ... are taken
         head = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
         nth = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at, place = at[nth % 2 == 0], place[nth % 2 == 0]
-        used, place = np.unique(place, return_inverse=True)
-        seq[at] = FIRST_RULE + len(rules) + place
+        seen = np.bincount(place, minlength=len(chosen)) > 0
+        used, number = np.flatnonzero(seen), np.cumsum(seen) - 1
+        seq[at] = FIRST_RULE + len(rules) + number[place]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -82,27 +86,25 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_A_ROU
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, start, length) of the expansion of each symbol: terminals stand for themselves."""
     start = np.arange(FIRST_RULE + len(rules), dtype=np.int64)
-    size = np.ones(FIRST_RULE + len(rules), np.int64)
-    flat, used = [np.arange(FIRST_RULE, dtype=np.uint16)], FIRST_RULE
-    known: list[np.ndarray] = []
-    for i, (a, b) in enumerate(rules.astype(np.int64).tolist()):
-        own = np.concatenate([known[x - FIRST_RULE] if x >= FIRST_RULE else np.array([x], np.uint16) for x in (a, b)])
-        known.append(own)
-        flat.append(own)
-        start[FIRST_RULE + i], size[FIRST_RULE + i] = used, len(own)
-        used += len(own)
-    return np.concatenate(flat), start, size
+    size = np.zeros(FIRST_RULE + len(rules), np.int64)
+    size[:FIRST_RULE] = 1
+    flat, sides = np.arange(FIRST_RULE, dtype=np.uint16), rules.astype(np.int64).reshape(-1, 2)
+    while True:  # a round for each level of rules
+        ready = np.flatnonzero((size[FIRST_RULE:] == 0) & (size[sides] > 0).all(1))
+        if not len(ready):
+            return flat, start, size
+        both = sides[ready].ravel()
+        own = size[both].reshape(-1, 2).sum(1)
+        start[FIRST_RULE + ready] = len(flat) + np.cumsum(own) - own
+        flat = np.concatenate([flat, flat[B.ragged(start[both], size[both])]])
+        size[FIRST_RULE + ready] = own
 
 
 def pack(ids: np.ndarray, lens: np.ndarray) -> bytes:
     """The payload of documents of lens ids each, every one with its end id."""
     seq, rules = compress(ids)
-    ends = np.flatnonzero(seq == END_ID) + 1
-    if len(ends) != len(lens):  # the end id is also an ordinary id of the vocabulary
-        _, _, size = expansions(rules)
-        ends = np.searchsorted(np.cumsum(size[seq]), np.cumsum(lens)) + 1
-    first = np.concatenate([[0], ends]).astype("<u4")
     _, _, size = expansions(rules)
+    first = np.concatenate([[0], np.searchsorted(np.cumsum(size[seq]), np.cumsum(lens)) + 1]).astype("<u4")
     return b"WRP1" + struct.pack("<3I", len(lens), len(rules), len(seq)) + rules.astype("<u2").tobytes() + size[FIRST_RULE:].astype("<u4").tobytes() + first.tobytes() + seq.astype("<u2").tobytes()
 
 

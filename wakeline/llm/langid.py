@@ -33,6 +33,7 @@ from .tables import read, settled
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANG = 1500
 ROUNDS = 3
+TASKS = 12
 MAX_WORD, MAX_PIECE = 32, 16
 BYTE_P, CACHE = 1e-7, 400_000
 MARK = 0x5F  # begins each word
@@ -187,7 +188,8 @@ def learn(labelled: DataFrame, vocabulary: str = VOCABULARY, docs_per_lang: int
                     yield pa.RecordBatch.from_arrays([pa.array(lang[words.row[one]], pa.int32()), pa.array(text, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     table = drawn.select("lang", F.col("text").cast("string")).mapInArrow(count_words, "lang int, word binary, n long")
-    table = settled(table.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    # the sample is bounded, and so is its word table: a few tasks, as each one sends sums of all pieces
+    table = settled(table.groupBy("lang", "word").agg(F.sum("n").alias("n")).coalesce(TASKS))
     t = trie(vocabulary)
     n_pieces = int(t.piece.max()) + 1
     p = np.full((n_pieces, len(langs)), 1 / n_pieces)
