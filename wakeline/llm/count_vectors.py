@@ -35,7 +35,7 @@ from . import buffers as B
 from .components import components
 from .tables import read, settled
 
-SHINGLE, GROUPS, LEAF, BLOCK = 5, 64, 32, 50_000
+SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 50_000
 BROADCAST_ROWS = 2_000_000  # 16 MB of ids
 
 
@@ -67,10 +67,15 @@ def set_marks(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def points(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Counts of each row's shingles by hash group."""
+    """Counts of each row's shingles by hash group, as bytes; what is over 255 is left to slack()."""
     group = (B.mixed(value) % B.U(GROUPS)).astype(np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return np.bincount(row * GROUPS + group, minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
+    return np.bincount(row * GROUPS + group, minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS).clip(max=255).astype(np.uint8)
+
+
+def slack(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shingles that the bytes of a point don't show."""
+    return sizes - vectors.sum(1, dtype=np.int64)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -100,9 +105,12 @@ def signatures(documents: DataFrame, full: bool) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
 
 
-def allowed(a: np.ndarray, b: np.ndarray, a_min: np.ndarray, b_min: np.ndarray) -> np.ndarray:
-    """Whether the summed coordinate minima allow a link between sets (or nodes) of at least these sizes."""
-    return 9 * np.minimum(a, b).sum(1, dtype=np.int64) >= 4 * (a_min + b_min)
+def allowed(a: np.ndarray, b: np.ndarray, a_min: np.ndarray, b_min: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """Whether the summed coordinate minima allow a link between sets (or nodes) of at least these sizes.
+
+    hidden: the smaller slack of the two.
+    """
+    return 9 * (np.minimum(a, b).sum(1, dtype=np.int64) + hidden) >= 4 * (a_min + b_min)
 
 
 class RTree:
@@ -111,15 +119,16 @@ class RTree:
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, leaf: int = LEAF):
         spread = vectors.astype(np.int64) @ (B.mixed(np.arange(vectors.shape[1], dtype=np.uint64)) % B.U(1000)).astype(np.int64)
         self.order = np.lexsort((spread, sizes))
-        level = (vectors[self.order], sizes[self.order], sizes[self.order], component[self.order])
+        hidden = slack(vectors, sizes)[self.order]
+        level = (vectors[self.order], sizes[self.order], sizes[self.order], component[self.order], hidden)
         self.levels, self.leaf = [level], leaf
         while len(level[1]) > leaf:
             cut = np.arange(0, len(level[1]), leaf)
             one, other = np.minimum.reduceat(level[3], cut), np.maximum.reduceat(level[3], cut)
-            level = (np.maximum.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut), np.where(one == other, one, -1))
+            level = (np.maximum.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut), np.where(one == other, one, -1), np.maximum.reduceat(level[4], cut))
             self.levels.append(level)
 
-    def pairs(self, step: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points (by their place in the input) that may link and lie in different components."""
         n = len(self.levels[-1][1])
         i, j = np.triu_indices(n)
@@ -129,10 +138,10 @@ class RTree:
             if len(i) > step:
                 stack += [(at, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
                 continue
-            vectors, low, high, component = self.levels[at]
+            vectors, low, high, component, hidden = self.levels[at]
             ok = (5 * high[j] >= 4 * low[i]) & (5 * high[i] >= 4 * low[j]) & ((component[i] != component[j]) | (component[i] < 0))
             i, j = i[ok], j[ok]
-            ok = allowed(vectors[i], vectors[j], low[i], low[j])
+            ok = allowed(vectors[i], vectors[j], low[i], low[j], np.minimum(hidden[i], hidden[j]))
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
@@ -183,18 +192,19 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
         def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             key, own, component, n = (t.column(i).to_numpy() for i in range(4))
-            vectors = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint32).reshape(-1, GROUPS)
+            vectors = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, GROUPS)
+            hidden = slack(vectors, n)
             cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
             size = np.diff(cuts)
             # small keys: all their pairs at once; each is a single leaf
             small = np.flatnonzero((size > 1) & (size <= LEAF))
             out = []
-            for part in np.array_split(small, max(1, len(small) // 500)):
+            for part in np.array_split(small, max(1, len(small) // 200)):
                 left = np.repeat(B.ragged(cuts[part], size[part]), np.repeat(size[part], size[part]))
                 right = B.ragged(np.repeat(cuts[part], size[part]), np.repeat(size[part], size[part]))
                 ok = (left < right) & (component[left] != component[right]) & (5 * n[left] >= 4 * n[right]) & (5 * n[right] >= 4 * n[left])
                 left, right = left[ok], right[ok]
-                ok = allowed(vectors[left], vectors[right], n[left], n[right])
+                ok = allowed(vectors[left], vectors[right], n[left], n[right], np.minimum(hidden[left], hidden[right]))
                 out.append((own[left[ok]], own[right[ok]]))
             for g in np.flatnonzero(size > LEAF):
                 at = slice(cuts[g], cuts[g + 1])
@@ -266,8 +276,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS) for i in (4, 5))
-            yield batch.select(["a", "b"]).filter(pa.array((5 * n >= 4 * m) & (5 * m >= 4 * n) & allowed(x, y, n, m)))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (4, 5))
+            yield batch.select(["a", "b"]).filter(pa.array((5 * n >= 4 * m) & (5 * m >= 4 * n) & allowed(x, y, n, m, np.minimum(slack(x, n), slack(y, m)))))
 
     own = classes.select("id", "n", "point")
     both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
