@@ -1,8 +1,74 @@
-"""A corpus pipeline in five stages."""
+"""A corpus pipeline in five stages, each over all that the stage before kept.
 
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the
+shared folder and reads it again as the next stage's docs. All but the last return the columns of
+documents. ORACLE_SQL is None: SQL can express neither the language model nor the tokenizer;
+tests/llm compares run() with a brute-force version.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wakeline.llm import count_vectors, decontaminate, grammar_shards, langid, mixture
+from wakeline.llm.tables import read, shared_dir, settled
+from wakeline.shipping import ship
+
+MIN_SCORE, TOKEN_SHARE = 0.5, 0.8
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of no language (no letter) or a score under MIN_SCORE."""
+    ship(spark)
+    found = langid.identify(docs, docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each component; of rows with that doc_id, one."""
+    ship(spark)
+    found = settled(count_vectors.jaccard_components(docs))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    ids = first.distinct()
+    kept = docs.join(count_vectors.small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept if first.count() == ids.count() else kept.dropDuplicates(["doc_id"])
+
+
+def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.remove_contamination(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """TOKEN_SHARE of all tokens, with equal weights in the tree of domain, language and source; no document twice."""
+    ship(spark)
+    return mixture.mix(docs, TOKEN_SHARE, max_epochs=1).where("copies > 0").select(*docs.columns)
+
+
+def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    grammar_shards.write_shards(docs, path)
+    return grammar_shards.read_shards(spark, path)
+
+
+STAGES = [
+    ("language_id", keep_known_language),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("decontamination", drop_benchmark_documents),
+    ("mixing", mix_sources),
+    ("token_shards", write_token_shards),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return docs

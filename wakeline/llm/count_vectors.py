@@ -236,7 +236,7 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("key", "id", "component", "n", "point").repartition("key").sortWithinPartitions("key").mapInArrow(groups, "a long, b long").distinct()
 
 
-def _small(ids: DataFrame) -> DataFrame:
+def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
@@ -253,7 +253,7 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 body = pa.array([value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), body], ["id", "shingles"]).filter(pa.array(same))
 
-    wanted = _small(ids.withColumnRenamed("doc_id", "_doc"))
+    wanted = small(ids.withColumnRenamed("doc_id", "_doc"))
     texts = documents.select("doc_id", F.col("text").cast("string")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "lo", "text")
     own = settled(texts.mapInArrow(sets, "id long, shingles binary"))
 

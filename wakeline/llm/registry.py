@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import count_vectors, decontaminate, grammar_shards, host_rules, langid, mixture, repeats, url_lists
+from . import count_vectors, decontaminate, edit_counts, grammar_shards, host_rules, langid, licenses, mixture, repeats, url_lists
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -9,7 +9,9 @@ QUERIES = {
     "op4_jaccard_components": count_vectors.op4_jaccard_components,
     "op5_grammar_shards": grammar_shards.op5_grammar_shards,
     "op6_url_lists": url_lists.op6_url_lists,
+    "op7_edit_counts": edit_counts.op7_edit_counts,
     "op8_mixture": mixture.op8_mixture,
+    "op9_licenses": licenses.op9_licenses,
     "op10_repeats": repeats.op10_repeats,
 }
 SQL = {
