@@ -12,7 +12,8 @@ intersection is at least 4 times the sum of their sizes (a similarity of 0.8).
    large groups of near copies in linear work.
 4. Under keys that still hold several components, the points are packed into an R-tree, whose
    self-join descends only into node pairs that the bound and the sizes allow and that are not
-   wholly of one component. Surviving pairs are verified exactly, and the components joined.
+   wholly of one component. Surviving pairs are verified exactly and the components joined: first
+   the most promising pair of each component, in the end all pairs that still lie apart.
 
 Texts reach a shuffle only for classes that have a candidate, and only if their ids are too many
 for a broadcast of checked size.
@@ -186,7 +187,10 @@ def shared_keys(postings: DataFrame) -> DataFrame:
 
 
 def tree_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) of ids that share a key, have different components and pass the bound; rows: key, id, component, n, point."""
+    """(a, b, score) of ids that share a key, have different components and pass the bound; rows: key, id, component, n, point.
+
+    score is the bound in thousandths of the sizes' sum.
+    """
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,15 +209,16 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
                 ok = (left < right) & (component[left] != component[right]) & (5 * n[left] >= 4 * n[right]) & (5 * n[right] >= 4 * n[left])
                 left, right = left[ok], right[ok]
                 ok = allowed(vectors[left], vectors[right], n[left], n[right], np.minimum(hidden[left], hidden[right]))
-                out.append((own[left[ok]], own[right[ok]]))
+                out.append((left[ok], right[ok]))
             for g in np.flatnonzero(size > LEAF):
                 at = slice(cuts[g], cuts[g + 1])
                 for a, b in RTree(vectors[at], n[at], component[at]).pairs():
-                    out.append((own[at][a], own[at][b]))
+                    out.append((cuts[g] + a, cuts[g] + b))
             a, b = (np.concatenate([x[i] for x in out] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            for k in range(0, len(both), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(both[k : k + 100_000, 0]), pa.array(both[k : k + 100_000, 1])], ["a", "b"])
+            for k in range(0, len(a), 50_000):
+                i, j = a[k : k + 50_000], b[k : k + 50_000]
+                score = 1000 * (np.minimum(vectors[i], vectors[j]).sum(1, dtype=np.int64) + np.minimum(hidden[i], hidden[j])) // (n[i] + n[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], own[j])), pa.array(np.maximum(own[i], own[j])), pa.array(score)], ["a", "b", "score"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:  # cut where a key ends, so that each is whole
@@ -233,7 +238,7 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from joined(held)
 
-    return rows.select("key", "id", "component", "n", "point").repartition("key").sortWithinPartitions("key").mapInArrow(groups, "a long, b long").distinct()
+    return rows.select("key", "id", "component", "n", "point").repartition("key").sortWithinPartitions("key").mapInArrow(groups, "a long, b long, score long").distinct()
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -311,12 +316,21 @@ def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     links = settled(verified(settled(_bounded(stars, classes)), classes, documents))
     found = components(links)
     named = shared.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    sums = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), *sums).where("x != y")
+    open_keys = open_keys.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key")  # of keys with the same ids, one
     rows = named.join(open_keys, "key", "left_semi").join(classes.select("id", "n", "point"), "id")
     rest = settled(tree_pairs(rows))
-    more = settled(verified(rest, classes, documents))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    for last in (False, False, True):
+        apart = rest.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left").select("a", "b", "score", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x != y")
+        if not last:  # first the most promising pair of each component: what it joins needs no more checks inside
+            both = apart.select("x", "a", "b", "score").unionByName(apart.select(F.col("y").alias("x"), "a", "b", "score"))
+            apart = both.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        apart = settled(apart.select("a", "b"))
+        if apart.isEmpty():
+            break
+        links = settled(links.unionByName(verified(apart, classes, documents)))
+        found = components(links)
     own = classes.select("n", "lo", "hi", "doc_id", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = own.join(least, "component").select("n", "lo", "hi", "component_id")
