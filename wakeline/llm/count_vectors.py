@@ -67,11 +67,48 @@ def set_marks(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
         return tuple(B.row_sums(B.mixed(value ^ B.U(c)).view(np.int64), first) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
 
-def points(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+def groups_of(n: int) -> int:
+    """Groups for a set of n: 256, and for longer sets a power of two of at least a sixteenth of n."""
+    return GROUPS if n <= 16 * GROUPS else 1 << (-(-n // 16) - 1).bit_length()
+
+
+def points(value: np.ndarray, first: np.ndarray) -> list[bytes]:
     """Counts of each row's shingles by hash group, as bytes; what is over 255 is left to slack()."""
-    group = (B.mixed(value) % B.U(GROUPS)).astype(np.int64)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return np.bincount(row * GROUPS + group, minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS).clip(max=255).astype(np.uint8)
+    spread = B.mixed(value)
+    n = np.diff(first)
+    group = (spread % B.U(GROUPS)).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    base = np.bincount(row * GROUPS + group, minlength=len(n) * GROUPS).reshape(-1, GROUPS).clip(max=255).astype(np.uint8)
+    out = [r.tobytes() for r in base]
+    for r in np.flatnonzero(n > 16 * GROUPS):
+        size = groups_of(int(n[r]))
+        own = (spread[first[r] : first[r + 1]] % B.U(size)).astype(np.int64)
+        out[r] = np.bincount(own, minlength=size).clip(max=255).astype(np.uint8).tobytes()
+    return out
+
+
+def folded(point: bytes, size: int) -> np.ndarray:
+    """A point over fewer groups."""
+    x = np.frombuffer(point, np.uint8)
+    return x if len(x) == size else x.reshape(-1, size).sum(0, dtype=np.int64)
+
+
+def base_points(stored: list[bytes]) -> np.ndarray:
+    """All points over GROUPS groups, as bytes."""
+    return np.frombuffer(b"".join(p if len(p) == GROUPS else folded(p, GROUPS).clip(max=255).astype(np.uint8).tobytes() for p in stored), np.uint8).reshape(-1, GROUPS)
+
+
+def finer(stored: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of points, those that the bound over all their groups allows; matters for long sets only."""
+    long = np.fromiter((len(p) > GROUPS for p in stored), bool, len(stored))
+    ok = np.ones(len(i), bool)
+    for k in np.flatnonzero(long[i] & long[j]).tolist():
+        x, y = stored[i[k]], stored[j[k]]
+        size = min(len(x), len(y))
+        a, b, n, m = folded(x, size), folded(y, size), int(sizes[i[k]]), int(sizes[j[k]])
+        hidden = min(n - int(a.sum(dtype=np.int64)), m - int(b.sum(dtype=np.int64)))
+        ok[k] = 9 * (int(np.minimum(a, b).sum(dtype=np.int64)) + hidden) >= 4 * (n + m)
+    return ok
 
 
 def slack(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -83,10 +120,6 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - -(-4 * n // 5) + 1, 0)
 
 
-def _binaries(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
-
-
 def signatures(documents: DataFrame, full: bool) -> DataFrame:
     """doc_id, n, lo and hi (the hash of the set); with full also the prefix keys and the point."""
     schema = "doc_id long, n long, lo long, hi long" + ", keys array<long>, point binary" * full
@@ -100,7 +133,7 @@ def signatures(documents: DataFrame, full: bool) -> DataFrame:
                 if full:
                     size = prefix_size(n)
                     keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(value[B.ragged(first[:-1], size)].view(np.int64)))
-                    cols += [keys, _binaries(points(value, first))]
+                    cols += [keys, pa.array(points(value, first), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
@@ -196,7 +229,8 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
         def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             key, own, component, n = (t.column(i).to_numpy() for i in range(4))
-            vectors = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, GROUPS)
+            stored = t.column(4).to_pylist()
+            vectors = base_points(stored)
             hidden = slack(vectors, n)
             cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
             size = np.diff(cuts)
@@ -209,11 +243,15 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
                 ok = (left < right) & (component[left] != component[right]) & (5 * n[left] >= 4 * n[right]) & (5 * n[right] >= 4 * n[left])
                 left, right = left[ok], right[ok]
                 ok = allowed(vectors[left], vectors[right], n[left], n[right], np.minimum(hidden[left], hidden[right]))
+                left, right = left[ok], right[ok]
+                ok = finer(stored, n, left, right)
                 out.append((left[ok], right[ok]))
             for g in np.flatnonzero(size > LEAF):
                 at = slice(cuts[g], cuts[g + 1])
                 for a, b in RTree(vectors[at], n[at], component[at]).pairs():
-                    out.append((cuts[g] + a, cuts[g] + b))
+                    a, b = cuts[g] + a, cuts[g] + b
+                    ok = finer(stored, n, a, b)
+                    out.append((a[ok], b[ok]))
             a, b = (np.concatenate([x[i] for x in out] or [np.zeros(0, np.int64)]) for i in (0, 1))
             for k in range(0, len(a), 50_000):
                 i, j = a[k : k + 50_000], b[k : k + 50_000]
@@ -281,8 +319,12 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (4, 5))
-            yield batch.select(["a", "b"]).filter(pa.array((5 * n >= 4 * m) & (5 * m >= 4 * n) & allowed(x, y, n, m, np.minimum(slack(x, n), slack(y, m)))))
+            stored = batch.column(4).to_pylist() + batch.column(5).to_pylist()
+            x, y = base_points(stored[: len(n)]), base_points(stored[len(n) :])
+            i = np.arange(len(n))
+            ok = (5 * n >= 4 * m) & (5 * m >= 4 * n) & allowed(x, y, n, m, np.minimum(slack(x, n), slack(y, m)))
+            ok[ok] = finer(stored, np.concatenate([n, m]), i[ok], i[ok] + len(n))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     own = classes.select("id", "n", "point")
     both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
