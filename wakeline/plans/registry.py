@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import queries_budget, queries_report
+from .views import oracle
+
+MODULES = [queries_report, queries_budget]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle(sql) for m in MODULES for name, sql in m.SQL.items()}

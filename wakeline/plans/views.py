@@ -92,4 +92,6 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not views:
         return sql
-    return f"WITH {views}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {views} {sql}"
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql.removeprefix('WITH RECURSIVE ')}"
+    return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
