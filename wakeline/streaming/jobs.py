@@ -15,7 +15,7 @@ from ..operators.report import priced
 
 def live_by_day(requests: DataFrame, late: str = "1 day") -> DataFrame:
     """Requests, cost and tokens of each day, as rows arrive; batch twin by_day."""
-    rows = priced(requests).withWatermark("ts", late)
+    rows = priced(requests).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     sums = rows.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.sum("cost_usd").alias("cost"), F.sum(F.col("in_tok") + F.col("cw_tok") + F.col("cr_tok")).alias("in_tok"), F.sum("out_tok").alias("out_tok"))
     return sums.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("cost", 4).alias("cost"), "in_tok", "out_tok")
 
