@@ -7,7 +7,7 @@ bounded: a benchmark of more than ``max_windows`` windows is scanned in several
 that size, and the spans of all scans are merged, so the result does not depend on the bound.
 
 Defined cases: null or empty texts have no words (never hit, no item); repeated documents each
-get their row; an item that is repeated counts once by its id; an empty benchmark hits nothing;
+get their row; an item that is repeated counts once by its id, one without an id is ignored; an empty benchmark hits nothing;
 other columns are ignored.
 """
 
@@ -47,7 +47,8 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
                         lens_of.append(np.diff(at[i : stop + 1]).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words_of, pa.binary()), pa.array(lens_of, pa.list_(pa.int64()))], ["item", "body", "lens"])
 
-    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(windows, "item string, body binary, lens array<long>").distinct()
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    return items.mapInArrow(windows, "item string, body binary, lens array<long>").distinct()
 
 
 class WindowSet:
