@@ -12,8 +12,9 @@ intersection is at least 4 times the sum of their sizes (a similarity of 0.8).
    large groups of near copies in linear work.
 4. Under keys that still hold several components, the points are packed into an R-tree, whose
    self-join descends only into node pairs that the bound and the sizes allow and that are not
-   wholly of one component. Surviving pairs are verified exactly and the components joined: first
-   the most promising pair of each component, in the end all pairs that still lie apart.
+   wholly of one component. Surviving pairs are verified exactly and the components joined: step
+   by step the most promising partner of each class, until few are new, in the end all pairs that
+   still lie apart. A group of near copies so never gives all its pairs.
 
 Texts reach a shuffle only for classes that have a candidate, and only if their ids are too many
 for a broadcast of checked size.
@@ -38,6 +39,7 @@ from .tables import read, settled
 
 SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 50_000
 BROADCAST_ROWS = 2_000_000  # 16 MB of ids
+MAX_STEPS = 12
 
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -219,44 +221,64 @@ def shared_keys(postings: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(groups, "key long, id long, leader long")
 
 
-def tree_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, score) of ids that share a key, have different components and pass the bound; rows: key, id, component, n, point.
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
 
-    score is the bound in thousandths of the sizes' sum.
+
+def tree_pairs(rows: DataFrame, best: bool) -> DataFrame:
+    """(a, b, score) of ids that share a key, lie in different components and pass the bound.
+
+    rows (key, id, component, n, point) hold each key in one partition, its rows together. score
+    is the bound in thousandths of the sizes' sum. With best only the best partner of each row
+    leaves a task, so a group gives no more rows than it has.
     """
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            key, own, component, n = (t.column(i).to_numpy() for i in range(4))
-            stored = t.column(4).to_pylist()
-            vectors = base_points(stored)
+        def chunks(key, component, n, vectors, stored) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             hidden = slack(vectors, n)
             cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
             size = np.diff(cuts)
-            # small keys: all their pairs at once; each is a single leaf
-            small = np.flatnonzero((size > 1) & (size <= LEAF))
-            out = []
-            for part in np.array_split(small, max(1, len(small) // 200)):
+
+            def passed(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                bound = np.minimum(vectors[left], vectors[right]).sum(1, dtype=np.int64) + np.minimum(hidden[left], hidden[right])
+                ok = 9 * bound >= 4 * (n[left] + n[right])
+                left, right, bound = left[ok], right[ok], bound[ok]
+                ok = finer(stored, n, left, right)
+                left, right, bound = left[ok], right[ok], bound[ok]
+                return left, right, 1000 * bound // (n[left] + n[right])
+
+            few = np.flatnonzero((size > 1) & (size <= LEAF))  # such a key is a single leaf
+            for part in np.array_split(few, max(1, len(few) // 200)):
                 left = np.repeat(B.ragged(cuts[part], size[part]), np.repeat(size[part], size[part]))
                 right = B.ragged(np.repeat(cuts[part], size[part]), np.repeat(size[part], size[part]))
                 ok = (left < right) & (component[left] != component[right]) & (5 * n[left] >= 4 * n[right]) & (5 * n[right] >= 4 * n[left])
-                left, right = left[ok], right[ok]
-                ok = allowed(vectors[left], vectors[right], n[left], n[right], np.minimum(hidden[left], hidden[right]))
-                left, right = left[ok], right[ok]
-                ok = finer(stored, n, left, right)
-                out.append((left[ok], right[ok]))
+                yield passed(left[ok], right[ok])
             for g in np.flatnonzero(size > LEAF):
                 at = slice(cuts[g], cuts[g + 1])
                 for a, b in RTree(vectors[at], n[at], component[at]).pairs():
-                    a, b = cuts[g] + a, cuts[g] + b
-                    ok = finer(stored, n, a, b)
-                    out.append((a[ok], b[ok]))
-            a, b = (np.concatenate([x[i] for x in out] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            for k in range(0, len(a), 50_000):
-                i, j = a[k : k + 50_000], b[k : k + 50_000]
-                score = 1000 * (np.minimum(vectors[i], vectors[j]).sum(1, dtype=np.int64) + np.minimum(hidden[i], hidden[j])) // (n[i] + n[j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], own[j])), pa.array(np.maximum(own[i], own[j])), pa.array(score)], ["a", "b", "score"])
+                    yield passed(cuts[g] + a, cuts[g] + b)
+
+        def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            key, own, component, n = (t.column(i).to_numpy() for i in range(4))
+            stored = t.column(4).to_pylist()
+            top, partner = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
+            for left, right, score in chunks(key, component, n, base_points(stored), stored):
+                if not best:
+                    yield batch_of(own[left], own[right], score)
+                    continue
+                for x, y in ((left, right), (right, left)):
+                    order = np.lexsort((own[y], score, x))
+                    last = order[np.append(x[order][1:] != x[order][:-1], True)] if len(order) else order
+                    better = last[score[last] > top[x[last]]]
+                    top[x[better]], partner[x[better]] = score[better], y[better]
+            if best:
+                has = np.flatnonzero(top >= 0)
+                yield batch_of(own[has], own[partner[has]], top[has])
+
+        def batch_of(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            first, second = (a, b) if best else (np.minimum(a, b), np.maximum(a, b))
+            return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(score)], ["a", "b", "score"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:  # cut where a key ends, so that each is whole
@@ -276,7 +298,11 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from joined(held)
 
-    return rows.select("key", "id", "component", "n", "point").repartition("key").sortWithinPartitions("key").mapInArrow(groups, "a long, b long, score long").distinct()
+    pairs = rows.select("key", "id", "component", "n", "point").mapInArrow(groups, "a long, b long, score long")
+    if not best:
+        return pairs.select("a", "b").distinct()
+    one = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m"))
+    return one.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -361,18 +387,31 @@ def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     sums = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
     open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), *sums).where("x != y")
     open_keys = open_keys.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key")  # of keys with the same ids, one
-    rows = named.join(open_keys, "key", "left_semi").join(classes.select("id", "n", "point"), "id")
-    rest = settled(tree_pairs(rows))
-    for last in (False, False, True):
-        apart = rest.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left").select("a", "b", "score", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x != y")
-        if not last:  # first the most promising pair of each component: what it joins needs no more checks inside
-            both = apart.select("x", "a", "b", "score").unionByName(apart.select(F.col("y").alias("x"), "a", "b", "score"))
-            apart = both.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        apart = settled(apart.select("a", "b"))
-        if apart.isEmpty():
+    rows = settled(by_key(named.join(open_keys, "key", "left_semi").select("key", "id").join(classes.select("id", "n", "point"), "id")))
+
+    def placed(found: DataFrame) -> DataFrame:
+        """rows with their components; each key stays in its partition if the table of components is small."""
+        known = found.withColumnRenamed("id", "_id")
+        if known.count() <= BROADCAST_ROWS:
+            now = rows.join(F.broadcast(known), F.col("id") == F.col("_id"), "left")
+        else:
+            now = by_key(rows.join(known, F.col("id") == F.col("_id"), "left"))
+        return now.withColumn("component", F.coalesce("component", "id"))
+
+    for last in [*[False] * MAX_STEPS, True]:
+        # the most promising partner of each class first: what it joins needs no more checks inside
+        pairs = settled(tree_pairs(placed(found), best=not last))
+        more = settled(verified(pairs, classes, documents))
+        tried, new = pairs.count(), more.count()
+        if new:
+            links = settled(links.unionByName(more))
+            found = components(links)
+        if not last and tried and 10 * new < tried:  # few partners are new: now all pairs that still lie apart
+            more = verified(settled(tree_pairs(placed(found), best=False)), classes, documents)
+            found = components(links.unionByName(more))
+            break
+        if not tried:
             break
-        links = settled(links.unionByName(verified(apart, classes, documents)))
-        found = components(links)
     own = classes.select("n", "lo", "hi", "doc_id", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = own.join(least, "component").select("n", "lo", "hi", "component_id")
