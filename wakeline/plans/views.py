@@ -53,8 +53,8 @@ _VL = """
 SELECT doc_id AS request_id, 'compact' AS slot, CASE WHEN toxic = 1 THEN 'uncertain' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS verdict, quality, toxic FROM labels"""
 _VA = """
 SELECT o_orderkey AS task, o_orderpriority AS family, o_orderstatus = 'F' AS pass,
-  CAST(round(sum(l_extendedprice)) AS BIGINT) AS observe, CAST(round(sum(l_extendedprice * (1 - l_discount))) AS BIGINT) AS enforce,
-  CAST(round(sum(l_extendedprice * (1 - l_discount) * (1 - l_tax))) AS BIGINT) AS compiled
+  CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18, 6)))) AS BIGINT) AS observe, CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 6)))) AS BIGINT) AS enforce,
+  CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) * (1 - l_tax) AS DECIMAL(18, 6)))) AS BIGINT) AS compiled
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"""
 _VS = """
 SELECT user_id * 31 + day(ts) AS request_id, row_number() OVER (PARTITION BY user_id * 31 + day(ts) ORDER BY ts, event_id) AS seq, ts,
