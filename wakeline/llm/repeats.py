@@ -17,7 +17,7 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
    counted by hash over all tasks instead.
 5. The marked spans go back to all copies, and are cut from the texts.
 
-Spans and requests travel to the texts by broadcast if they are few (a checked number of rows),
+Spans and requests travel to the texts by broadcast if they are few (a checked number of entries),
 else by a join on the row's identity.
 
 Defined cases: null texts are empty (0 bytes, hash of nothing); texts under LENGTH bytes
@@ -41,7 +41,8 @@ from .tables import read, settled
 LENGTH, K = 400, 128
 BLOCK = 20_000  # different segments of one anchor in one index
 INDEX_BYTES = 3 << 20
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 400_000  # of single keys
+BROADCAST_ENTRIES = 1_600_000  # of spans or requests, about 40 bytes each
 _BASE = B.U(0x9FB21C651E98DF25 | 1)
 _INVERSE = B.U(pow(int(_BASE), -1, 1 << 64))
 
@@ -195,8 +196,8 @@ def _scan(documents: DataFrame, length: int, k: int) -> DataFrame:
     return _rows(documents).mapInArrow(scan, "doc_id long, mark long, start int, windows int, anchor long, segment long")
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _few(df: DataFrame, n: int, most: int = BROADCAST_ENTRIES) -> DataFrame:
+    return F.broadcast(df) if n <= most else df
 
 
 def _by_row(documents: DataFrame, more: DataFrame, how: str) -> DataFrame:
@@ -208,6 +209,7 @@ def _by_row(documents: DataFrame, more: DataFrame, how: str) -> DataFrame:
 
 def _bodies(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """anchor, segment, copies and the bytes of each wanted segment, from one row that has it."""
+    n = wanted.count()
     wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "anchor", "segment", "copies")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +219,7 @@ def _bodies(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 body = [text[p["start"] : p["start"] + p["windows"] - 1 + length] for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in parts], pa.int64()) for c in ("anchor", "segment", "copies")] + [pa.array(body, pa.binary())], ["anchor", "segment", "copies", "body"])
 
-    found = _by_row(documents, _few(wanted, wanted.count()), "inner").select("text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, body binary")
+    found = _by_row(documents, _few(wanted, n), "inner").select("text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, body binary")
     return found.dropDuplicates(["anchor", "segment"])
 
 
@@ -271,7 +273,7 @@ def repeated(documents: DataFrame, length: int = LENGTH, k: int = K, block: int
     """doc_id, mark and repeated byte spans [from, to, ...], unmerged, of the rows that have any."""
     counts = _scan(documents, length, k).groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1")
     again = settled(counts.select("anchor", (F.col("x") != F.col("y")).alias("various")))
-    seen = settled(_scan(documents, length, k).join(_few(again, again.count()), "anchor"))
+    seen = settled(_scan(documents, length, k).join(_few(again, again.count(), BROADCAST_ROWS), "anchor"))
     whole = F.array(F.col("start"), F.col("start") + F.col("windows") - 1 + length)
     plain = seen.where("not various").select("doc_id", "mark", whole.alias("spans"))
     various = seen.where("various")
@@ -323,7 +325,8 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, k: int = K, block: i
                     removed.append(int(offsets[r + 1] - offsets[r]) - len(text))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = _by_row(documents, _few(spans, spans.count()), "left").select("doc_id", "text", "spans")
+    entries = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    joined = _by_row(documents, _few(spans, entries // 2), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
