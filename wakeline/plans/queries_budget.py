@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import budget, dataset, evaluate, index, labels, report
+from ..operators import budget, dataset, evaluate, index, labels
 from ..sources import logs
 from .queries_report import MARKER, OPENING, TERMS, TOK
 from .views import view
