@@ -40,6 +40,7 @@ from .tables import read, settled
 SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 50_000
 BROADCAST_ROWS = 2_000_000  # 16 MB of ids
 MAX_STEPS = 12
+CLASSES_A_TASK = 20_000  # of the small tables of pairs and links
 
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -309,9 +310,10 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets truly link."""
-    ids = settled(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "doc_id", "lo"), "id"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().coalesce(tasks)
+    ids = settled(ids.join(classes.select("id", "doc_id", "lo"), "id").coalesce(tasks))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,7 +338,7 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct().coalesce(tasks)
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -381,7 +383,8 @@ def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     classes = settled(classes.withColumn("id", F.monotonically_increasing_id()))
     shared = settled(shared_keys(split_keys(classes, block)))
     stars = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = settled(verified(settled(_bounded(stars, classes)), classes, documents))
+    tasks = 1 + classes.count() // CLASSES_A_TASK
+    links = settled(verified(settled(_bounded(stars, classes).coalesce(tasks)), classes, documents, tasks))
     found = components(links)
     named = shared.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sums = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
@@ -400,14 +403,14 @@ def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
 
     for last in [*[False] * MAX_STEPS, True]:
         # the most promising partner of each class first: what it joins needs no more checks inside
-        pairs = settled(tree_pairs(placed(found), best=not last))
-        more = settled(verified(pairs, classes, documents))
+        pairs = settled(tree_pairs(placed(found), best=not last).coalesce(tasks))
+        more = settled(verified(pairs, classes, documents, tasks))
         tried, new = pairs.count(), more.count()
         if new:
             links = settled(links.unionByName(more))
             found = components(links)
         if not last and tried and 10 * new < tried:  # few partners are new: now all pairs that still lie apart
-            more = verified(settled(tree_pairs(placed(found), best=False)), classes, documents)
+            more = verified(settled(tree_pairs(placed(found), best=False).coalesce(tasks)), classes, documents, tasks)
             found = components(links.unionByName(more))
             break
         if not tried:
