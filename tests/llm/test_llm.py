@@ -196,6 +196,15 @@ def test_jaccard_components(spark, block):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got.collect()) == brute_components(rows)
 
 
+def test_jaccard_ignores_the_case_of_ascii_letters(spark):
+    text = " ".join(f"word{i} süß" for i in range(60))
+    rows = [(1, text), (2, text.upper().replace("SÜSS", "Süß")), (3, text.title()), (4, text.replace("word7 ", "Other ").capitalize()), (5, "Some SOME some sOme some Some some"), (6, "éa b"), (7, "Éa b"), (None, text.swapcase().replace("SÜSS", "süß"))]
+    low = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in rows]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in count_vectors.jaccard_components(hard(spark, rows)).collect())
+    assert got == brute_components(low) != brute_components(rows)
+    assert [c for i, _, c in got if i in "1234None"] == ["1"] * 5 and ("5", 1, "5") in got
+
+
 def test_jaccard_of_nothing(spark):
     assert count_vectors.jaccard_components(empty(spark)).count() == 0
     assert [tuple(r) for r in count_vectors.jaccard_components(hard(spark, [(1, None), (2, None)])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]

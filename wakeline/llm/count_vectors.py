@@ -1,6 +1,6 @@
 """N-gram Jaccard join with an R-tree over count vectors.
 
-A document's set is its distinct shingles of ``SHINGLE`` words. Two sets link when 9 times their
+A document's set is its distinct shingles of ``SHINGLE`` words, A-Z in lower case. Two sets link when 9 times their
 intersection is at least 4 times the sum of their sizes (a similarity of 0.8).
 
 1. Each document gets the size and a 128-bit hash of its set; equal sets become one class, so
@@ -45,7 +45,7 @@ CLASSES_A_TASK = 20_000  # of the small tables of pairs and links
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each row in ascending order, and the first of each row (and the end)."""
-    words = B.Words(data, offsets, B.NOT_SPACE)
+    words = B.Words(B.LOWER[data], offsets, B.NOT_SPACE)
     hashes = words.hashes()
     full = B.window_hashes(hashes, k)
     inside = np.flatnonzero(words.row[: len(full)] == words.row[k - 1 :]) if len(full) else np.zeros(0, np.int64)
