@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import count_vectors, decontaminate, grammar_shards, langid, mixture
-from wakeline.llm.tables import read, shared_dir, settled
+from wakeline.llm.tables import read, shared_dir
 from wakeline.shipping import ship
 
 MIN_SCORE, TOKEN_SHARE = 0.5, 0.8
@@ -29,13 +29,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component; of rows with that doc_id, one."""
+    """One document of each component, of its smallest doc_id; documents without words stay."""
     ship(spark)
-    found = settled(count_vectors.jaccard_components(docs))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    ids = first.distinct()
-    kept = docs.join(count_vectors.small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept if first.count() == ids.count() else kept.dropDuplicates(["doc_id"])
+    return count_vectors.one_of_each(docs)
 
 
 def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

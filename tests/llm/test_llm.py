@@ -410,6 +410,21 @@ def test_repeats_of_nothing_and_of_the_small_table(spark):
 # ---- pipeline ---------------------------------------------------------------------------------
 
 
+def test_shared_and_missing_ids_cost_no_document(spark):
+    import corpus_pipeline as P
+
+    other = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    near = lambda t: t.replace("5 ", "five ", 1)
+    a, b, c, d, e = map(other, "abcde")
+    rows = [(1, a), (1, b), (1, a), (2, near(a)), (None, c), (None, d), (None, near(d)), (None, c), (3, near(c)), (7, e), (7, near(e)), (7, e.upper()), (8, " "), (8, " "), (None, None)]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in P.keep_one_of_near_copies(spark, hard(spark, rows).repartition(3), "").collect())
+    dd, ee = [k for k in got if k[1] in (d, near(d))], [k for k in got if k[0] == 7]
+    assert len(dd) == len(ee) == 1
+    assert got == {(1, a): 1, (1, b): 1, (3, near(c)): 1, dd[0]: 1, ee[0]: 1, (8, " "): 2, (None, None): 1}
+    unique = [(i, t) for i, t in enumerate([a, b, near(a), c])]
+    assert sorted(r["doc_id"] for r in P.keep_one_of_near_copies(spark, hard(spark, unique), "").collect()) == [0, 1, 3]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -22,6 +22,7 @@ for a broadcast of checked size.
 Defined cases: null texts and texts without words have an empty set and stay alone; a text of
 fewer than five words has one shingle; repeated rows are one class and each keep their row; ties
 go to the smallest doc_id; a null doc_id is never the name of a component that has another.
+As several texts may share a doc_id or have none, texts are found again by doc_id and a hash of the text.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buffers as B
@@ -123,9 +124,14 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - -(-4 * n // 5) + 1, 0)
 
 
+def row_key() -> Column:
+    """With doc_id, the identity of a text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def signatures(documents: DataFrame, full: bool) -> DataFrame:
-    """doc_id, n, lo and hi (the hash of the set); with full also the prefix keys and the point."""
-    schema = "doc_id long, n long, lo long, hi long" + ", keys array<long>, point binary" * full
+    """doc_id, n, lo and hi (the hash of the set); with full also row_key, the prefix keys and the point."""
+    schema = "doc_id long, n long, lo long, hi long" + ", row_key long, keys array<long>, point binary" * full
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +142,11 @@ def signatures(documents: DataFrame, full: bool) -> DataFrame:
                 if full:
                     size = prefix_size(n)
                     keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(value[B.ragged(first[:-1], size)].view(np.int64)))
-                    cols += [keys, pa.array(points(value, first), pa.binary())]
+                    cols += [batch.column(2).slice(lo, hi - lo), keys, pa.array(points(value, first), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
+    more = [row_key().alias("row_key")] if full else []
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(sign, schema)
 
 
 def allowed(a: np.ndarray, b: np.ndarray, a_min: np.ndarray, b_min: np.ndarray, hidden: np.ndarray) -> np.ndarray:
@@ -313,7 +320,7 @@ def small(ids: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets truly link."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().coalesce(tasks)
-    ids = settled(ids.join(classes.select("id", "doc_id", "lo"), "id").coalesce(tasks))
+    ids = settled(ids.join(classes.select("id", "doc_id", "lo", "row_key"), "id").coalesce(tasks))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +332,8 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks:
                 yield pa.RecordBatch.from_arrays([own.column(0), body], ["id", "shingles"]).filter(pa.array(same))
 
     wanted = small(ids.withColumnRenamed("doc_id", "_doc"))
-    texts = documents.select("doc_id", F.col("text").cast("string")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "lo", "text")
+    texts = documents.select("doc_id", F.col("text").cast("string"), row_key().alias("_key"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("row_key"))).select("id", "lo", "text")
     own = settled(texts.mapInArrow(sets, "id long, shingles binary"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,10 +385,11 @@ def split_keys(classes: DataFrame, block: int) -> DataFrame:
     return plain.unionByName(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id"))
 
 
-def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
-    classes = signatures(documents, True).where("n > 0").groupBy("n", "lo", "hi").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("point").alias("point"))
-    classes = settled(classes.withColumn("id", F.monotonically_increasing_id()))
+def class_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """n, lo, hi, doc_id and row_key (of the class's first row), id and component of each class of equal sets."""
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
+    classes = signatures(documents, True).where("n > 0").groupBy("n", "lo", "hi").agg(least, F.first("keys").alias("keys"), F.first("point").alias("point"))
+    classes = settled(classes.select("n", "lo", "hi", "m.doc_id", "m.row_key", "keys", "point").withColumn("id", F.monotonically_increasing_id()))
     shared = settled(shared_keys(split_keys(classes, block)))
     stars = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tasks = 1 + classes.count() // CLASSES_A_TASK
@@ -415,12 +424,33 @@ def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
             break
         if not tried:
             break
-    own = classes.select("n", "lo", "hi", "doc_id", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return classes.select("n", "lo", "hi", "doc_id", "row_key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
+    own = class_components(documents, block)
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = own.join(least, "component").select("n", "lo", "hi", "component_id")
     out = signatures(documents, False).join(member, ["n", "lo", "hi"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row of each component, of its smallest doc_id, and all rows with an empty set.
+
+    Rows are told apart by doc_id and row_key, so neither a shared nor a missing doc_id costs one.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
+    first = settled(class_components(documents, block).groupBy("component").agg(least).select(F.col("m.doc_id").alias("_id"), F.col("m.row_key").alias("_row"), F.lit(True).alias("_first")))
+    blank = ~F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]"))
+    rows = documents.withColumn("_key", row_key()).join(small(first), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    full = rows.where(F.col("_first") & ~blank)
+    if full.count() > first.count():  # repeated rows of one doc_id and text
+        full = full.dropDuplicates(["doc_id", "_key"])
+        return full.unionByName(rows.where(blank)).select(*documents.columns)
+    return rows.where(F.col("_first") | blank).select(*documents.columns)
+
+
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
