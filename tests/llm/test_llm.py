@@ -101,6 +101,18 @@ def test_decontamination_removes_documents_or_spans(spark):
     assert {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, b, "spans").collect()} == {1: "say ,  now", 2: "one three", 3: None}
 
 
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_decontamination_does_not_depend_on_the_bound(spark, mode):
+    b = spark.createDataFrame([(1, "one two"), (2, "two three four"), (3, "nine ten"), (4, "seven")], "item_id long, text string")
+    rows = [(None, "say One, two now"), (None, "a clean text"), (1, "one Two three four five"), (1, "one three"), (1, "one Two three four five"), (2, None), (None, None), (3, ""), (None, "seven, eight; nine TEN"), (4, "two one")]
+    docs = hard(spark, rows).repartition(3)
+    own = lambda bound: sorted(str(tuple(r)) for r in decontaminate.remove_contamination(docs, b, mode, 10, bound).collect())
+    assert own(2) == own(1) == own(100)
+    texts = sorted(str((r["doc_id"], r["text"])) for r in decontaminate.remove_contamination(docs, b, mode, 10, 2).collect())
+    cut = {rows[0]: (None, "say ,  now"), rows[2]: (1, "    five"), rows[8]: (None, ", eight;  ")} if mode == "spans" else {rows[i]: None for i in (0, 2, 8)}
+    assert texts == sorted(str(t) for t in (cut.get(r, r) for r in rows) if t)
+
+
 # ---- op2 --------------------------------------------------------------------------------------
 
 

@@ -165,20 +165,36 @@ def _merge_scans(scans: list[DataFrame]) -> DataFrame:
     return grouped.select("doc_id", "row_key", "n_words", merge("spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
-def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW) -> DataFrame:
+def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """documents without contaminated rows (``documents``), or with the hit words cut out (``spans``).
 
-    The scan runs inside the same pass as the cut, so text is not shuffled.
+    With one window set the scan runs inside the same pass as the cut, so text is not shuffled.
+    With more, the merged spans of hit rows meet the texts under doc_id and row_key.
     """
     spark = documents.sparkSession
     windows = benchmark_windows(benchmark, n)
-    if windows.count() > MAX_WINDOWS:
-        hit = find_contamination(documents, benchmark, n).where(F.size("items") > 0).select("doc_id").distinct()
-        if mode == "spans":
-            raise ValueError("cutting spans takes a benchmark of one window set")
-        return documents.join(hit, "doc_id", "left_anti")
+    columns, at = documents.columns, documents.columns.index("text")
+    if windows.count() > max_windows:
+        found = find_contamination(documents, benchmark, n, max_windows).where(F.size("items") > 0).dropDuplicates(["doc_id", "row_key"])
+        hit = found.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"), F.col("spans").alias("_spans"))
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_row"))
+        if mode == "documents":
+            return documents.join(hit, same, "left_anti")
+        rows = documents.join(hit, same, "left").select(*columns, "_spans")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, data, offsets in B.slices(batch.column(at)):
+                    words = B.Words(B.LOWER[data], offsets, B.ALNUM)
+                    depth = np.zeros(len(words.start) + 1, np.int64)
+                    own = batch.slice(lo, hi - lo)
+                    for first, spans in zip(words.first, own.column(len(columns)).to_pylist(), strict=False):
+                        np.add.at(depth, first + np.array(spans[::2] if spans else [], np.int64), 1)
+                        np.add.at(depth, first + np.array(spans[1::2] if spans else [], np.int64), -1)
+                    yield _without(own.select(columns), at, data, offsets, words, np.cumsum(depth)[:-1] > 0)
+
+        return rows.mapInArrow(cut, documents.schema)
     known = spark.sparkContext.broadcast(WindowSet(windows.collect()))
-    at = documents.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,19 +206,25 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str =
                     np.add.at(depth, first + k, -1)
                 hit = np.cumsum(depth)[:-1] > 0
                 own = batch.slice(lo, hi - lo)
-                bad = B.row_sums(hit, words.first) > 0
                 if mode == "documents":
-                    own = own.filter(pa.array(~bad))
-                elif bad.any():
-                    keep = np.ones(len(data), bool)
-                    keep[B.ragged(words.start[hit], (words.end - words.start)[hit])] = False
-                    text = [None if t is None else data[a:b][keep[a:b]].tobytes().decode() if x else t for t, a, b, x in zip(own.column(at).to_pylist(), offsets[:-1], offsets[1:], bad, strict=True)]
-                    own = own.set_column(at, "text", pa.array(text, own.schema.field(at).type))
-                yield own
+                    yield own.filter(pa.array(B.row_sums(hit, words.first) == 0))
+                else:
+                    yield _without(own, at, data, offsets, words, hit)
 
     return documents.mapInArrow(clean, documents.schema)
 
 
+def _without(own: pa.RecordBatch, at: int, data: np.ndarray, offsets: np.ndarray, words: B.Words, hit: np.ndarray) -> pa.RecordBatch:
+    """own with the hit words cut out of its texts, which are in data."""
+    bad = B.row_sums(hit, words.first) > 0
+    if not bad.any():
+        return own
+    keep = np.ones(len(data), bool)
+    keep[B.ragged(words.start[hit], (words.end - words.start)[hit])] = False
+    text = [None if t is None else data[a:b][keep[a:b]].tobytes().decode() if x else t for t, a, b, x in zip(own.column(at).to_pylist(), offsets[:-1], offsets[1:], bad, strict=True)]
+    return own.set_column(at, "text", pa.array(text, own.schema.field(at).type))
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
