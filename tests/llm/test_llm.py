@@ -368,6 +368,17 @@ def test_licenses_on_the_small_table_and_hard_texts(spark):
     assert len(licenses.fit(empty(spark)).classes) == len(licenses.NOTICES) + 1
 
 
+def test_license_answers_are_of_the_row(spark):
+    model = licenses.fit(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    mit, gpl, weak = "Released under the MIT License.", "GNU General Public License version 3.", "The license is of a public kind."
+    rows = [(None, mit), (None, "no notice"), (None, gpl), (1, mit), (1, mit), (1, gpl), (1, "no notice"), (2, weak), (2, weak), (2, weak), (3, weak), (4, None), (None, None)]
+    ask = lambda rows: sorted(str((r["doc_id"], r["n_predicted"], r["n_confirmed"], r["families"])) for r in licenses.licenses(hard(spark, rows).select("doc_id", "text"), model).collect())
+    alone = ask([(k, t) for k, t in enumerate(t for _, t in rows)])
+    own = {k: alone_row for k, alone_row in ((int(x.strip("(").split(",")[0]), x) for x in alone)}
+    assert ask(rows) == sorted("(" + str(i) + own[k][own[k].index(","):] for k, (i, _) in enumerate(rows))
+    assert "MIT" in own[0] and "GPL-3.0" in own[2]
+
+
 # ---- op10 -------------------------------------------------------------------------------------
 
 
