@@ -379,6 +379,21 @@ def test_license_answers_are_of_the_row(spark):
     assert "MIT" in own[0] and "GPL-3.0" in own[2]
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    model = licenses.fit(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    long = {f: max(t, key=len) for f, t in licenses.NOTICES.items()}
+    wrap = lambda f, width, mark="": "\n".join(mark + x for x in textwrap.wrap(long[f], width))
+    cases = [({f}, wrap(f, width, mark)) for f in ("MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0") for width, mark in ((72, ""), (50, "# "), (30, ""))]
+    cases += [({"MIT", "BSD-3-Clause"}, wrap("MIT", 60) + "\n" + wrap("BSD-3-Clause", 60)), ({"MIT"}, "a title\nof two lines\n" + wrap("MIT", 70, " * ").replace("\n", "\r\n") + "\nand more prose\n" * 3)]
+    half = long["MIT"].split()
+    cases += [(set(), " ".join(half[:8]) + "\n\n" + " ".join(half[8:16]) + "\n#\n" + " ".join(half[16:])), (set(), LONG[:3000]), (set(), "\n\n")]
+    got = {r["doc_id"]: r for r in licenses.licenses(hard(spark, [(i, t) for i, (_, t) in enumerate(cases)]).select("doc_id", "text"), model).collect()}
+    assert {i: got[i]["families"] for i in got} == {i: ",".join(sorted(f)) for i, (f, _) in enumerate(cases)}
+    assert all(got[i]["n_confirmed"] == len(f) for i, (f, _) in enumerate(cases))
+
+
 # ---- op10 -------------------------------------------------------------------------------------
 
 
