@@ -38,7 +38,8 @@ from . import buffers as B
 from .components import components
 from .tables import read, settled
 
-SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 50_000
+SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 20_000
+PAIRS = 16_000  # of points compared at once: 4 MB for each of their copies
 BROADCAST_ROWS = 2_000_000  # 16 MB of ids
 MAX_STEPS = 12
 CLASSES_A_TASK = 20_000  # of the small tables of pairs and links
@@ -91,25 +92,53 @@ def points(value: np.ndarray, first: np.ndarray) -> list[bytes]:
     return out
 
 
-def folded(point: bytes, size: int) -> np.ndarray:
+def folded(point: np.ndarray, size: int) -> np.ndarray:
     """A point over fewer groups."""
-    x = np.frombuffer(point, np.uint8)
-    return x if len(x) == size else x.reshape(-1, size).sum(0, dtype=np.int64)
+    return point if len(point) == size else point.reshape(-1, size).sum(0, dtype=np.int64)
 
 
-def base_points(stored: list[bytes]) -> np.ndarray:
-    """All points over GROUPS groups, as bytes."""
-    return np.frombuffer(b"".join(p if len(p) == GROUPS else folded(p, GROUPS).clip(max=255).astype(np.uint8).tobytes() for p in stored), np.uint8).reshape(-1, GROUPS)
+def overlaps(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of the pairs a[i], b[j], PAIRS at a time."""
+    out = np.empty(len(i), np.int64)
+    for k in range(0, len(i), PAIRS):
+        out[k : k + PAIRS] = np.minimum(a[i[k : k + PAIRS]], b[j[k : k + PAIRS]]).sum(1, dtype=np.uint32)
+    return out
 
 
-def finer(stored: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of pairs of points, those that the bound over all their groups allows; matters for long sets only."""
-    long = np.fromiter((len(p) > GROUPS for p in stored), bool, len(stored))
+class Points:
+    """A column of points; base has all of them over GROUPS groups, own those with more."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+        base, self.own = [], {}
+        for chunk in chunks:
+            for lo, hi, data, offsets in B.slices(chunk):
+                lens = np.diff(offsets)
+                part = np.empty((hi - lo, GROUPS), np.uint8)
+                plain = lens == GROUPS
+                part[plain] = data[B.ragged(offsets[:-1][plain], lens[plain])].reshape(-1, GROUPS)
+                at = sum(map(len, base))
+                for r in np.flatnonzero(~plain).tolist():
+                    point = data[offsets[r] : offsets[r + 1]].copy()
+                    self.own[at + r] = point
+                    part[r] = folded(point, GROUPS).clip(max=255)
+                base.append(part)
+        self.base = np.concatenate(base) if base else np.zeros((0, GROUPS), np.uint8)
+        self.long = np.zeros(len(self.base), bool)
+        self.long[list(self.own)] = True
+
+
+def finer(points: Points, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, other: Points | None = None) -> np.ndarray:
+    """Of pairs of points (j in other, if given), those that the bound over all their groups allows; matters for long sets only.
+
+    sizes has the sets of points, then those of other.
+    """
+    second, shift = (points, 0) if other is None else (other, len(points.base))
     ok = np.ones(len(i), bool)
-    for k in np.flatnonzero(long[i] & long[j]).tolist():
-        x, y = stored[i[k]], stored[j[k]]
+    for k in np.flatnonzero(points.long[i] & second.long[j]).tolist():
+        x, y = points.own[int(i[k])], second.own[int(j[k])]
         size = min(len(x), len(y))
-        a, b, n, m = folded(x, size), folded(y, size), int(sizes[i[k]]), int(sizes[j[k]])
+        a, b, n, m = folded(x, size), folded(y, size), int(sizes[i[k]]), int(sizes[shift + j[k]])
         hidden = min(n - int(a.sum(dtype=np.int64)), m - int(b.sum(dtype=np.int64)))
         ok[k] = 9 * (int(np.minimum(a, b).sum(dtype=np.int64)) + hidden) >= 4 * (n + m)
     return ok
@@ -149,19 +178,12 @@ def signatures(documents: DataFrame, full: bool) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(sign, schema)
 
 
-def allowed(a: np.ndarray, b: np.ndarray, a_min: np.ndarray, b_min: np.ndarray, hidden: np.ndarray) -> np.ndarray:
-    """Whether the summed coordinate minima allow a link between sets (or nodes) of at least these sizes.
-
-    hidden: the smaller slack of the two.
-    """
-    return 9 * (np.minimum(a, b).sum(1, dtype=np.int64) + hidden) >= 4 * (a_min + b_min)
-
-
 class RTree:
     """A packed tree over points; each level has the coordinate maxima, sizes and components of its nodes."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, leaf: int = LEAF):
-        spread = vectors.astype(np.int64) @ (B.mixed(np.arange(vectors.shape[1], dtype=np.uint64)) % B.U(1000)).astype(np.int64)
+        weight = (B.mixed(np.arange(vectors.shape[1], dtype=np.uint64)) % B.U(1000)).astype(np.float32)
+        spread = np.concatenate([vectors[k : k + PAIRS] @ weight for k in range(0, len(vectors), PAIRS)])
         self.order = np.lexsort((spread, sizes))
         hidden = slack(vectors, sizes)[self.order]
         level = (vectors[self.order], sizes[self.order], sizes[self.order], component[self.order], hidden)
@@ -172,7 +194,7 @@ class RTree:
             level = (np.maximum.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut), np.where(one == other, one, -1), np.maximum.reduceat(level[4], cut))
             self.levels.append(level)
 
-    def pairs(self, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, step: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points (by their place in the input) that may link and lie in different components."""
         n = len(self.levels[-1][1])
         i, j = np.triu_indices(n)
@@ -185,7 +207,7 @@ class RTree:
             vectors, low, high, component, hidden = self.levels[at]
             ok = (5 * high[j] >= 4 * low[i]) & (5 * high[i] >= 4 * low[j]) & ((component[i] != component[j]) | (component[i] < 0))
             i, j = i[ok], j[ok]
-            ok = allowed(vectors[i], vectors[j], low[i], low[j], np.minimum(hidden[i], hidden[j]))
+            ok = 9 * (overlaps(vectors, vectors, i, j) + np.minimum(hidden[i], hidden[j])) >= 4 * (low[i] + low[j])
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
@@ -242,13 +264,14 @@ def tree_pairs(rows: DataFrame, best: bool) -> DataFrame:
     """
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chunks(key, component, n, vectors, stored) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def chunks(key, component, n, stored: Points) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            vectors = stored.base
             hidden = slack(vectors, n)
             cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
             size = np.diff(cuts)
 
             def passed(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                bound = np.minimum(vectors[left], vectors[right]).sum(1, dtype=np.int64) + np.minimum(hidden[left], hidden[right])
+                bound = overlaps(vectors, vectors, left, right) + np.minimum(hidden[left], hidden[right])
                 ok = 9 * bound >= 4 * (n[left] + n[right])
                 left, right, bound = left[ok], right[ok], bound[ok]
                 ok = finer(stored, n, left, right)
@@ -256,7 +279,7 @@ def tree_pairs(rows: DataFrame, best: bool) -> DataFrame:
                 return left, right, 1000 * bound // (n[left] + n[right])
 
             few = np.flatnonzero((size > 1) & (size <= LEAF))  # such a key is a single leaf
-            for part in np.array_split(few, max(1, len(few) // 200)):
+            for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(size[few] ** 2) // PAIRS)) + 1):
                 left = np.repeat(B.ragged(cuts[part], size[part]), np.repeat(size[part], size[part]))
                 right = B.ragged(np.repeat(cuts[part], size[part]), np.repeat(size[part], size[part]))
                 ok = (left < right) & (component[left] != component[right]) & (5 * n[left] >= 4 * n[right]) & (5 * n[right] >= 4 * n[left])
@@ -269,9 +292,11 @@ def tree_pairs(rows: DataFrame, best: bool) -> DataFrame:
         def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             key, own, component, n = (t.column(i).to_numpy() for i in range(4))
-            stored = t.column(4).to_pylist()
+            stored = Points(t.column(4))
+            del t
+            held.clear()
             top, partner = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
-            for left, right, score in chunks(key, component, n, base_points(stored), stored):
+            for left, right, score in chunks(key, component, n, stored):
                 if not best:
                     yield batch_of(own[left], own[right], score)
                     continue
@@ -295,12 +320,12 @@ def tree_pairs(rows: DataFrame, best: bool) -> DataFrame:
             if len(key) == 0:
                 continue
             if held and key[0] != held[-1].column(0)[-1].as_py():
-                yield from joined(held)
-                held = []
+                whole, held = held, []
+                yield from joined(whole)
             if len(change):
                 end = int(change[-1]) + 1
-                yield from joined([*held, batch.slice(0, end)])
-                held = [batch.slice(end)]
+                whole, held = [*held, batch.slice(0, end)], [batch.slice(end)]
+                yield from joined(whole)
             else:
                 held.append(batch)
         if held:
@@ -335,12 +360,14 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks:
     texts = documents.select("doc_id", F.col("text").cast("string"), row_key().alias("_key"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("row_key"))).select("id", "lo", "text")
     own = settled(texts.mapInArrow(sets, "id long, shingles binary"))
+    if own.count() > ids.count():  # repeated rows of one doc_id and text: one of each
+        own = settled(own.dropDuplicates(["id"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))  # never empty
                 place = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 keep.append(9 * int((x[place] == y).sum()) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -355,11 +382,9 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            stored = batch.column(4).to_pylist() + batch.column(5).to_pylist()
-            x, y = base_points(stored[: len(n)]), base_points(stored[len(n) :])
-            i = np.arange(len(n))
-            ok = (5 * n >= 4 * m) & (5 * m >= 4 * n) & allowed(x, y, n, m, np.minimum(slack(x, n), slack(y, m)))
-            ok[ok] = finer(stored, np.concatenate([n, m]), i[ok], i[ok] + len(n))
+            x, y, i = Points(batch.column(4)), Points(batch.column(5)), np.arange(len(n))
+            ok = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * (overlaps(x.base, y.base, i, i) + np.minimum(slack(x.base, n), slack(y.base, m))) >= 4 * (n + m))
+            ok[ok] = finer(x, np.concatenate([n, m]), i[ok], i[ok], y)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     own = classes.select("id", "n", "point")

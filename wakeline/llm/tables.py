@@ -7,8 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and Arrow batches of BATCH_BYTES at most.
+
+    Spark's own bound of 64 MB a batch exists several times over in each task, in the JVM and in Python.
+    """
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    return ship(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
