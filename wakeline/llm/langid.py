@@ -5,15 +5,23 @@ a word is the sum, over all ways of cutting it into pieces, of the product of th
 probabilities; a forward pass over positions computes it. A text's score is the sum of its words'
 logarithms. Probabilities are learned by expectation maximisation over the words of a bounded
 sample (``docs_per_lang``) of labelled rows; the expectation step is a Spark job over the word
-table, and only ``languages x pieces`` sums reach the driver.
+table, and only ``languages x pieces`` sums reach the driver, so labels are names of languages,
+not free text.
 
-Words are runs of letters (and any other non-ASCII characters) of the lower-cased whole text; a
-word of over ``MAX_WORD`` bytes is scored in parts of that length. Single bytes are pieces of a
-small fixed probability, so every word has a segmentation.
+Words are runs of letters (and any other non-ASCII characters) of the lower-cased whole text, with
+a mark in front. A word of any length is scored whole: the forward pass keeps the positions that a
+piece can still reach, rescaled as it goes. Only learning takes words of over ``LEARN_BYTES`` in
+parts of that length, the mark in front of the first. Single bytes are pieces of a small fixed
+probability, so every word has a segmentation. Pieces that hold anything but letters and the mark
+can't occur in a word and are left out; no other piece is.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
 labelled row every text is ``und``; equal scores go to the smaller name; rows with a null lang
-teach nothing; repeated rows are scored alike; other columns are ignored.
+teach nothing; rows of equal lang and text teach once; repeated rows are scored alike; an empty
+table gives an empty result; a very long text costs time in proportion, and memory in proportion
+to its longest word; kept columns named lang_pred, score or held_out give way to
+the operator's own, all others stay as they are. Words are cached by a 64-bit hash, at most
+``CACHE`` at a time.
 """
 
 from __future__ import annotations
@@ -24,37 +32,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buffers as B
 from .tables import read, settled
+from .workers import KeyTable, kept
 
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANG = 1500
 ROUNDS = 3
 TASKS = 12
-MAX_WORD, MAX_PIECE = 32, 16
-BYTE_P, CACHE = 1e-7, 400_000
+LEARN_BYTES = 32
+BYTE_P, CACHE = 1e-7, 300_000
+CELLS = 100_000  # bytes of words in one forward pass
 MARK = 0x5F  # begins each word
 LETTER = B.byte_class(b"abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 128)
+_IN_WORD = LETTER | B.byte_class(bytes([MARK]))
+FOUND = ("lang_pred", "score", "held_out")
 
 
 def public_pieces(name: str = VOCABULARY) -> list[bytes]:
-    """The vocabulary's pieces of letters, with the mark for a word's beginning; its order is fixed."""
+    """The vocabulary's pieces that can occur in a marked word; their order is fixed."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-    out = []
+    out = {}
     for i in range(model.get_piece_size()):
+        if model.is_byte(i) or model.is_control(i) or model.is_unknown(i):
+            continue
         piece = model.id_to_piece(i)
-        body = piece.removeprefix("▁")
-        if body and body.isalpha() and piece == piece.lower() and not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)):
-            raw = bytes([MARK] * (body != piece)) + body.encode()
-            if len(raw) <= MAX_PIECE:
-                out.append(raw)
-    return out
+        raw = piece.encode().replace("▁".encode(), bytes([MARK]))
+        if chr(MARK) not in piece and _IN_WORD[np.frombuffer(raw, np.uint8)].all() and MARK not in raw[1:]:
+            out[raw] = None
+    return list(out)
 
 
 class Trie:
@@ -65,98 +77,131 @@ class Trie:
         for p in pieces:
             for k in range(1, len(p) + 1):
                 nodes.setdefault(p[:k], len(nodes))
-        self.next = np.full((len(nodes), 256), -1, np.int32)
+        used = sorted({b for p in pieces for b in p})
+        self.column = np.zeros(256, np.int64)  # 0: in no piece
+        self.column[used] = 1 + np.arange(len(used))
+        self.next = np.full((len(nodes), len(used) + 1), -1, np.int32)
         for prefix, i in nodes.items():
             if prefix:
-                self.next[nodes[prefix[:-1]], prefix[-1]] = i
+                self.next[nodes[prefix[:-1]], self.column[prefix[-1]]] = i
         self.piece = np.full(len(nodes), -1, np.int32)
         self.piece[[nodes[p] for p in pieces]] = np.arange(len(pieces))
-
-
-_tries: dict[str, Trie] = {}
-
-
-def trie(name: str) -> Trie:
-    if name not in _tries:
-        _tries[name] = Trie(public_pieces(name))
-    return _tries[name]
-
-
-def marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words (runs of data) as a matrix with the mark in front, and their lengths with it."""
-    lens = np.diff(offsets)
-    words = np.zeros((len(lens), int(lens.max(initial=0)) + 1), np.uint8)
-    words[:, 0] = MARK
-    words[np.repeat(np.arange(len(lens)), lens), 1 + B.ragged(np.zeros(len(lens), np.int64), lens)] = data[offsets[0] : offsets[-1]]
-    return words, lens + 1
-
-
-def matches(t: Trie, words: np.ndarray, lens: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """For each start position: (length, words, pieces) of the pieces found there."""
-    found = []
-    for s in range(words.shape[1]):
-        own = np.flatnonzero(lens > s)
-        state, here = np.zeros(len(own), np.int32), []
-        for k in range(1, MAX_PIECE + 1):
-            state = t.next[state, words[own, s + k - 1]] if s + k <= words.shape[1] else state[:0]
-            own = own[: len(state)]
-            live = (state >= 0) & (lens[own] >= s + k)
-            own, state = own[live], state[live]
-            if not len(own):
-                break
-            hit = t.piece[state] >= 0
-            if hit.any():
-                here.append((k, own[hit], t.piece[state[hit]]))
-        found.append(here)
-    return found
-
-
-def forward(found: list, lens: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]: the summed probability of all segmentations up to a position."""
+        self.longest = max(map(len, pieces), default=0)
+
+
+class _Tables:
+    """What a worker keeps: the trie, and scores of known words under one model."""
+
+    def __init__(self, vocabulary: str):
+        self.trie = Trie(public_pieces(vocabulary))
+        self.tag = ""
+
+    def of(self, model: Model) -> tuple[KeyTable, np.ndarray]:
+        if self.tag != model.tag:
+            self.tag, self.index, self.scores = model.tag, KeyTable(CACHE), np.zeros((CACHE, len(model.langs)))
+        return self.index, self.scores
+
+
+def tables(vocabulary: str) -> _Tables:
+    return kept(("langid", vocabulary), lambda: _Tables(vocabulary))
+
+
+def pieces_in(t: Trie, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, length, piece) of every piece in the words data[offsets[i]:offsets[i + 1]], by length."""
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
+    own, state = np.arange(len(data)), np.zeros(len(data), np.int32)
+    at, length, piece = [own[:0]], [own[:0]], [t.piece[:0]]
+    column = t.column[data]
+    for k in range(1, t.longest + 1):
+        fits = left[own] >= k
+        own, state = own[fits], state[fits]
+        state = t.next[state, column[own + k - 1]]
+        own, state = own[state >= 0], state[state >= 0]
+        if not len(own):
+            break
+        hit = t.piece[state] >= 0
+        at.append(own[hit])
+        length.append(np.full(int(hit.sum()), k))
+        piece.append(t.piece[state[hit]])
+    return np.concatenate(at), np.concatenate(length), np.concatenate(piece)
+
+
+def steps(t: Trie, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each position within the words, from the first on: (word, length, piece) of the pieces there."""
+    at, length, piece = pieces_in(t, data, offsets)
+    word = np.searchsorted(offsets, at, "right") - 1
+    place = at - offsets[word]
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(int(np.diff(offsets).max(initial=0)) + 1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield word[order[a:b]], length[order[a:b]], piece[order[a:b]]
+
+
+def word_scores(t: Trie, data: np.ndarray, offsets: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Logarithm of the summed probability of all segmentations of each word (which begin with the mark), by language.
+
+    alpha has the positions that a piece can still reach, as a ring, each word's divided by what
+    it had at the last position; the divisors' logarithms are summed.
+    """
+    lens, width = np.diff(offsets), t.longest + 1
+    alpha = np.zeros((len(lens), width, p.shape[1]))
+    alpha[:, 0] = 1
+    total = np.zeros((len(lens), p.shape[1]))
+    for s, (word, length, piece) in enumerate(steps(t, data, offsets)):
+        now = alpha[:, s % width].copy()
+        alpha[:, s % width] = 0
+        if s and s % 16 == 0:
+            live = lens > s
+            scale = now[live]
+            total[live] += np.log(scale)
+            alpha[live] /= scale[:, None]
+            now[live] = 1
+        alpha[:, (s + 1) % width] += now * BYTE_P
+        alpha[word, (s + length) % width] += now[word] * p[piece]
+        done = np.flatnonzero(lens == s + 1)
+        if len(done):
+            total[done] += np.log(alpha[done, (s + 1) % width])
+    return total
+
+
+def expected(t: Trie, data: np.ndarray, offsets: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece by language over words of at most LEARN_BYTES and the mark; weight[word, language] counts the words."""
+    lens, found = np.diff(offsets), list(steps(t, data, offsets))
     alpha = np.zeros((len(lens), len(found) + 1, p.shape[1]))
     alpha[:, 0] = 1
-    for s, here in enumerate(found):
+    for s, (word, length, piece) in enumerate(found):
         alpha[:, s + 1] += alpha[:, s] * BYTE_P
-        for k, own, piece in here:
-            alpha[own, s + k] += alpha[own, s] * p[piece]
-    return alpha
-
-
-def word_scores(t: Trie, words: np.ndarray, lens: np.ndarray, p: np.ndarray) -> np.ndarray:
-    alpha = forward(matches(t, words, lens), lens, p)
-    return np.log(alpha[np.arange(len(lens)), lens])
-
-
-def expected(t: Trie, words: np.ndarray, lens: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece by language; weight[word, language] counts the words."""
-    found = matches(t, words, lens)
-    alpha = forward(found, lens, p)
+        alpha[word, s + length] += alpha[word, s] * p[piece]
     beta = np.zeros_like(alpha)
     beta[np.arange(len(lens)), lens] = 1
     scale = weight / alpha[np.arange(len(lens)), lens]
     out = np.zeros_like(p)
     for s in range(len(found) - 1, -1, -1):
+        word, length, piece = found[s]
         beta[:, s] += beta[:, s + 1] * BYTE_P
-        for k, own, piece in found[s]:
-            use = p[piece] * beta[own, s + k]
-            beta[own, s] += use
-            np.add.at(out, piece, alpha[own, s] * use * scale[own])
+        use = p[piece] * beta[word, s + length]
+        np.add.at(beta[:, s], word, use)
+        np.add.at(out, piece, alpha[word, s] * use * scale[word])
     return out
 
 
-def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, B.Words]:
-    """Compact bytes and offsets of words, those over MAX_WORD bytes in parts; Words has their rows."""
-    words = B.Words(data, offsets, LETTER)
-    if len(words.start) and (words.end - words.start).max() > MAX_WORD:
-        parts = -(-(words.end - words.start) // MAX_WORD)
-        nth = B.ragged(np.zeros(len(parts), np.int64), parts)
-        start = np.repeat(words.start, parts) + nth * MAX_WORD
-        words.end = np.minimum(np.repeat(words.end, parts), start + MAX_WORD)
-        words.start, words.row = start, np.repeat(words.row, parts)
-        words.first = np.searchsorted(start, offsets)
-        words.counts = np.diff(words.first)
-    body, at = words.compact()
-    return body, at, words
+def marked(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (runs of data one after another) with the mark in front of each, and their offsets."""
+    offsets = np.concatenate([[0], np.cumsum(lens + 1)])
+    out = np.full(offsets[-1], MARK, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[offsets[:-1]] = False
+    out[inside] = data
+    return out, offsets
+
+
+def learnable(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marked words in parts of at most LEARN_BYTES and a mark, with their offsets and each part's word."""
+    data, offsets = marked(data, np.diff(offsets))
+    parts = np.maximum(1, -(-(np.diff(offsets) - 1) // LEARN_BYTES))
+    nth = B.ragged(np.zeros(len(parts), np.int64), parts)
+    start = np.repeat(offsets[:-1], parts) + nth * LEARN_BYTES + (nth > 0)
+    return data, np.concatenate([start, offsets[-1:]]), np.repeat(np.arange(len(parts)), parts)
 
 
 class Model:
@@ -167,120 +212,143 @@ class Model:
 
 
 def learn(labelled: DataFrame, vocabulary: str = VOCABULARY, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> Model:
-    """From rows of key, lang and text. About docs_per_lang rows of each language are drawn by a hash of the key."""
-    labelled = labelled.where("lang is not null and text is not null")
+    """From rows of lang and text. About docs_per_lang rows of each language are drawn by a hash of the text."""
+    labelled = labelled.where("lang is not null and text is not null").select("lang", F.col("text").cast("string"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, 0)), vocabulary)
+    place = {x: i for i, x in enumerate(langs)}
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_lang / sizes[k]))])
-    drawn = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.get(F.array(share[F.col("lang")]), F.lit(0)) * (1 << 20))
+    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.get(F.array(share[F.col("lang")]), F.lit(0)) * (1 << 20)).distinct()
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in B.slices(pc.utf8_lower(batch.column(1))):
-                body, at, words = letter_words(data, offsets)
-                lang = np.array([langs.index(x) for x in batch.column(0).slice(lo, hi - lo).to_pylist()])
+                words = B.Words(data, offsets, LETTER)
+                body, at = words.compact()
+                lang = np.array([place[x] for x in batch.column(0).slice(lo, hi - lo).to_pylist()])
                 keys = B.hash_runs(body, at)
                 if len(keys):
                     _, one, n = np.unique(B.mixed(keys ^ lang[words.row].astype(np.uint64)), return_index=True, return_counts=True)
                     text = [body[at[i] : at[i + 1]].tobytes() for i in one]
                     yield pa.RecordBatch.from_arrays([pa.array(lang[words.row[one]], pa.int32()), pa.array(text, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    table = drawn.select("lang", F.col("text").cast("string")).mapInArrow(count_words, "lang int, word binary, n long")
+    table = drawn.mapInArrow(count_words, "lang int, word binary, n long")
     # the sample is bounded, and so is its word table: a few tasks, as each one sends sums of all pieces
     table = settled(table.groupBy("lang", "word").agg(F.sum("n").alias("n")).coalesce(TASKS))
-    t = trie(vocabulary)
-    n_pieces = int(t.piece.max()) + 1
+    n_pieces = len(public_pieces(vocabulary))
     p = np.full((n_pieces, len(langs)), 1 / n_pieces)
     for _ in range(rounds):
         shared = table.sparkSession.sparkContext.broadcast(p)
 
         def uses(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            t, total = trie(vocabulary), np.zeros_like(shared.value)
+            t, total = tables(vocabulary).trie, np.zeros_like(shared.value)
             for batch in batches:
-                for lo, hi, data, offsets in B.slices(batch.column(1), 1 << 18):
-                    weight = np.zeros((hi - lo, len(langs)))
-                    weight[np.arange(hi - lo), batch.column(0).slice(lo, hi - lo).to_numpy()] = batch.column(2).slice(lo, hi - lo).to_numpy()
-                    total += expected(t, *marked(data, offsets), shared.value, weight)
+                for lo, hi, data, offsets in B.slices(batch.column(1), 1 << 16):
+                    data, at, word = learnable(data, offsets)
+                    weight = np.zeros((len(word), len(langs)))
+                    lang, n = (batch.column(i).slice(lo, hi - lo).to_numpy()[word] for i in (0, 2))
+                    weight[np.arange(len(word)), lang] = n
+                    total += expected(t, data, at, shared.value, weight)
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
         sums = table.mapInArrow(uses, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
         total = np.full_like(p, 0.01)
-        for r in sums.toPandas().itertuples():
-            total[r.piece, r.lang] += r.n
+        got = sums.toArrow()
+        np.add.at(total, (got.column("piece").to_numpy(), got.column("lang").to_numpy()), got.column("n").to_numpy())
         p = total / total.sum(0)
+        shared.destroy()
     return Model(langs, p, vocabulary)
 
 
-_caches: dict[str, dict] = {}
+def _new_scores(t: Trie, p: np.ndarray, body: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Scores of the words ``which``, about CELLS bytes of words of like lengths at a time."""
+    lens = at[which + 1] - at[which]
+    order = np.argsort(lens, kind="stable")
+    out = np.empty((len(which), p.shape[1]))
+    for g in np.split(order, np.flatnonzero(np.diff(np.cumsum(lens[order] + t.longest) // CELLS)) + 1):
+        own = which[g]
+        out[g] = word_scores(t, *marked(body[B.ragged(at[own], lens[g])], lens[g]), p)
+    return out
 
 
-def word_cache(model: Model) -> dict:
-    """Scores of known words; one for each worker process and model."""
-    if model.tag not in _caches:
-        _caches.clear()
-        _caches[model.tag] = {"index": {}, "scores": np.zeros((CACHE, len(model.langs)))}
-    return _caches[model.tag]
+def _text_scores(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The best language (its place; -1 for none) and the posterior under equal priors of each text."""
+    own = tables(m.vocabulary)
+    index, known = own.of(m)
+    best, posterior = np.full(len(text), -1), np.zeros(len(text))
+    lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    for lo, hi, data, offsets in B.slices(pc.utf8_lower(text)):
+        words = B.Words(data, offsets, LETTER)
+        body, at = words.compact()
+        if not len(words.row):
+            continue
+        keys, one, back = np.unique(B.hash_runs(body, at), return_index=True, return_inverse=True)
+        place = index.find(keys)
+        if len(index) + int((place < 0).sum()) > CACHE:
+            index.clear()
+            place[:] = -1
+        new = np.flatnonzero(place < 0)
+        if len(new) > CACHE:  # more words in one slice than the cache holds
+            scores = _new_scores(own.trie, m.p, body, at, one)
+        else:
+            if len(new):
+                place[new] = index.add(keys[new])
+                known[place[new]] = _new_scores(own.trie, m.p, body, at, one[new])
+            scores = known[place]
+        total = np.stack([np.bincount(words.row, scores[back, j], hi - lo) for j in range(len(m.langs))], 1)
+        ok = lettered[lo:hi] & (words.counts > 0)
+        with np.errstate(under="ignore"):
+            posterior[lo:hi] = np.where(ok, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0)
+        best[lo:hi] = np.where(ok, total.argmax(1), -1)
+    return best, posterior
 
 
 def predict(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with lang_pred and score (the posterior under equal priors)."""
-    spark = documents.sparkSession
+    keep = [c for c in keep if c not in FOUND[:2]]
     if not model.langs:
         return documents.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast(model)
-    out = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    names = pa.array([*model.langs, "und"])
+    at = keep.index("text") if "text" in keep else len(keep)  # sent once
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        t = trie(m.vocabulary)
-        cache = word_cache(m)
         for batch in batches:
-            text = batch.column(len(keep))
-            lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in B.slices(pc.utf8_lower(text)):
-                body, at, words = letter_words(data, offsets)
-                unique, one, back = np.unique(B.hash_runs(body, at), return_index=True, return_inverse=True)
-                index, keys = cache["index"], unique.tolist()
-                new = [i for i, k in enumerate(keys) if k not in index]
-                if len(index) + len(new) > CACHE:
-                    index.clear()
-                    new = list(range(len(keys)))
-                if len(cache["scores"]) < len(index) + len(new):
-                    cache["scores"] = np.zeros((len(new), len(m.langs)))
-                base = len(index)
-                for a in range(0, len(new), 20_000):
-                    part = one[new[a : a + 20_000]]
-                    lens = at[part + 1] - at[part]
-                    for group in np.array_split(np.argsort(lens, kind="stable"), max(1, len(part) // 2500)):
-                        g = part[group]
-                        gl = lens[group]
-                        own = body[B.ragged(at[g], gl)]
-                        cache["scores"][base + a + group] = word_scores(t, *marked(own, np.concatenate([[0], np.cumsum(gl)])), m.p)
-                for i, k in enumerate(new):
-                    index[keys[k]] = base + i
-                rows = np.fromiter((index[k] for k in keys), np.int64, len(keys))
-                scores = cache["scores"][rows]
-                total = np.stack([np.bincount(words.row, scores[back, j], hi - lo) for j in range(len(m.langs))], 1) if len(words.row) else np.zeros((hi - lo, len(m.langs)))
-                best = total.argmax(1)
-                with np.errstate(under="ignore"):
-                    posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                ok = lettered[lo:hi] & (words.counts > 0)
-                pred = [m.langs[b] if o else "und" for b, o in zip(best, ok, strict=True)]
-                cols = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(np.where(ok, posterior, 0.0))], [*keep, "lang_pred", "score"])
-
-    return documents.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(score, out)
+            best, posterior = _text_scores(shared.value, batch.column(at))
+            lang = names.take(pa.array(np.where(best < 0, len(names) - 1, best)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lang, pa.array(posterior)], [*keep, "lang_pred", "score"])
+
+    out = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    return documents.select(*keep, *([F.col("text").cast("string")] if at == len(keep) else [])).mapInArrow(score, out)
+
+
+def held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
 
 def identify(documents: DataFrame, keep: list[str], labels: DataFrame | None = None) -> DataFrame:
-    """Learns from the rows of labels (documents, unless given) whose crc32(doc_id) mod 4 isn't 2, and predicts all of documents."""
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
-    source = documents if labels is None else labels
-    model = learn(source.where(fold != 2).select(F.col("doc_id").alias("key"), "lang", "text"))
-    return predict(documents.withColumn("held_out", fold == 2), model, [*keep, "held_out"])
+    """Learns from the rows of labels (documents, unless given) outside the held-out fold, and predicts all of documents."""
+    model = learn((documents if labels is None else labels).where(~held_out()))
+    keep = [c for c in keep if c not in FOUND]
+    return predict(documents.withColumn("held_out", held_out()), model, [*keep, "held_out"])
+
+
+def of_known_language(documents: DataFrame, least: float) -> DataFrame:
+    """The rows of documents, as they are, whose text has a language with a score of at least ``least``."""
+    model = learn(documents.where(~held_out()))
+    if not model.langs:
+        return documents.where(F.lit(False))
+    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, posterior = _text_scores(shared.value, batch.column(at))
+            yield batch.filter(pa.array((best >= 0) & (posterior >= least)))
+
+    return documents.mapInArrow(keep, documents.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
