@@ -7,10 +7,11 @@ intersection is at least 4 times the sum of their sizes (a similarity of 0.8).
    copies cost one row. A class has the counts of its shingles over ``GROUPS`` hash groups: a
    point whose coordinate minima, summed over two points, bound their overlap from above.
 2. Linked sets share one of their size - ceil(0.8 size) + 1 smallest shingle hashes. Classes meet
-   under these keys; a key of over ``block`` classes is split in blocks that meet pairwise.
+   under these keys.
 3. Every class is first compared with the smallest class under each of its keys. This joins
-   large groups of near copies in linear work.
-4. Under keys that still hold several components, the points are packed into an R-tree, whose
+   large groups of near copies in linear work, wherever their rows are.
+4. Under keys that still hold several components (a key of over ``block`` classes split in blocks
+   that meet pairwise), the points are packed into an R-tree, whose
    self-join descends only into node pairs that the bound and the sizes allow and that are not
    wholly of one component. Surviving pairs are verified exactly and the components joined: step
    by step the most promising partner of each class, until few are new, in the end all pairs that
@@ -19,7 +20,8 @@ intersection is at least 4 times the sum of their sizes (a similarity of 0.8).
 Texts reach a shuffle only for classes that have a candidate, and only if their ids are too many
 for a broadcast of checked size.
 
-Defined cases: null texts and texts without words have an empty set and stay alone; a text of
+Defined cases: null texts and texts without words have an empty set and stay alone; an empty table gives an empty result;
+a very long text is hashed whole, its point has more groups; columns other than doc_id and text are ignored, and kept by one_of_each; a text of
 fewer than five words has one shingle; repeated rows are one class and each keep their row; ties
 go to the smallest doc_id; a null doc_id is never the name of a component that has another.
 As several texts may share a doc_id or have none, texts are found again by doc_id and a hash of the text.
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 from . import buffers as B
 from .components import components
 from .tables import read, settled
+from .workers import release
 
-SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 20_000
+SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 8_000
+STAR = 4_000  # classes of a key that one task brings together to find its leader
 PAIRS = 16_000  # of points compared at once: 4 MB for each of their copies
 BROADCAST_ROWS = 2_000_000  # 16 MB of ids
 MAX_STEPS = 12
@@ -163,6 +167,7 @@ def signatures(documents: DataFrame, full: bool) -> DataFrame:
     schema = "doc_id long, n long, lo long, hi long" + ", row_key long, keys array<long>, point binary" * full
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo, hi, data, offsets in B.slices(batch.column(1)):
                 value, first = distinct_shingles(data, offsets)
@@ -392,22 +397,30 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def split_keys(classes: DataFrame, block: int) -> DataFrame:
-    """(key, id) for every prefix key of every class; a key of about over block classes becomes keys of block pairs.
+def keyed(classes: DataFrame, most: int) -> DataFrame:
+    """(key, id, leader) for the prefix keys that classes share; leader is the smallest id of a key.
 
-    Which keys are that large is estimated on a sixty-fourth of the classes; only the split
-    depends on it, not the result.
+    The postings of a key of about over ``most`` classes are not brought together: their leaders are map-side
+    combined minima, sent back to where the postings are. Which keys are that large is estimated
+    on a sixty-fourth of the classes; only the way depends on it, not the result.
     """
     drawn = classes.where(F.pmod("lo", F.lit(64)) == 0).select(F.explode("keys").alias("key")).groupBy("key").count()
-    large = drawn.where(F.col("count") * 64 > block).select("key", F.ceil(F.col("count") * 64 / block).cast("int").alias("parts"))
+    large = settled(drawn.where(F.col("count") * 64 > most).select("key"))
     postings = classes.select(F.explode("keys").alias("key"), "id")
     if large.isEmpty():
-        return postings
-    marked = postings.join(large, "key", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    plain = marked.where("parts is null").select("key", "id")
-    pairs = marked.where("parts is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return plain.unionByName(pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id"))
+        return shared_keys(postings)
+    few = small(large)
+    hot = postings.join(few, "key")
+    lead = small(settled(hot.groupBy("key").agg(F.min("id").alias("leader"))))
+    return shared_keys(postings.join(few, "key", "left_anti")).unionByName(hot.join(lead, "key").select("key", "id", "leader"))
+
+
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows (key, c, ...), with c the classes of the key: a key of over block classes becomes keys of pairs of blocks."""
+    parts = F.ceil(F.col("c") / block).cast("int")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return rows.withColumn("key", F.when(F.col("c") > block, pair).otherwise(F.col("key"))).drop("_own", "_other", "c")
 
 
 def class_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -415,7 +428,7 @@ def class_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
     classes = signatures(documents, True).where("n > 0").groupBy("n", "lo", "hi").agg(least, F.first("keys").alias("keys"), F.first("point").alias("point"))
     classes = settled(classes.select("n", "lo", "hi", "m.doc_id", "m.row_key", "keys", "point").withColumn("id", F.monotonically_increasing_id()))
-    shared = settled(shared_keys(split_keys(classes, block)))
+    shared = settled(keyed(classes, min(block, STAR)))
     stars = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tasks = 1 + classes.count() // CLASSES_A_TASK
     links = settled(verified(settled(_bounded(stars, classes).coalesce(tasks)), classes, documents, tasks))
@@ -423,8 +436,9 @@ def class_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     named = shared.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sums = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
     open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), *sums).where("x != y")
-    open_keys = open_keys.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key")  # of keys with the same ids, one
-    rows = settled(by_key(named.join(open_keys, "key", "left_semi").select("key", "id").join(classes.select("id", "n", "point"), "id")))
+    open_keys = open_keys.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c")  # of keys with the same ids, one
+    rows = named.join(open_keys, "key").select("key", "c", "id").join(classes.select("id", "n", "point"), "id")
+    rows = settled(by_key(in_blocks(rows, block)))
 
     def placed(found: DataFrame) -> DataFrame:
         """rows with their components; each key stays in its partition if the table of components is small."""
