@@ -7,14 +7,18 @@ siblings. Each leaf then takes its documents in whole epochs and the token-prefi
 epoch in a seeded order.
 
 Allocation works on the table of leaves. The prefix of a leaf is found in two steps: token sums
-by 65,536 ranges of the seeded hash (map-side combined), then an order within the one range that
-holds the cut. So a leaf with a third of all rows is no hot group, and texts are only dealt for
-rows of those ranges.
+by 65,536 ranges of the seeded hash (map-side combined), then sums by key within the one range
+that holds the cut. Rows meet the leaves' targets by broadcast while those are at most
+``BROADCAST_ROWS``, else in a join salted over ``SALT`` parts. So a leaf with a third of all rows
+is no hot group, nor is a doc_id with as many: rows of one leaf, doc_id and number of tokens are
+counted as one, and only where the cut goes through such a group are its rows numbered.
 
 Defined cases: a null text has no tokens and costs nothing; null domains, languages and sources
-are leaves named ''; rows with equal doc_id follow each other, the smaller first; the share of a
-node is rounded down; a budget over the capacity takes all epochs of everything; an empty table
-gives an empty result.
+are leaves named ''; rows with equal doc_id follow each other, the smaller first, and of equal
+ones any; the share of a node is rounded down; a budget over the capacity takes all epochs of
+everything; very long texts are counted whole and cost their tokens; an empty table
+gives an empty result; columns named domain, n_tokens or copies give way to the operator's own,
+all others stay.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from .tables import read, settled
 
 LEVELS = ["domain", "lang", "source"]
 SEED, SHARE, MAX_EPOCHS = 17, 0.6, 2
+BROADCAST_ROWS, SALT = 100_000, 16  # rows of about 100 bytes
+NODES_A_TASK = 50_000
+FOUND = ("domain", "n_tokens", "copies")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,9 +47,9 @@ def domain_of(source: Column) -> Column:
 
 def allocate(leaves: DataFrame, budget: int, levels: list[str] = LEVELS, max_epochs: int = MAX_EPOCHS, weights: DataFrame | None = None) -> DataFrame:
     """leaves (levels, tokens) with target, the tokens each may take. weights: level, name and a positive weight; 1 if not given."""
-    rows = leaves.withColumn("_cap", F.col("tokens") * max_epochs)
-    target = F.least(F.lit(budget).cast("long"), F.coalesce(F.sum("_cap").over(Window.partitionBy(F.lit(0))), F.lit(0)))
-    nodes = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.sum("_cap").alias("_cap")).withColumn("_target", target)
+    tasks = 1 + leaves.count() // NODES_A_TASK
+    nodes = leaves.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * max_epochs).alias("_cap")).withColumn("_target", F.lit(budget).cast("long"))
+    nodes = settled(nodes.coalesce(tasks))
     for depth, level in enumerate(levels):
         path, up = levels[: depth + 1], levels[:depth]
         parts = nodes.groupBy(*path).agg(F.sum("_cap").alias("cap"), F.first("_target").alias("target"))
@@ -61,38 +68,63 @@ def allocate(leaves: DataFrame, budget: int, levels: list[str] = LEVELS, max_epo
         parts = parts.join(openers, [*up, "_one"], "left")
         share = F.floor(F.col("o.rest").cast("double") * F.col("weight") / F.col("o.left")).cast("long")
         parts = parts.select(*path, F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", share)).alias("_next"))
-        nodes = nodes.join(parts, path).withColumn("_target", F.col("_next")).drop("_next")
+        nodes = settled(nodes.join(parts, path).withColumn("_target", F.col("_next")).drop("_next").coalesce(tasks))
     return nodes.select(*levels, "tokens", F.col("_target").alias("target"))
 
 
-def _ordered(rows: DataFrame, seed: int) -> DataFrame:
-    """rows (with epochs) with the place of each in the seeded order of its leaf's last epoch."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _meet(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with few on columns that may be hot."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), on, how)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_key", "_n"), F.lit(SALT)))
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return rows.join(few, [*on, "_salt"], how).drop("_salt")
+
+
+def _keyed(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """rows with their leaf's target and the place of each in the seeded order of the leaf's last epoch."""
+    rows = rows.withColumn("_key", F.col("_id").cast("string"))
+    rows = _meet(rows, targets, _LEAF)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epochs").cast("string"), F.coalesce("_key", F.lit(""))))
     return rows.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 4))
 
 
+_LEAF = ["_d", "_l", "_s"]
+
+
 def mix(documents: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Column | None = None, weights: DataFrame | None = None) -> DataFrame:
     """documents with domain, n_tokens and copies (0 and more): how often each enters the mixture of share times all tokens."""
-    leaf = ["_d", "_l", "_s"]
-    rows = documents.withColumns({"_d": F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("")), "_l": F.coalesce("lang", F.lit("")), "_s": F.coalesce("source", F.lit("")), "n_tokens": word_count(F.col("text"))})
-    narrow = settled(rows.select("doc_id", *leaf, "n_tokens"))
-    leaves = narrow.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))
+    leaf = _LEAF
+    kept = [c for c in documents.columns if c not in FOUND]
+    own = {"_id": F.col("doc_id"), "_d": F.coalesce(domain if domain is not None else domain_of(F.col("source")), F.lit("")), "_l": F.coalesce("lang", F.lit("")), "_s": F.coalesce("source", F.lit("")), "_n": word_count(F.col("text"))}
+    # the caller's columns go by number meanwhile, so that no name of theirs meets one of these
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(kept)], *[c.alias(name) for name, c in own.items()])
+    narrow = settled(rows.select(*own))
+    leaves = settled(narrow.groupBy(*leaf).agg(F.sum("_n").alias("tokens")))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     targets = allocate(leaves.toDF(*LEVELS, "tokens"), int(total * share), LEVELS, max_epochs, weights).toDF(*leaf, "tokens", "target")
     epochs = F.when(F.col("tokens") > 0, F.expr("target div tokens")).otherwise(F.lit(1).cast("long"))
-    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("tokens")).select(*leaf, "epochs", "rest")
-    sums = _ordered(narrow.join(targets, leaf), seed).groupBy(*leaf, "_range", "rest").agg(F.sum("n_tokens").alias("n"))
+    targets = settled(targets.withColumn("_epochs", epochs).select(*leaf, "_epochs", (F.col("target") - F.col("_epochs") * F.col("tokens")).alias("_rest")))
+    sums = _keyed(narrow, targets, seed).groupBy(*leaf, "_range", "_rest").agg(F.sum("_n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_range"))
-    cut = sums.withColumn("upto", upto).where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("_range", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
-    targets = settled(targets.join(cut, leaf, "left").select(*leaf, "epochs", "rest", F.col("c._range").alias("_cut"), F.col("c.before").alias("_before")))
-    placed = _ordered(rows.join(targets, leaf), seed)
-    clear = placed.where("_cut is null or _range != _cut").withColumn("_in", F.col("_cut").isNull() | (F.col("_range") < F.col("_cut")))
-    running = F.sum("n_tokens").over(Window.partitionBy(*leaf).orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    edge = placed.where("_range = _cut").withColumn("_in", F.col("_before") + running <= F.col("rest"))
-    both = clear.unionByName(edge)
+    cut = sums.withColumn("upto", upto).where("upto > _rest").groupBy(*leaf).agg(F.min(F.struct("_range", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
+    targets = settled(targets.join(cut, leaf, "left").select(*leaf, "_epochs", "_rest", F.col("c._range").alias("_cut"), F.col("c.before").alias("_before")))
+    groups = _keyed(narrow, targets, seed).where("_range = _cut").groupBy(*leaf, "_key", "_n", "_rest", "_before").agg(F.count("*").alias("_c"))
+    upto = F.col("_before") + F.sum(F.col("_n") * F.col("_c")).over(Window.partitionBy(*leaf).orderBy("_key", "_n"))
+    room = F.col("_rest") - (F.col("_upto") - F.col("_n") * F.col("_c"))
+    some = F.when((F.col("_n") > 0) & (room > 0), F.expr("floor(_room / _n)").cast("long")).otherwise(0)
+    fits = groups.withColumn("_upto", upto).withColumn("_room", room).withColumn("_fits", F.when(F.col("_upto") <= F.col("_rest"), F.col("_c")).otherwise(some))
+    fits = settled(fits.select(*leaf, "_key", "_n", "_fits", "_c"))
+    placed = _meet(_keyed(rows, targets, seed), fits, [*leaf, "_key", "_n"], "left")
+    inside = F.col("_cut").isNull() | (F.col("_range") < F.col("_cut")) | F.coalesce(F.col("_fits") == F.col("_c"), F.lit(False))
+    through = F.coalesce((F.col("_fits") > 0) & (F.col("_fits") < F.col("_c")), F.lit(False))
+    both = placed.where(~through).withColumn("_in", inside)
+    if not fits.where(through).isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*leaf, "_key", "_n").orderBy("_key"))
+        both = both.unionByName(placed.where(through).withColumn("_in", nth <= F.col("_fits")))
     # a leaf without tokens has one whole epoch of its (empty) documents
-    copies = F.least(F.lit(max_epochs), F.col("epochs") + F.when(F.col("rest") > 0, F.col("_in").cast("long")).otherwise(F.lit(0))).cast("long")
-    return both.withColumn("domain", F.col("_d")).withColumn("copies", copies).select(*documents.columns, "domain", "n_tokens", "copies")
+    copies = F.least(F.lit(max_epochs), F.col("_epochs") + F.when(F.col("_rest") > 0, F.col("_in").cast("long")).otherwise(F.lit(0))).cast("long")
+    return both.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)], F.col("_d").alias("domain"), F.col("_n").alias("n_tokens"), copies.alias("copies"))
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
