@@ -1,14 +1,18 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 Every benchmark item gives windows of ``n`` consecutive words (an item of fewer words, but not
-none, is one window). Their hashes are broadcast; tasks roll over each document's words, look
+none, is one window). Tasks hash them; the distinct ones come to the driver as one Arrow table of
+plain buffers and are broadcast. Tasks roll over each document's words, look
 every window up, verify each hit byte by byte and merge the hits into spans. The broadcast is
-bounded: a benchmark of more than ``max_windows`` windows is scanned in several sets of at most
-that size, and the spans of all scans are merged, so the result does not depend on the bound.
+bounded: a benchmark of more than ``max_windows`` windows (about 150 bytes each) is scanned in several sets of at most
+about that size, one after another, and the spans of all scans are merged, so the result does not depend on the bound.
 
 Defined cases: null or empty texts have no words (never hit, no item); repeated documents each
-get their row; an item that is repeated counts once by its id, one without an id is ignored; an empty benchmark hits nothing;
-other columns are ignored.
+get their row, and rows of one doc_id and different texts are told apart; an item that is repeated
+counts once by its id; items without an id hit words as others do, count as one item together
+and add no name to the list; an empty benchmark or table gives no hits or rows; a very long text
+is scanned whole, in memory in proportion to it; other columns are ignored, and kept by
+remove_contamination, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,55 +21,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buffers as B
-from .tables import read
+from .tables import read, settled
+from .workers import release
 
 WINDOW = 10
-MAX_WINDOWS = 2_000_000
+MAX_WINDOWS = 500_000
 SCAN = "doc_id long, row_key long, n_words long, spans array<long>, items array<string>"
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The distinct windows (word lengths, the words' bytes, item) of a benchmark."""
+    """The distinct windows of a benchmark: words, hash, lens (of the words, 32 bits each), body (the words' bytes) and items."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, words_of, lens_of = [], [], []
-            for lo, _, data, offsets in B.slices(batch.column(1)):
+            for lo, hi, data, offsets in B.slices(batch.column(1)):
                 words = B.Words(B.LOWER[data], offsets, B.ALNUM)
                 body, at = words.compact()
-                for r in range(len(offsets) - 1):
-                    first, end = words.first[r], words.first[r + 1]
-                    for i in range(first, max(end - n + 1, first + (end > first))):
-                        stop = min(i + n, end)
-                        ids.append(batch.column(0)[lo + r].as_py())
-                        words_of.append(body[at[i] : at[stop]].tobytes())
-                        lens_of.append(np.diff(at[i : stop + 1]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words_of, pa.binary()), pa.array(lens_of, pa.list_(pa.int64()))], ["item", "body", "lens"])
+                hashes, sizes = B.hash_runs(body, at), np.diff(at).astype("<i4")
+                for k in range(1, n + 1):
+                    found = B.window_hashes(hashes, k)
+                    last = words.first[1:] - k
+                    rows = np.flatnonzero((words.counts == k) | ((k == n) & (words.counts > n)))
+                    first = B.ragged(words.first[rows], last[rows] - words.first[rows] + 1)
+                    if not len(first):
+                        continue
+                    item = batch.column(0).slice(lo, hi - lo).take(pa.array(words.row[first]))
+                    lens, bodies = ([x.tobytes() for x in parts] for parts in ((sizes[i : i + k] for i in first), (body[at[i] : at[i + k]] for i in first)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(found[first].view(np.int64)), pa.array(lens, pa.binary()), pa.array(bodies, pa.binary()), item], ["words", "hash", "lens", "body", "item"])
 
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    return items.mapInArrow(windows, "item string, body binary, lens array<long>").distinct()
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    found = items.mapInArrow(windows, "words int, hash long, lens binary, body binary, item string").distinct()
+    return found.groupBy("words", "hash", "lens", "body").agg(F.collect_list(F.struct("item")).alias("items"))
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column and the offsets of its rows."""
+    (_, _, data, offsets), = B.slices(column.combine_chunks(), 1 << 40)
+    return data.copy(), offsets
 
 
 class WindowSet:
     """Windows by number of words: sorted hashes with the words' bytes, lengths and items of each."""
 
-    def __init__(self, rows: list):
-        windows: dict[tuple, set[str]] = {}
-        for r in rows:
-            windows.setdefault((tuple(r["lens"]), bytes(r["body"])), set()).add(r["item"])
+    def __init__(self, windows: pa.Table):
         self.by_length = {}
-        for k in sorted({len(lens) for lens, _ in windows}):
-            own = [(lens, body) for lens, body in windows if len(lens) == k]
-            body = np.frombuffer(b"".join(b for _, b in own), np.uint8)
-            lens = np.array([x for x, _ in own], np.int64)
-            word_at = np.concatenate([[0], np.cumsum(lens.ravel())])
-            hashes = B.window_hashes(B.hash_runs(body, word_at), k)[::k]
-            order = np.argsort(hashes, kind="stable")
-            self.by_length[k] = (hashes[order], body, word_at[::k][:-1][order], lens[order], [frozenset(windows[own[i]]) for i in order])
+        for k in sorted(set(windows.column("words").to_pylist())):
+            own = windows.filter(pc.equal(windows.column("words"), k))
+            own = own.take(pa.array(np.argsort(own.column("hash").to_numpy().view(np.uint64), kind="stable"))).combine_chunks()
+            body, at = _flat(own.column("body"))
+            lens, _ = _flat(own.column("lens"))
+            self.by_length[k] = (own.column("hash").to_numpy().view(np.uint64), body, at[:-1], lens.view("<i4").reshape(-1, k).astype(np.int64), own.column("items"))
 
     def hits(self, words: B.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
         """(words of a window, index of first words, index of windows, items by window), verified."""
@@ -96,6 +106,7 @@ class WindowSet:
 
 def _scan(documents: DataFrame, windows) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known: WindowSet = windows.value
         for batch in batches:
             for lo, hi, data, offsets in B.slices(batch.column(2)):
@@ -106,7 +117,8 @@ def _scan(documents: DataFrame, windows) -> DataFrame:
                     np.add.at(depth, first, 1)
                     np.add.at(depth, first + k, -1)
                     seen = np.unique(np.stack([words.row[first], which], 1), axis=0)
-                    pairs += [(r, items[w]) for r, w in seen.tolist()]
+                    named = items.take(pa.array(seen[:, 1])).to_pylist()
+                    pairs += [(r, [x["item"] for x in own]) for r, own in zip(seen[:, 0].tolist(), named, strict=True)]
                 hit = np.cumsum(depth)[:-1] > 0
                 rows = hi - lo
                 by_row: dict[int, set] = {}
@@ -120,7 +132,7 @@ def _scan(documents: DataFrame, windows) -> DataFrame:
                         r = words.row[a]
                         spans[r] += [a - int(words.first[r]), b + 1 - int(words.first[r])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), pa.array(words.counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(by_row.get(r, ())) for r in range(rows)], pa.list_(pa.string()))],
+                    [batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), pa.array(words.counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(by_row.get(r, ()), key=lambda x: (x is None, x)) for r in range(rows)], pa.list_(pa.string()))],
                     ["doc_id", "row_key", "n_words", "spans", "items"],
                 )
 
@@ -143,15 +155,17 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, n: int = WIND
     row_key tells repeated doc_ids apart only where several scans are needed; it is null else.
     """
     spark = documents.sparkSession
-    windows = benchmark_windows(benchmark, n)
+    windows = settled(benchmark_windows(benchmark, n))
     n_sets = max(1, -(-windows.count() // max_windows))
     docs = documents.select(F.col("doc_id").cast("long"), (F.xxhash64("text") if n_sets > 1 else F.lit(None)).cast("long").alias("row_key"), F.col("text").cast("string"))
+    if n_sets == 1:
+        return _scan(docs, spark.sparkContext.broadcast(WindowSet(windows.toArrow())))
     scans = []
     for i in range(n_sets):
-        own = windows if n_sets == 1 else windows.where(F.pmod(F.xxhash64("body", "lens"), F.lit(n_sets)) == i)
-        scans.append(_scan(docs, spark.sparkContext.broadcast(WindowSet(own.collect()))))
-    if n_sets == 1:
-        return scans[0]
+        known = spark.sparkContext.broadcast(WindowSet(windows.where(F.pmod(F.xxhash64("body", "lens"), F.lit(n_sets)) == i).toArrow()))
+        found = _scan(docs, known)
+        scans.append(settled(found if i == 0 else found.where(F.size("items") > 0)))
+        known.destroy()
     return _merge_scans(scans)
 
 
@@ -172,7 +186,7 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str =
     With more, the merged spans of hit rows meet the texts under doc_id and row_key.
     """
     spark = documents.sparkSession
-    windows = benchmark_windows(benchmark, n)
+    windows = settled(benchmark_windows(benchmark, n))
     columns, at = documents.columns, documents.columns.index("text")
     if windows.count() > max_windows:
         found = find_contamination(documents, benchmark, n, max_windows).where(F.size("items") > 0).dropDuplicates(["doc_id", "row_key"])
@@ -194,9 +208,10 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str =
                     yield _without(own.select(columns), at, data, offsets, words, np.cumsum(depth)[:-1] > 0)
 
         return rows.mapInArrow(cut, documents.schema)
-    known = spark.sparkContext.broadcast(WindowSet(windows.collect()))
+    known = spark.sparkContext.broadcast(WindowSet(windows.toArrow()))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo, hi, data, offsets in B.slices(batch.column(at)):
                 words = B.Words(B.LOWER[data], offsets, B.ALNUM)
