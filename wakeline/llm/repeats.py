@@ -17,13 +17,19 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
    counted by hash over all tasks instead.
 5. The marked spans go back to all copies, and are cut from the texts.
 
-Spans and requests travel to the texts by broadcast if they are few (a checked number of entries),
-else by a join on the row's identity.
+Requests for bytes and the marked spans meet the texts in joins on doc_id and a hash of the text.
+Before each, a sketch of the wanted keys (a bit for each of ``BITS`` hash values, whatever the size
+of the corpus) lets the tasks that read the texts pass on only what may be wanted: texts without a
+repeated string aren't shuffled. A full sketch passes everything and changes no result.
+
+Anchors are told apart by 64-bit hashes of their strings, segments by 128 bits (their own and
+their anchor's); matches inside an index are compared byte by byte.
 
 Defined cases: null texts are empty (0 bytes, hash of nothing); texts under LENGTH bytes
 hold no window and keep all; repeated rows are copies of each
-other and lose everything from LENGTH bytes on; matches never cross documents; a null doc_id is
-an id like any other; an empty table gives an empty result.
+other and lose everything from LENGTH bytes on; rows of one doc_id and different texts are
+different documents; matches never cross documents; a null doc_id is
+an id like any other; a very long text is scanned whole, in memory in proportion to it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buffers as B
 from .tables import read, settled
+from .workers import release
 
 LENGTH, K = 400, 128
 BLOCK = 20_000  # different segments of one anchor in one index
 INDEX_BYTES = 3 << 20
-BROADCAST_ROWS = 400_000  # of single keys
-BROADCAST_ENTRIES = 1_600_000  # of spans or requests, about 40 bytes each
+BITS = 1 << 26  # of a sketch: 8 MB
 _BASE = B.U(0x9FB21C651E98DF25 | 1)
 _INVERSE = B.U(pow(int(_BASE), -1, 1 << 64))
 
@@ -138,6 +145,21 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarra
         ended = left < h
 
 
+def _compared(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """size, cut where the strings at a and b differ (only if hashes met by chance)."""
+    size = size.copy()
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(size) >> 18)) + 1):
+        if not len(part):
+            continue
+        differ = symbols[B.ragged(a[part], size[part])] != symbols[B.ragged(b[part], size[part])]
+        if differ.any():
+            first = np.cumsum(size[part]) - size[part]
+            place = np.flatnonzero(differ)
+            own, one = np.unique(np.searchsorted(first, place, "right") - 1, return_index=True)
+            size[part[own]] = place[one] - first[own]
+    return size
+
+
 def repeated_spans(bodies: list[bytes], length: int = LENGTH) -> list[list[int]]:
     """For each body the spans [from, to, ...] of strings of length bytes that start elsewhere too."""
     lens = np.array([len(b) for b in bodies], np.int64)
@@ -163,6 +185,8 @@ def repeated_spans(bodies: list[bytes], length: int = LENGTH) -> list[list[int]]
         mid = (low + high + 1) // 2
         ok = substring_hash(prefix, a, a + mid) == substring_hash(prefix, b, b + mid)
         low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+    low = _compared(symbols, a, b, low)
+    a, b, low = (x[low >= length] for x in (a, b, low))
     depth = np.zeros(n + 1, np.int64)
     for x in (a, b):
         np.add.at(depth, x, 1)
@@ -185,32 +209,68 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
 
 
-def _scan(documents: DataFrame, length: int, k: int) -> DataFrame:
+def sketch(keys: Column, rows: DataFrame) -> np.ndarray:
+    """Which of BITS hash values the keys of rows (64-bit hashes) have, as 64-bit words; its size is fixed."""
+    bit = F.pmod(keys, F.lit(BITS))
+    words = rows.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def in_sketch(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys.view(np.uint64) % B.U(BITS)
+    return (words[(bit >> B.U(6)).astype(np.int64)].view(np.uint64) >> (bit & B.U(63))) & B.U(1) > 0
+
+
+def _scan(documents: DataFrame, length: int, k: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """The segments of all rows; with wanted (a sketch of anchors) those that may be in it."""
+    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo, hi, data, offsets in B.slices(batch.column(2)):
                 row, start, size, anchor, segment = segments(data, offsets, length, k)
+                if shared.value is not None:
+                    row, start, size, anchor, segment = (x[in_sketch(shared.value, anchor)] for x in (row, start, size, anchor, segment))
                 own = batch.slice(lo, hi - lo).select([0, 1]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(anchor), pa.array(segment)], ["doc_id", "mark", "start", "windows", "anchor", "segment"])
 
     return _rows(documents).mapInArrow(scan, "doc_id long, mark long, start int, windows int, anchor long, segment long")
 
 
-def _few(df: DataFrame, n: int, most: int = BROADCAST_ENTRIES) -> DataFrame:
-    return F.broadcast(df) if n <= most else df
+def _row_sketch(rows: DataFrame) -> Broadcast:
+    return rows.sparkSession.sparkContext.broadcast(sketch(F.xxhash64("doc_id", "mark"), rows))
+
 
+def _rows_in(documents: DataFrame, known: Broadcast, inside: bool = True) -> DataFrame:
+    """The rows that may be in a sketch of doc_id and mark, or those that are not: with their texts cut by no span."""
 
-def _by_row(documents: DataFrame, more: DataFrame, how: str) -> DataFrame:
-    """documents with more's columns, joined on doc_id (null included) and mark; more holds a row for each at most."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            own = batch.filter(pa.array(in_sketch(known.value, batch.column(3).to_numpy()) == inside))
+            if inside:
+                yield own.select(["doc_id", "mark", "text"])
+            else:
+                yield from _remaining(own.column(0), own.column(2), None)
+
+    rows = _rows(documents).withColumn("key", F.xxhash64("doc_id", "mark"))
+    return rows.mapInArrow(keep, "doc_id long, mark long, text binary" if inside else KEPT)
+
+
+def _by_row(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
+    """rows with more's columns, joined on doc_id (null included) and mark; more holds a row for each at most."""
     more = more.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
-    rows = _rows(documents)
     return rows.join(more, rows["doc_id"].eqNullSafe(more["_doc"]) & (rows["mark"] == more["_mark"]), how).drop("_doc", "_mark")
 
 
 def _bodies(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """anchor, segment, copies and the bytes of each wanted segment, from one row that has it."""
-    n = wanted.count()
-    wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "anchor", "segment", "copies")).alias("parts"))
+    rows = _rows_in(documents, _row_sketch(wanted))
+    parts = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "anchor", "segment", "copies")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +279,9 @@ def _bodies(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 body = [text[p["start"] : p["start"] + p["windows"] - 1 + length] for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in parts], pa.int64()) for c in ("anchor", "segment", "copies")] + [pa.array(body, pa.binary())], ["anchor", "segment", "copies", "body"])
 
-    found = _by_row(documents, _few(wanted, n), "inner").select("text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, body binary")
-    return found.dropDuplicates(["anchor", "segment"])
+    found = _by_row(rows, parts, "inner").select("text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, body binary")
+    found = settled(found)
+    return found if found.count() == wanted.count() else settled(found.dropDuplicates(["anchor", "segment"]))  # repeated rows of one doc_id and text
 
 
 def _indexed(bodies: DataFrame, length: int) -> DataFrame:
@@ -273,12 +334,12 @@ def repeated(documents: DataFrame, length: int = LENGTH, k: int = K, block: int
     """doc_id, mark and repeated byte spans [from, to, ...], unmerged, of the rows that have any."""
     counts = _scan(documents, length, k).groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1")
     again = settled(counts.select("anchor", (F.col("x") != F.col("y")).alias("various")))
-    seen = settled(_scan(documents, length, k).join(_few(again, again.count(), BROADCAST_ROWS), "anchor"))
+    seen = settled(_scan(documents, length, k, sketch(F.col("anchor"), again)).join(again, "anchor"))
     whole = F.array(F.col("start"), F.col("start") + F.col("windows") - 1 + length)
     plain = seen.where("not various").select("doc_id", "mark", whole.alias("spans"))
     various = seen.where("various")
-    one = various.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "start", "windows")).alias("r")).select("anchor", "segment", "copies", "r.*")
-    bodies = settled(_bodies(documents, one, length))
+    one = various.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "start", "windows")).alias("r"))
+    bodies = _bodies(documents, settled(one.select("anchor", "segment", "copies", "r.*")), length)
     large = settled(bodies.groupBy("anchor").count().where(F.col("count") > block).select("anchor"))
     found = _indexed(bodies.join(large, "anchor", "left_anti"), length)
     if not large.isEmpty():
@@ -287,8 +348,8 @@ def repeated(documents: DataFrame, length: int = LENGTH, k: int = K, block: int
     found = settled(found.where("copies > 1 or size(spans) > 0"))
     shifted = F.transform("spans", lambda x: x + F.col("start"))
     spread = various.join(found, ["anchor", "segment"]).select("doc_id", "mark", F.when(F.col("copies") > 1, whole).otherwise(shifted).alias("spans"))
-    spans = plain.unionByName(spread).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return spans
+    # a set: repeated rows of one doc_id and text have the same spans
+    return plain.unionByName(spread).groupBy("doc_id", "mark").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def merged_spans(spans: np.ndarray) -> np.ndarray:
@@ -302,32 +363,41 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([pair[head, 0], reach[np.concatenate([head[1:] - 1, [len(pair) - 1]])]], 1)
 
 
+KEPT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+
+
+def _remaining(doc_id: pa.Array, text: pa.Array, spans: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """Rows of KEPT from whole texts and their spans (none if null)."""
+    for lo, hi, data, offsets in B.slices(text):
+        kept, removed, n_spans = [], [], []
+        for r in range(hi - lo):
+            own = data[offsets[r] : offsets[r + 1]]
+            cut = spans[lo + r] if spans is not None else None
+            if cut is not None and cut.is_valid and len(cut):
+                pair = merged_spans(cut.values.to_numpy().astype(np.int64))
+                keep = np.ones(len(own), bool)
+                keep[B.ragged(pair[:, 0], pair[:, 1] - pair[:, 0])] = False
+                own = own[keep]
+                n_spans.append(len(pair))
+            else:
+                n_spans.append(0)
+            kept.append(own.tobytes())
+            removed.append(int(offsets[r + 1] - offsets[r]) - len(own))
+        columns = [doc_id.slice(lo, hi - lo), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+
+
 def cut_repeats(documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of each row."""
     spans = settled(repeated(documents, length, k, block))
+    known = _row_sketch(spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in B.slices(batch.column(1)):
-                kept, removed, n_spans = [], [], []
-                for r in range(hi - lo):
-                    text = data[offsets[r] : offsets[r + 1]]
-                    own = batch.column(2)[lo + r]
-                    if own.is_valid and len(own):
-                        pair = merged_spans(own.values.to_numpy().astype(np.int64))
-                        keep = np.ones(len(text), bool)
-                        keep[B.ragged(pair[:, 0], pair[:, 1] - pair[:, 0])] = False
-                        text = text[keep]
-                        n_spans.append(len(pair))
-                    else:
-                        n_spans.append(0)
-                    kept.append(text.tobytes())
-                    removed.append(int(offsets[r + 1] - offsets[r]) - len(text))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    entries = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = _by_row(documents, _few(spans, entries // 2), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+            yield from _remaining(batch.column(0), batch.column(1), batch.column(2))
+
+    marked = _by_row(_rows_in(documents, known), spans, "left").select("doc_id", "text", "spans").mapInArrow(cut, KEPT)
+    return marked.unionByName(_rows_in(documents, known, inside=False))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
