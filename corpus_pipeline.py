@@ -11,11 +11,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wakeline.llm import count_vectors, decontaminate, grammar_shards, langid, mixture
-from wakeline.llm.tables import read, shared_dir
-from wakeline.shipping import ship
+from wakeline.llm.tables import read, ready, shared_dir
 
 MIN_SCORE, TOKEN_SHARE = 0.5, 0.8
 ORACLE_SQL = None
@@ -23,30 +21,29 @@ ORACLE_SQL = None
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of no language (no letter) or a score under MIN_SCORE."""
-    ship(spark)
-    found = langid.identify(docs, docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    ready(spark)
+    return langid.of_known_language(docs, MIN_SCORE)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, of its smallest doc_id; documents without words stay."""
-    ship(spark)
+    ready(spark)
     return count_vectors.one_of_each(docs)
 
 
 def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return decontaminate.remove_contamination(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """TOKEN_SHARE of all tokens, with equal weights in the tree of domain, language and source; no document twice."""
-    ship(spark)
+    ready(spark)
     return mixture.mix(docs, TOKEN_SHARE, max_epochs=1).where("copies > 0").select(*docs.columns)
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     grammar_shards.write_shards(docs, path)
     return grammar_shards.read_shards(spark, path)
