@@ -62,9 +62,15 @@ def answers_by_slot(examples: DataFrame) -> DataFrame:
 
 
 def fingerprint(split: DataFrame, columns: list[str], seed: int = 7) -> DataFrame:
-    """An order-sensitive hash: rows by 256 ranges of their hash, each range digested, then the digests in order."""
+    """A hash of all rows, whatever their order: digests of ranges of their hashes, five hexadecimal digits, then three, then one, then all.
+
+    Each digest but the first is of 256 others at most; the first of a millionth of the rows.
+    """
     row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    ranges = split.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("c"))
+    ranges = split.select(row.alias("h")).groupBy(F.substring("h", 1, 5).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("c"))
+    for digits in (3, 1):
+        inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "")
+        ranges = ranges.groupBy(F.substring("b", 1, digits).alias("_b")).agg(F.sha2(inner, 256).alias("d"), F.sum("c").alias("c")).withColumnRenamed("_b", "b")
     return ranges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"), F.sum("c").alias("n"))
 
 

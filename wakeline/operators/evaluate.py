@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dataset import order_key
 from .report import index_percentiles
 
+RANGES = 65_536
+
 
 def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(1.0))
@@ -31,8 +32,9 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def corpus_ceiling(cases: DataFrame) -> DataFrame:
-    """cases (case_id, gold, baseline: arrays): equal ones, false keeps and false cuts."""
-    rows = cases.withColumn("keeps", F.size(F.array_except("baseline", "gold"))).withColumn("cuts", F.size(F.array_except("gold", "baseline")))
+    """cases (case_id, item, gold, baseline: whether the item is in either set): equal ones, false keeps and false cuts."""
+    sides = cases.groupBy("case_id", "item").agg(F.bool_or("gold").alias("g"), F.bool_or("baseline").alias("b"))
+    rows = sides.groupBy("case_id").agg(F.count_if(F.col("b") & ~F.col("g")).alias("keeps"), F.count_if(F.col("g") & ~F.col("b")).alias("cuts"))
     return rows.agg(F.count("*").alias("cases"), F.count_if((F.col("keeps") == 0) & (F.col("cuts") == 0)).alias("equal"), F.sum("keeps").alias("false_keeps"), F.sum("cuts").alias("false_cuts"))
 
 
@@ -49,9 +51,18 @@ def paired_arms(rows: DataFrame, arms: list[str]) -> DataFrame:
 
 
 def arm_summary(arms: DataFrame, base: str = "observe", other: str = "enforce", min_cut: float = 0.02) -> DataFrame:
-    """Means, the mean of ratios and the ratio of sums of the cut, and a verdict with reasons."""
+    """Means and medians, the mean of ratios and the ratio of sums of the cut, the pass rates, and a verdict with reasons.
+
+    With pass_base and pass_other (else pass stands for both) their difference has a 95 % interval (normal approximation for paired tasks).
+    """
+    own = {"pass_base", "pass_other"} <= set(arms.columns)
+    before, after = (F.col(c if own else "pass").cast("int") for c in ("pass_base", "pass_other"))
     ratio = F.try_divide((F.col(base) - F.col(other)).cast("double"), F.col(base))
-    out = arms.agg(F.count("*").alias("n"), F.round(F.avg(base), 2).alias("mean_base"), F.round(F.avg(other), 2).alias("mean_other"), F.round(F.avg(ratio), 6).alias("mean_of_ratios"), F.round(F.try_divide((F.sum(base) - F.sum(other)).cast("double"), F.sum(base)), 6).alias("ratio_of_sums"), F.round(F.avg(F.col("pass").cast("int")), 4).alias("pass_rate"))
+    out = arms.agg(F.count("*").alias("n"), F.round(F.avg(base), 2).alias("mean_base"), F.round(F.avg(other), 2).alias("mean_other"), F.round(F.avg(ratio), 6).alias("mean_of_ratios"), F.round(F.try_divide((F.sum(base) - F.sum(other)).cast("double"), F.sum(base)), 6).alias("ratio_of_sums"), F.round(F.avg(after), 4).alias("pass_rate"), F.round(F.avg(after - before), 4).alias("pass_delta"), F.coalesce(F.stddev_samp(after - before) / F.sqrt(F.count("*")) * 1.96, F.lit(0.0)).alias("_half"))
+    out = out.withColumn("delta_low", F.round(F.col("pass_delta") - F.col("_half"), 4)).withColumn("delta_high", F.round(F.col("pass_delta") + F.col("_half"), 4)).drop("_half")
+    for c in (base, other):
+        name = "p50_base" if c == base else "p50_other"
+        out = out.join(F.broadcast(arms.agg(F.percentile(c, 0.5).alias(name))))
     reasons = F.array_join(F.array_compact(F.array(F.when(F.col("n") == 0, "no pairs"), F.when(F.col("ratio_of_sums") < min_cut, "cut too small"))), "; ")
     return out.withColumn("reasons", reasons).withColumn("passed", F.col("reasons") == "")
 
@@ -63,15 +74,22 @@ def cut_by_family(arms: DataFrame, base: str = "observe", other: str = "enforce"
 def cut_by_quartile(arms: DataFrame, base: str = "observe", other: str = "enforce", key: str = "task") -> DataFrame:
     """Quarters of the tasks by size: ranks in [i n / 4, (i + 1) n / 4) by integer division.
 
-    Ranks come from counts by value, so no window holds all rows; ties of one value are ranked by key within it.
+    Rows are counted in RANGES equal ranges of the value; only the ranges that a quarter's end
+    falls into are ranked, by value and then key. No window holds more than one of them.
     """
-    counts = arms.groupBy(base).agg(F.count("*").alias("c"))
-    over = Window.partitionBy(F.lit(0))
-    before = counts.withColumn("n", F.sum("c").over(over)).withColumn("before", F.sum("c").over(over.orderBy(base)) - F.col("c"))
-    ranked = arms.join(before, base).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy(base).orderBy(key)) - 1)
+    ends = arms.agg(F.min(base).alias("lo"), F.max(base).alias("hi"), F.count("*").alias("n"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(base) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (RANGES - 1))).otherwise(0)
+    rows = arms.join(F.broadcast(ends)).withColumn("_b", place)
+    counts = rows.groupBy("_b").agg(F.count("*").alias("c"), F.first("n").alias("_n"))
+    cut = lambda i: F.floor(F.col("_n") * i / 4)
+    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("c"))  # RANGES rows at most
+    inside = [(F.col("before") < cut(i)) & (cut(i) < F.col("before") + F.col("c")) for i in (1, 2, 3)]
+    placed = rows.join(F.broadcast(counts.withColumn("inside", inside[0] | inside[1] | inside[2])), "_b")
+    ranked = placed.where("not inside").withColumn("r", F.col("before"))
+    ranked = ranked.unionByName(placed.where("inside").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("_b").orderBy(base, key)) - 1))
     quarter = F.lit(0)
     for i in (1, 2, 3):
-        quarter = quarter + (F.col("r") >= F.floor(F.col("n") * i / 4)).cast("int")
+        quarter = quarter + (F.col("r") >= cut(i)).cast("int")
     return ranked.groupBy(quarter.alias("quarter")).agg(F.count("*").alias("tasks"), F.min(base).alias("low"), F.max(base).alias("high"), F.round(F.try_divide((F.sum(base) - F.sum(other)).cast("double"), F.sum(base)), 6).alias("cut"))
 
 
@@ -87,16 +105,24 @@ def composition(parts: DataFrame, total: float | None = None) -> DataFrame:
 def bootstrap_interval(rows: DataFrame, key: str, value: str, draws: int = 200, seed: int = 11) -> DataFrame:
     """The 95 % interval of the mean: in each draw a row counts as often as Poisson(1) says for its hash.
 
-    One pass without an index of rows, so it grows with rows times draws only.
+    One md5 of seed, key and block serves the four draws of a block; rows meet their blocks in the
+    map task, where sums by block are combined. draws is a multiple of four.
     """
-    u = (order_key(seed, key, "draw") + 0.5) / F.lit(4294967296.0)
-    weight, p, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(7):
-        total += p
-        weight = weight + (u > total).cast("int")
-        p /= k + 1
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = each.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)).cast("double"), F.sum("w")).alias("m")).withColumn("m", F.round("m", 6))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("block").cast("string")))
+
+    def weight(i: int) -> Column:
+        u = (F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
+        w, p, total = F.lit(0), 0.36787944117144233, 0.0
+        for k in range(7):
+            total += p
+            w = w + (u > total).cast("int")
+            p /= k + 1
+        return w
+
+    each = rows.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))).alias("block")).withColumn("digest", digest)
+    each = each.select("block", value, *(weight(i).alias(f"w{i}") for i in range(4)))
+    sums = each.groupBy("block").agg(*(F.try_divide(F.sum(F.col(f"w{i}") * F.col(value)).cast("double"), F.sum(f"w{i}")).alias(f"m{i}") for i in range(4)))
+    means = sums.select(F.explode(F.array(*(F.round(f"m{i}", 6) for i in range(4)))).alias("m"))
     out = index_percentiles(means, "m", {"low": F.floor(F.col("n") * 0.025), "high": F.floor(F.col("n") * 0.975)})
     return out.select(F.col("n").alias("draws"), "low", "high")
 

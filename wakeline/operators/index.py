@@ -44,9 +44,16 @@ def _trigrams(text: Column) -> Column:
 
 
 def contained_in(needles: DataFrame, paths: DataFrame, needle: str) -> DataFrame:
-    """needles joined with the paths that contain them: meets under the needle's first three characters, then compares."""
-    left = needles.where(F.length(needle) >= 3).withColumn("_g", F.substring(needle, 1, 3))
+    """needles joined with the paths that contain them: meets under the needle's rarest three characters, then compares.
+
+    A path that contains the needle has all of its threes; one that no path has ends the search.
+    """
     right = paths.select("path", F.explode(F.array_distinct(_trigrams(F.col("path")))).alias("_g"))
+    rate = right.groupBy("_g").agg(F.count("*").alias("_c"))
+    own = needles.select(needle).where(F.length(needle) >= 3).distinct()
+    own = own.select(needle, F.explode(F.array_distinct(_trigrams(F.col(needle)))).alias("_g")).join(rate, "_g", "left")
+    rarest = own.groupBy(needle).agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "_g")).alias("_m")).where("_m.c > 0")
+    left = needles.join(rarest.select(needle, F.col("_m._g").alias("_g")), needle)
     return left.join(right, "_g").where(F.contains(F.col("path"), F.col(needle))).drop("_g")
 
 

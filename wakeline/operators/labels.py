@@ -40,11 +40,11 @@ def with_bodies(requests: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def attribute_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Each result (request_id, call_id, pos) with its latest earlier call (request_id, call_id, pos, tool, path)."""
-    c = calls.select("request_id", "call_id", F.col("pos").alias("_p"), "tool", F.col("path").alias("call_path"))
-    j = results.join(c, ["request_id", "call_id"], "left").where("_p is null or _p < pos")
-    w = Window.partitionBy("request_id", "call_id", "pos").orderBy(F.desc("_p"))
-    found = j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("request_id", "call_id", "pos", "tool", "call_path")
-    return results.join(found, ["request_id", "call_id", "pos"], "left")
+    c = calls.select("request_id", "call_id", "pos", F.struct("tool", F.col("path").alias("call_path")).alias("_call"))
+    both = results.withColumn("_result", F.lit(True)).unionByName(c, allowMissingColumns=True)
+    w = Window.partitionBy("request_id", "call_id").orderBy("pos", F.col("_result").isNull())  # a call is seen after its own place
+    seen = both.withColumn("_call", F.last("_call", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_result")
+    return seen.select("request_id", "call_id", "pos", *[x for x in results.columns if x not in ("request_id", "call_id", "pos")], "_call.tool", "_call.call_path")
 
 
 def fetch_counts(attributed: DataFrame, search_tools: list[str] = SEARCH_TOOLS) -> DataFrame:
@@ -120,10 +120,12 @@ def windowed_fetches(events: DataFrame, reach: int = 50) -> DataFrame:
 def blamed(grown: DataFrame, evicted: DataFrame, turns: int = WINDOW_TURNS, seconds: float = WINDOW_S) -> DataFrame:
     """Each growth event with the nearest earlier eviction of the same file within the turns and seconds.
 
-    They meet under session and base name; spellings may differ in length.
+    They meet under session, base name and stretch of turns: an eviction reaches into its own
+    stretch and the next. Spellings may differ in length.
     """
-    e = evicted.select("session", F.col("turn").alias("e_turn"), F.col("ts_epoch").alias("e_ts"), F.col("path").alias("e_path"), F.col("tokens").alias("evicted_tok"), base_name(F.col("path")).alias("_b"))
-    j = grown.withColumn("_b", base_name(F.col("path"))).join(e, ["session", "_b"])
+    stretch = F.floor(F.col("turn") / turns)
+    e = evicted.select("session", F.col("turn").alias("e_turn"), F.col("ts_epoch").alias("e_ts"), F.col("path").alias("e_path"), F.col("tokens").alias("evicted_tok"), base_name(F.col("path")).alias("_b"), F.explode(F.array(stretch, stretch + 1)).alias("_t"))
+    j = grown.withColumn("_b", base_name(F.col("path"))).withColumn("_t", stretch).join(e, ["session", "_b", "_t"])
     j = j.where((F.col("e_turn") < F.col("turn")) & (F.col("turn") - F.col("e_turn") <= turns) & (F.col("ts_epoch") - F.col("e_ts") <= seconds) & same_path(F.col("path"), F.col("e_path")))
     return j.groupBy("session", "turn", "path").agg(F.max("e_turn").alias("e_turn"), F.max_by("evicted_tok", "e_turn").alias("evicted_tok"), F.first("tokens").alias("regret_tok"))
 

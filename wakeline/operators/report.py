@@ -139,7 +139,10 @@ def request_features(messages: DataFrame, tail_chars: int = 4000) -> DataFrame:
     kinds = messages.groupBy("request_id", "kind").agg(F.count("*").alias("c"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
     est = F.when(F.col("chars") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("chars") / 3.6 + 0.5))).cast("long")
     shape = kinds.groupBy("request_id").agg(F.sum("c").alias("msg_count"), F.sum(F.when(F.col("kind") == "user", F.col("c")).otherwise(0)).alias("user_turns"), F.sum(est).alias("est_in_tok"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "chars")))).alias("cat_chars"))
-    joined = messages.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("all_text"))
+    # only the last messages, up to the one that reaches the tail's length
+    after = F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).over(Window.partitionBy("request_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1))
+    last = messages.select("request_id", "idx", "text", F.coalesce(after, F.lit(0)).alias("_after")).where(F.col("_after") < tail_chars)
+    joined = last.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("all_text"))
     return shape.join(joined, "request_id").withColumn("tail", F.expr(f"right(all_text, {tail_chars})")).drop("all_text")
 
 

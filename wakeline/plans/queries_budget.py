@@ -145,13 +145,19 @@ def p14(spark, d):
 # ---- tools, files and search ------------------------------------------------------------------
 
 _TOOLS = f"""qt AS (SELECT item_id, list_distinct({TERMS('text')})[1:60] AS q0, {TERMS('text')} AS q FROM vq),
- tl AS (SELECT doc_id, item_id, CASE WHEN doc_id % 9 = 0 THEN 'read_' ELSE 'tool_' END || doc_id AS name, list_distinct(list_transform(regexp_extract_all(substr(src, 1, 400), '[A-Za-z]{{3,}}'), lambda x: lower(x))) AS terms, q FROM vf JOIN qt ON doc_id % 40 = item_id WHERE doc_id < 400),
+ tl AS (SELECT doc_id, item_id, CASE WHEN doc_id % 9 = 0 THEN 'read_' ELSE 'tool_' END || doc_id AS name, list_distinct(list_transform(regexp_extract_all(src, '[A-Za-z]{{3,}}'), lambda x: lower(x))) AS terms, q FROM vf JOIN qt ON doc_id % (SELECT max(item_id) + 1 FROM vq) = item_id),
  ts AS (SELECT item_id, doc_id, name, len(list_intersect(list_distinct(q), terms)) AS hits, contains(name, 'read') AS core, len(list_intersect(list_distinct(q), terms)) / greatest(1.0::DOUBLE, least(len(terms), 12)) AS s FROM tl)"""
 
 
+def with_item(files, items):
+    """Every document with one of the items in turn: item ids run from 0 to the largest."""
+    most = items.agg((F.max("item_id") + 1).alias("_n"))
+    return files.join(F.broadcast(most)).withColumn("item_id", F.col("doc_id") % F.col("_n")).drop("_n")
+
+
 def tools(spark, d):
     q = view(spark, d, "vq").select("item_id", text.lexical_tokens(F.col("text"), 120).alias("query_terms"))
-    f = view(spark, d, "vf").where("doc_id < 400").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.concat(F.when(F.col("doc_id") % 9 == 0, "read_").otherwise("tool_"), F.col("doc_id").cast("string")).alias("name"), F.transform(F.regexp_extract_all(F.substring("src", 1, 400), F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower).alias("terms"))
+    f = with_item(view(spark, d, "vf"), view(spark, d, "vq")).select("doc_id", "item_id", F.concat(F.when(F.col("doc_id") % 9 == 0, "read_").otherwise("tool_"), F.col("doc_id").cast("string")).alias("name"), F.transform(F.regexp_extract_all("src", F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower).alias("terms"))
     return f.join(q, "item_id").withColumnRenamed("item_id", "request_id").withColumn("pos", F.col("doc_id"))
 
 
@@ -165,12 +171,12 @@ def p13(spark, d):
     return budget.core_floor(budget.tool_scores(tools(spark, d), 0.4)).select(F.col("request_id").alias("item_id"), "doc_id", "keep")
 
 
-@query("p18_k10_option_scores", """WITH o AS (SELECT DISTINCT item_id, vq.text AS state, source || '_' || lang || '_' || ['the', 'read', 'thand', 'edit_ting'][(doc_id % 4 + 1)::INTEGER] AS option FROM vq JOIN documents ON doc_id % 40 = item_id WHERE doc_id < 200),
+@query("p18_k10_option_scores", """WITH o AS (SELECT DISTINCT item_id, vq.text AS state, source || '_' || lang || '_' || ['the', 'read', 'thand', 'edit_ting'][(doc_id % 4 + 1)::INTEGER] AS option FROM vq JOIN documents ON doc_id % (SELECT max(item_id) + 1 FROM vq) = item_id),
  t AS (SELECT *, list_distinct(list_concat(list_transform(regexp_extract_all(replace(lower(option), '_', ' '), '[A-Za-z]{3,}'), lambda x: lower(x)), list_filter(string_split_regex(lower(option), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS terms, list_distinct(list_transform(regexp_extract_all(state, '[A-Za-z]{3,}'), lambda x: lower(x))) AS q FROM o),
  p AS (SELECT item_id, option, 0.05 + 0.9 * tanh(len(list_intersect(q, terms)) / greatest(1, least(len(terms), 12)) * 1.8::DOUBLE) AS p, contains(option, 'read') OR contains(option, 'edit') AS core FROM t)
  SELECT item_id, option, round(CASE WHEN core THEN greatest(p, 0.92) ELSE p END, 4) AS p, p >= 0.5 OR core AS keep FROM p""")
 def p18(spark, d):
-    f = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 200").select((F.col("doc_id") % 40).alias("item_id"), F.concat_ws("_", "source", "lang", F.get(F.array(*map(F.lit, ["the", "read", "thand", "edit_ting"])), (F.col("doc_id") % 4).cast("int"))).alias("option"))
+    f = with_item(spark.read.parquet(f"{d}/documents.parquet"), view(spark, d, "vq")).select("item_id", F.concat_ws("_", "source", "lang", F.get(F.array(*map(F.lit, ["the", "read", "thand", "edit_ting"])), (F.col("doc_id") % 4).cast("int"))).alias("option"))
     o = view(spark, d, "vq").select("item_id", F.col("text").alias("state")).join(f, "item_id").distinct().withColumn("slot", F.lit("tool_gate")).withColumn("keep", F.lit(False))
     return budget.score_options(o).select("item_id", "option", "p", "keep")
 
@@ -181,12 +187,12 @@ def g1(spark, d):
     return index.heading_symbols(view(spark, d, "vf"))
 
 
-_HINTS = "hn AS (SELECT path, unnest(list_sort(list_distinct(list_append(list_transform(regexp_extract_all(src, '[A-Za-z]{4,}'), lambda x: lower(x)), split_part(path, '/', 3))))[1:60]) AS term FROM vf)"
+_HINTS = "hn AS (SELECT path, unnest(list_sort(list_distinct(list_append(list_transform(regexp_extract_all(src, '[A-Za-z]{4,}'), lambda x: lower(x)), split_part(path, '/', 3))))[1:400]) AS term FROM vf)"
 
 
 @query("g4_hint_terms", f"WITH {_HINTS} SELECT path, term FROM hn")
 def g4(spark, d):
-    return index.hint_terms(view(spark, d, "vf"), None, 60)
+    return index.hint_terms(view(spark, d, "vf"))
 
 
 def edges(spark, d):
@@ -218,7 +224,7 @@ _SEARCH = f"""{_EDGES}, {_HINTS},
 
 def searched(spark, d, k=12):
     f = view(spark, d, "vf")
-    return index.search(view(spark, d, "vq"), f.select("path"), index.heading_symbols(f), index.hint_terms(f, None, 60), edges(spark, d), k)
+    return index.search(view(spark, d, "vq"), f.select("path"), index.heading_symbols(f), index.hint_terms(f), edges(spark, d), k)
 
 
 @query("g6_j5_j6_j7_w7_search", f"WITH {_SEARCH} SELECT item_id, path, score, rank FROM rk WHERE rank <= 12")
@@ -252,10 +258,10 @@ def p8(spark, d):
     return view(spark, d, "vm").select("request_id", "idx", F.array_join(text.paths_named(line, needle), ",").alias("paths"))
 
 
-@query("s15_source_files", "SELECT path, length(src) AS length FROM vf WHERE NOT contains(path, 'src3/') AND length(src) <= 5000 ORDER BY path LIMIT 300")
+@query("s15_source_files", "SELECT path, length(src) AS length FROM vf WHERE NOT contains(path, 'src3/') AND length(src) <= 4194304 ORDER BY path LIMIT 20000")
 def s15(spark, d):
     f = view(spark, d, "vf").withColumn("length", F.length("src"))
-    return logs.source_files(f.where("length <= 5000"), 300, ["src3"]).select("path", "length")
+    return logs.source_files(f, skip=["src3"]).select("path", "length")
 
 
 # ---- labels and data sets ---------------------------------------------------------------------
@@ -416,7 +422,7 @@ def a25(spark, d):
     return dataset.readiness(a, "old", "new", 30.0, 10, 3).select("slot", F.array_join("reasons", ";").alias("reasons"), "ready")
 
 
-@query("a26_fingerprint", f"WITH {_SPLIT}, h AS (SELECT sha256(part || '|' || body_sha || '|' || target || '|' || answer) AS h FROM sp), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS c FROM h GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS fingerprint, sum(c)::BIGINT AS n FROM b")
+@query("a26_fingerprint", f"WITH {_SPLIT}, h AS (SELECT sha256(part || '|' || body_sha || '|' || target || '|' || answer) AS h FROM sp), b5 AS (SELECT substr(h, 1, 5) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS c FROM h GROUP BY 1), b3 AS (SELECT substr(b, 1, 3) AS b1, sha256(string_agg(d, '' ORDER BY b)) AS d, sum(c) AS c FROM b5 GROUP BY 1), b AS (SELECT substr(b1, 1, 1) AS b, sha256(string_agg(d, '' ORDER BY b1)) AS d, sum(c) AS c FROM b3 GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY b)) AS fingerprint, sum(c)::BIGINT AS n FROM b")
 def a26(spark, d):
     return dataset.fingerprint(split(spark, d), ["part", "body_sha", "target", "answer"])
 

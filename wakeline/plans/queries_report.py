@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import cost, text
@@ -203,11 +205,9 @@ def a16(spark, d):
     return evaluate.set_scores(v.where("quality = 1"), v.where("toxic = 0"), ["request_id"])
 
 
-@query("a18_corpus_ceiling", "WITH c AS (SELECT request_id % 20 AS case_id, count(*) FILTER (toxic = 0 AND quality <> 1) AS keeps, count(*) FILTER (quality = 1 AND toxic <> 0) AS cuts FROM vl GROUP BY 1) SELECT count(*) AS cases, count(*) FILTER (keeps = 0 AND cuts = 0) AS equal, sum(keeps)::BIGINT AS false_keeps, sum(cuts)::BIGINT AS false_cuts FROM c")
+@query("a18_corpus_ceiling", "WITH c AS (SELECT request_id // 20 AS case_id, count(*) FILTER (toxic = 0 AND quality <> 1) AS keeps, count(*) FILTER (quality = 1 AND toxic <> 0) AS cuts FROM vl GROUP BY 1) SELECT count(*) AS cases, count(*) FILTER (keeps = 0 AND cuts = 0) AS equal, sum(keeps)::BIGINT AS false_keeps, sum(cuts)::BIGINT AS false_cuts FROM c")
 def a18(spark, d):
-    arr = lambda c: F.coalesce(F.collect_list(F.when(c, F.col("request_id"))), F.array().cast("array<long>"))
-    cases = view(spark, d, "vl").groupBy((F.col("request_id") % 20).alias("case_id")).agg(arr(F.col("quality") == 1).alias("gold"), arr(F.col("toxic") == 0).alias("baseline"))
-    return evaluate.corpus_ceiling(cases)
+    return evaluate.corpus_ceiling(view(spark, d, "vl").select(F.expr("request_id div 20").alias("case_id"), F.col("request_id").alias("item"), (F.col("quality") == 1).alias("gold"), (F.col("toxic") == 0).alias("baseline")))
 
 
 @query("a19_survival", f"WITH i AS (SELECT request_id AS task, {TOK('text')} AS t, idx % 2 = 0 AS needed, kind <> 'tool_result' AS kept FROM vm) SELECT task, round(coalesce(sum(CASE WHEN needed AND kept THEN t ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN needed THEN t ELSE 0 END), 0), 1.0), 4) AS recall, round(coalesce(sum(CASE WHEN needed AND kept THEN t ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN kept THEN t ELSE 0 END), 0), 1.0), 4) AS precision, count(*) FILTER (needed AND NOT kept) = 0 AS passed FROM i GROUP BY 1")
@@ -215,9 +215,9 @@ def a19(spark, d):
     return evaluate.survival(view(spark, d, "vm").select(F.col("request_id").alias("task"), text.approx_tokens(F.col("text")).alias("tokens"), (F.col("idx") % 2 == 0).alias("needed"), (F.col("kind") != "tool_result").alias("kept")))
 
 
-@query("a20_arm_summary", "WITH s AS (SELECT count(*) AS n, round(avg(observe), 2) AS mean_base, round(avg(enforce), 2) AS mean_other, round(avg((observe - enforce)::DOUBLE / observe), 6) AS mean_of_ratios, round((sum(observe) - sum(enforce))::DOUBLE / sum(observe), 6) AS ratio_of_sums, round(avg(pass::INTEGER), 4) AS pass_rate FROM va) SELECT *, CASE WHEN n = 0 THEN 'no pairs' WHEN ratio_of_sums < 0.02 THEN 'cut too small' ELSE '' END AS reasons, n > 0 AND ratio_of_sums >= 0.02 AS passed FROM s")
+@query("a20_arm_summary", "WITH s AS (SELECT count(*) AS n, round(avg(observe), 2) AS mean_base, round(avg(enforce), 2) AS mean_other, round(avg((observe - enforce)::DOUBLE / observe), 6) AS mean_of_ratios, round((sum(observe) - sum(enforce))::DOUBLE / sum(observe), 6) AS ratio_of_sums, round(avg(pa), 4) AS pass_rate, round(avg(pa - pb), 4) AS pass_delta, coalesce(stddev_samp(pa - pb) / sqrt(count(*)) * 1.96, 0.0) AS half, quantile_cont(observe, 0.5) AS p50_base, quantile_cont(enforce, 0.5) AS p50_other FROM (SELECT *, pass::INTEGER AS pa, (task % 3 > 0)::INTEGER AS pb FROM va)) SELECT * EXCLUDE (half), round(pass_delta - half, 4) AS delta_low, round(pass_delta + half, 4) AS delta_high, CASE WHEN n = 0 THEN 'no pairs' WHEN ratio_of_sums < 0.02 THEN 'cut too small' ELSE '' END AS reasons, n > 0 AND ratio_of_sums >= 0.02 AS passed FROM s")
 def a20(spark, d):
-    return evaluate.arm_summary(view(spark, d, "va"))
+    return evaluate.arm_summary(view(spark, d, "va").withColumn("pass_base", F.col("task") % 3 > 0).withColumn("pass_other", F.col("pass")))
 
 
 @query("a21_cut_by_family", "SELECT family, count(*) AS n, round(avg(observe), 2) AS mean_base, round(avg(enforce), 2) AS mean_other, round((sum(observe) - sum(enforce))::DOUBLE / sum(observe), 6) AS cut FROM va GROUP BY 1")
@@ -245,7 +245,13 @@ def a28(spark, d):
     return report.savings_snapshot(view(spark, d, "vr"), F.col("k"))
 
 
-@query("a30_bootstrap", None)
+_W = " + ".join(f"(u > {sum(0.36787944117144233 / math.factorial(j) for j in range(k + 1))!r}::DOUBLE)::INTEGER" for k in range(7))
+
+
+@query("a30_bootstrap", f"""WITH g AS (SELECT task, observe, b, md5('11|' || task || '|' || b) AS h FROM va, range(25) r(b)),
+ u AS (SELECT b, i, observe, (('0x' || substr(h, 8 * i::INTEGER + 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0 AS u FROM g, range(4) s(i)),
+ m AS (SELECT b, i, round(sum(w * observe)::DOUBLE / sum(w), 6) AS m FROM (SELECT *, {_W} AS w FROM u) GROUP BY ALL),
+ r AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m) SELECT 100 AS draws, max(m) FILTER (r = 2) AS low, max(m) FILTER (r = 97) AS high FROM r""")
 def a30(spark, d):
     return evaluate.bootstrap_interval(view(spark, d, "va"), "task", "observe", 100)
 
@@ -265,7 +271,8 @@ def w11(spark, d):
     return report.age_ranks(view(spark, d, "vm")).select("request_id", "idx", "age_rank")
 
 
-@query("w16_prefix_reuse", None)
+@query("w16_prefix_reuse", """WITH l AS (SELECT request_id, idx, coalesce(text, '') AS a, coalesce(lag(text) OVER (PARTITION BY request_id ORDER BY idx), '') AS b FROM vm)
+ SELECT request_id, idx, (coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i]), true), least(length(a), length(b)) + 1) - 1)::BIGINT AS reused FROM l""")
 def w16(spark, d):
     return jobs.prefix_reuse(view(spark, d, "vm"))
 

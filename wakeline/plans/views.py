@@ -14,6 +14,8 @@ DIALECTS = {
         "EPOCH": "CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS DOUBLE) / 1000",
         "L": "BIGINT",
         "DIV2": "(doc_id DIV 2)",
+        "DIV15": "(user_id DIV 15)",
+        "DIV50": "(user_id DIV 50)",
     },
     "duckdb": {
         "K": "CAST(json_extract_string(props, '$.k') AS INTEGER)",
@@ -21,6 +23,8 @@ DIALECTS = {
         "EPOCH": "CAST(epoch_ms(ts) AS DOUBLE) / 1000",
         "L": "BIGINT",
         "DIV2": "(doc_id // 2)",
+        "DIV15": "(user_id // 15)",
+        "DIV50": "(user_id // 50)",
     },
 }
 MODELS = ["claude-opus-4-1", "claude-3-5-sonnet", "gpt-4o-mini", "gpt-4o", "gpt-5-mini", "gemini-2.5-pro", "o3-pro", "local-model"]
@@ -38,7 +42,7 @@ SELECT event_id AS id, ts, {{EPOCH}} AS ts_epoch, {{DAY}} AS day, user_id AS ses
   CAST(floor(value * 100) AS BIGINT) AS in_tok, CAST(k * 100 AS BIGINT) AS cr_tok,
   CAST(CASE WHEN event_type = 'signup' THEN k ELSE 0 END AS BIGINT) AS cw_tok, CAST(floor(value) AS BIGINT) AS out_tok,
   CAST(floor(value * 3) AS BIGINT) AS latency_ms, CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS ttfb_ms,
-  concat(CAST(user_id % 10 AS STRING), '-', CAST(k % 10 AS STRING)) AS body_sha, k, event_type, value
+  concat(CAST({{DIV15}} AS STRING), '-', CAST(k % 10 AS STRING)) AS body_sha, k, event_type, value
 FROM (SELECT *, {{K}} AS k FROM events)"""
 _VM = """
 SELECT conv_id AS request_id, turn AS idx, role, text,
@@ -62,7 +66,7 @@ SELECT user_id * 31 + day(ts) AS request_id, row_number() OVER (PARTITION BY use
   CAST(floor(value * 100) AS BIGINT) AS input, CAST(floor(value) AS BIGINT) AS output
 FROM events"""
 _VP = """
-SELECT user_id % 3 AS session, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS turn, event_id, {EPOCH} AS ts_epoch,
+SELECT {DIV50} AS session, row_number() OVER (PARTITION BY {DIV50} ORDER BY ts, event_id) AS turn, event_id, {EPOCH} AS ts_epoch,
   concat('src/m', CAST(k % 10 AS STRING), '.py') AS path, event_type = 'error' AS evicted, event_type = 'view' AS fetched, CAST(floor(value) AS BIGINT) AS tokens
 FROM (SELECT *, {K} AS k FROM events)"""
 
