@@ -68,6 +68,30 @@ def usage(provider: Column, prompt: Column, cached: Column, completion: Column,
     return F.struct(uncached.alias("input_uncached"), write.alias("cache_write"), zero(cached).alias("cache_read"), zero(completion).alias("output"), zero(reasoning).alias("reasoning"))
 
 
+def response_usage(dialect: Column, response: Column) -> Column:
+    """The usage record of a response body (JSON text) of one of four dialects; null without usage.
+
+    Each dialect names its numbers otherwise, and a stream's final event of the responses dialect
+    wraps the body. What is no number counts as 0.
+    """
+    wrapped = F.get_json_object(response, "$.response")
+    body = F.when((dialect == "responses") & F.startswith(F.get_json_object(response, "$.type"), F.lit("response.")), wrapped).otherwise(response)
+    whole = F.when(dialect == "gemini", F.get_json_object(body, "$.usageMetadata")).otherwise(F.get_json_object(body, "$.usage"))
+
+    def number(**paths: str) -> Column:
+        out = F.lit(None).cast("long")
+        for name, path in paths.items():
+            out = F.when(dialect == name, F.get_json_object(whole, path).try_cast("long")).otherwise(out)
+        return out
+
+    prompt = number(openai="$.prompt_tokens", anthropic="$.input_tokens", gemini="$.promptTokenCount", responses="$.input_tokens")
+    cached = number(openai="$.prompt_tokens_details.cached_tokens", anthropic="$.cache_read_input_tokens", gemini="$.cachedContentTokenCount", responses="$.input_tokens_details.cached_tokens")
+    completion = number(openai="$.completion_tokens", anthropic="$.output_tokens", gemini="$.candidatesTokenCount", responses="$.output_tokens")
+    reasoning = number(openai="$.completion_tokens_details.reasoning_tokens", gemini="$.thoughtsTokenCount", responses="$.output_tokens_details.reasoning_tokens")
+    record = usage(dialect, prompt, cached, completion, reasoning, number(anthropic="$.cache_creation_input_tokens"))
+    return F.when(whole.isNotNull() & (whole != "{}"), record)
+
+
 def merge_usage(final: str, streamed: str, fields: tuple = ("input_uncached", "cache_write", "cache_read", "output", "reasoning")) -> Column:
     """The final record with zeros filled from what was streamed."""
     return F.struct(*(F.coalesce(F.nullif(F.col(f"{final}.{f}"), F.lit(0)), F.col(f"{streamed}.{f}"), F.lit(0)).alias(f) for f in fields))

@@ -12,6 +12,7 @@ from ..functions import text as T
 
 TAIL, TARGET_FRACTION, MIN_BUDGET = 4, 0.45, 1500
 EVIDENCE_BEST, EVIDENCE_SHARE, CORE_FLOOR = 3, 0.6, 6
+EVIDENCE_MIN, EVIDENCE_NAMED, IN_TAIL = 0.8, 0.9, 0.25
 # Tools that are always kept, by whole name and by part.
 CORE_TOOLS = ["read", "read_file", "write", "write_file", "edit", "multiedit", "str_replace", "glob", "grep", "grep_search", "bash", "shell", "execute", "local_shell", "file_search", "search", "codebase", "todo", "task", "agent", "websearch", "web_search", "fetch", "webfetch"]
 CORE_PARTS = ["read", "edit", "bash", "grep"]
@@ -57,6 +58,41 @@ def recency_compaction(scored: DataFrame, budget: Column) -> DataFrame:
     return folded.select("request_id", F.inline("out"))
 
 
+def candidate_pool(messages: DataFrame, named: DataFrame, tools: DataFrame, ranked: DataFrame, task_paths: DataFrame) -> DataFrame:
+    """Messages, tools and files as one pool (request_id, kind, id, idx, tokens, value, protected, evidence).
+
+    messages: scored ones (request_id, idx, kind, tokens, score, tail), of which system messages
+    are no candidates; named: (request_id, idx, path) they name; tools: scored ones (request_id,
+    name, tokens, score, core, keep); ranked: files (request_id, path, score); task_paths:
+    (request_id, path) that the task names. A message gains half of its best evidence: the rank
+    of a file it names, or EVIDENCE_NAMED for a path of the task. Core tools are protected, and
+    files that the task names, unless the tail names them already, which makes a file worth a
+    quarter. Paths meet under request and base name, whose groups are the requests' own.
+    """
+    based = lambda df: df.withColumn("_b", T.base_name(F.col("path")))
+    files = based(ranked.select("request_id", "path", F.least(F.lit(1.0), F.col("score") / 6.0).alias("value")))
+    task = based(task_paths.select("request_id", "path").distinct())
+    seen = based(named.select("request_id", "idx", "path").distinct())
+
+    def met(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        other = right.select("request_id", "_b", F.col("path").alias("_p"), *more)
+        return left.join(other, ["request_id", "_b"]).where(T.same_path(F.col("path"), F.col("_p")))
+
+    by_rank = met(seen, files, "value").select("request_id", "idx", "value")
+    by_task = met(seen, task).select("request_id", "idx", F.lit(EVIDENCE_NAMED).alias("value"))
+    best = by_rank.unionByName(by_task).groupBy("request_id", "idx").agg(F.max("value").alias("_e"))
+    own = messages.where("kind != 'system'").join(best, ["request_id", "idx"], "left").withColumn("_e", F.coalesce("_e", F.lit(0.0)))
+    number = F.lpad(F.col("idx").cast("string"), 6, "0")
+    pool = own.select("request_id", F.lit("message").alias("kind"), number.alias("id"), F.col("idx").cast("long"), F.col("tokens").cast("long"), (F.col("score") + 0.5 * F.col("_e")).alias("value"), F.col("tail").alias("protected"), F.when(F.col("_e") >= EVIDENCE_MIN, F.col("_e")).otherwise(0.0).alias("evidence"))
+    none = [F.lit(None).cast("long").alias("idx"), F.lit(0.0).alias("evidence")]
+    pool = pool.unionByName(tools.select("request_id", F.lit("tool").alias("kind"), F.lower("name").alias("id"), F.greatest(F.lit(1), F.col("tokens")).cast("long").alias("tokens"), F.col("score").alias("value"), (F.col("keep") & F.col("core")).alias("protected"), *none))
+    tail = seen.join(messages.where("tail and kind != 'system'").select("request_id", "idx"), ["request_id", "idx"])
+    flag = lambda right, name: met(files, right).select("request_id", "path").distinct().withColumn(name, F.lit(True))
+    both = files.join(flag(task, "_named"), ["request_id", "path"], "left").join(flag(tail, "_in"), ["request_id", "path"], "left")
+    inside = F.coalesce("_in", F.lit(False))
+    return pool.unionByName(both.select("request_id", F.lit("file").alias("kind"), F.col("path").alias("id"), T.approx_tokens(F.concat(F.lit("- "), "path")).alias("tokens"), (F.col("value") * F.when(inside, IN_TAIL).otherwise(1.0)).alias("value"), (F.coalesce("_named", F.lit(False)) & ~inside).alias("protected"), *none))
+
+
 def joint_plan(pool: DataFrame, budget: Column) -> DataFrame:
     """pool (request_id, kind, id, tokens, value, protected) with keep, over_budget, floor, last_kept and left.
 
@@ -130,6 +166,38 @@ def apply_plan(messages: DataFrame, dropped: DataFrame, note: str | None = None)
     return kept.unionByName(last.select("request_id", "idx", F.lit("user").alias("role"), F.lit(note).alias("text"), F.lit("note").alias("kind")), allowMissingColumns=True)
 
 
+def apply_tool_plan(tools: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The tools that stay; a tool is named without regard to case."""
+    return tools.withColumn("_n", F.lower("name")).join(dropped.select("request_id", F.lower("name").alias("_n")).distinct(), ["request_id", "_n"], "left_anti").drop("_n")
+
+
+def head_counts(decisions: DataFrame) -> DataFrame:
+    """decisions with kept and cut, whatever shape their record has; both null where nothing was edited.
+
+    decisions: proof_kept and proof_dropped (arrays of kinds, of a joint proof), kept (a number),
+    candidates (array<struct<keep>>), dropped_count, and drops (the kinds of the drops to show). A
+    proof that also dropped other kinds than those shown counts only these; without a
+    proof the kept number counts, else the candidates to keep, and the dropped count, else the drops.
+    """
+    zero = F.array().cast("array<string>")
+    dropped, shown = F.coalesce("proof_dropped", zero), F.coalesce("drops", zero)
+    other = (F.size(shown) > 0) & (F.size(F.array_except(dropped, shown)) > 0)
+    proof_kept = F.when(other, F.size(F.filter("proof_kept", lambda k: F.array_contains(shown, k)))).otherwise(F.size("proof_kept"))
+    proof_cut = F.when(other | (F.size(dropped) == 0), F.size(shown)).otherwise(F.size(dropped))
+    edited = F.col("kept").isNotNull() | (F.coalesce(F.size("candidates"), F.lit(0)) > 0)
+    kept = F.coalesce(F.col("kept"), F.size(F.filter("candidates", lambda c: c["keep"])))
+    joint = F.col("proof_kept").isNotNull()
+    n_kept = F.when(joint, proof_kept).when(edited, kept).cast("long")
+    n_cut = F.when(joint, proof_cut).when(edited, F.coalesce(F.col("dropped_count"), F.size(shown))).cast("long")
+    return decisions.withColumns({"n_kept": n_kept, "n_cut": n_cut})
+
+
+def drop_texts(pointers: DataFrame, messages: DataFrame) -> DataFrame:
+    """pointers (request_id, idx, kind) with recorded: the text at the place, if its kind agrees."""
+    own = messages.select("request_id", "idx", F.col("kind").alias("_k"), F.col("text").alias("_t"))
+    return pointers.join(own, ["request_id", "idx"], "left").withColumn("recorded", F.when(F.col("_k") == F.col("kind"), F.col("_t"))).drop("_k", "_t")
+
+
 def effort(features: DataFrame) -> DataFrame:
     """Reasoning tier of each request; features: last_user_text, n_paths, est_in_tok, tool_chars, user_turns."""
     text = F.coalesce("last_user_text", F.lit(""))

@@ -145,8 +145,8 @@ def p14(spark, d):
 # ---- tools, files and search ------------------------------------------------------------------
 
 _TOOLS = f"""qt AS (SELECT item_id, list_distinct({TERMS('text')})[1:60] AS q0, {TERMS('text')} AS q FROM vq),
- tl AS (SELECT doc_id, item_id, CASE WHEN doc_id % 9 = 0 THEN 'read_' ELSE 'tool_' END || doc_id AS name, list_distinct(list_transform(regexp_extract_all(src, '[A-Za-z]{{3,}}'), lambda x: lower(x))) AS terms, q FROM vf JOIN qt ON doc_id % (SELECT max(item_id) + 1 FROM vq) = item_id),
- ts AS (SELECT item_id, doc_id, name, len(list_intersect(list_distinct(q), terms)) AS hits, contains(name, 'read') AS core, len(list_intersect(list_distinct(q), terms)) / greatest(1.0::DOUBLE, least(len(terms), 12)) AS s FROM tl)"""
+ tl AS (SELECT doc_id, item_id, CASE WHEN doc_id % 9 = 0 THEN 'read_' ELSE 'tool_' END || doc_id AS name, list_distinct(list_transform(regexp_extract_all(src, '[A-Za-z]{{3,}}'), lambda x: lower(x))) AS terms, floor(length(src) / 3.6)::BIGINT AS tokens, q FROM vf JOIN qt ON doc_id % (SELECT max(item_id) + 1 FROM vq) = item_id),
+ tg AS (SELECT item_id, doc_id, name, tokens, len(list_intersect(list_distinct(q), terms)) AS hits, contains(name, 'read') AS core, len(list_intersect(list_distinct(q), terms)) / greatest(1.0::DOUBLE, least(len(terms), 12)) AS s FROM tl)"""
 
 
 def with_item(files, items):
@@ -157,16 +157,16 @@ def with_item(files, items):
 
 def tools(spark, d):
     q = view(spark, d, "vq").select("item_id", text.lexical_tokens(F.col("text"), 120).alias("query_terms"))
-    f = with_item(view(spark, d, "vf"), view(spark, d, "vq")).select("doc_id", "item_id", F.concat(F.when(F.col("doc_id") % 9 == 0, "read_").otherwise("tool_"), F.col("doc_id").cast("string")).alias("name"), F.transform(F.regexp_extract_all("src", F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower).alias("terms"))
+    f = with_item(view(spark, d, "vf"), view(spark, d, "vq")).select("doc_id", "item_id", F.concat(F.when(F.col("doc_id") % 9 == 0, "read_").otherwise("tool_"), F.col("doc_id").cast("string")).alias("name"), F.transform(F.regexp_extract_all("src", F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower).alias("terms"), F.floor(F.length("src") / 3.6).alias("tokens"))
     return f.join(q, "item_id").withColumnRenamed("item_id", "request_id").withColumn("pos", F.col("doc_id"))
 
 
-@query("p12_tool_scores", f"WITH {_TOOLS} SELECT item_id, doc_id, core, round(s, 3) AS score, core OR s > 0.4 AS keep FROM ts")
+@query("p12_tool_scores", f"WITH {_TOOLS} SELECT item_id, doc_id, core, round(s, 3) AS score, core OR s > 0.4 AS keep FROM tg")
 def p12(spark, d):
     return budget.tool_scores(tools(spark, d), 0.4).select(F.col("request_id").alias("item_id"), "doc_id", "core", "score", "keep")
 
 
-@query("p13_core_floor", f"WITH {_TOOLS}, k AS (SELECT *, core OR s > 0.4 AS keep FROM ts), r AS (SELECT *, sum(keep::INTEGER) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 3) DESC, doc_id) AS r FROM k) SELECT item_id, doc_id, keep OR (n < 6 AND r <= 6) AS keep FROM r")
+@query("p13_core_floor", f"WITH {_TOOLS}, k AS (SELECT *, core OR s > 0.4 AS keep FROM tg), r AS (SELECT *, sum(keep::INTEGER) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 3) DESC, doc_id) AS r FROM k) SELECT item_id, doc_id, keep OR (n < 6 AND r <= 6) AS keep FROM r")
 def p13(spark, d):
     return budget.core_floor(budget.tool_scores(tools(spark, d), 0.4)).select(F.col("request_id").alias("item_id"), "doc_id", "keep")
 
@@ -251,6 +251,50 @@ def j8(spark, d):
     return index.couple_evidence(m, searched(spark, d).withColumnRenamed("item_id", "request_id"))
 
 
+# messages of a conversation, tools and ranked files of the item of the same number, under one budget
+_POOL3 = f"""{_SC}, {_TOOLS}, {_SEARCH}, rf AS (SELECT item_id AS request_id, path, least(1.0, score / 6.0)::DOUBLE AS v FROM rk WHERE rank <= 10),
+ ev AS (SELECT request_id, idx, max(v) AS e FROM (SELECT vm.request_id, idx, v FROM vm JOIN rf ON rf.request_id = vm.request_id AND (path = named_path OR ends_with(path, '/' || named_path))
+  UNION ALL SELECT request_id, idx, 0.9::DOUBLE FROM vm JOIN vq ON item_id = request_id AND mention = named_path) GROUP BY ALL),
+ p0 AS (SELECT request_id, 'message' AS kind, lpad(idx::VARCHAR, 6, '0') AS id, idx::BIGINT AS idx, tokens, score + 0.5::DOUBLE * coalesce(e, 0) AS value, tail AS protected, CASE WHEN e >= 0.8 THEN e ELSE 0 END AS evidence FROM sc LEFT JOIN ev USING (request_id, idx) WHERE kind <> 'system'
+  UNION ALL SELECT item_id, 'tool', name, NULL, greatest(1, tokens), round(s, 3), core, 0 FROM tg
+  UNION ALL SELECT request_id, 'file', path, NULL, {TOK("'- ' || path")}, v * CASE WHEN tl THEN 0.25 ELSE 1 END, nm AND NOT tl, 0 FROM
+   (SELECT *, EXISTS (SELECT 1 FROM vq WHERE item_id = rf.request_id AND (path = mention OR ends_with(path, '/' || mention))) AS nm, EXISTS (SELECT 1 FROM sc WHERE sc.request_id = rf.request_id AND sc.tail AND kind <> 'system' AND (path = named_path OR ends_with(path, '/' || named_path))) AS tl FROM rf)),
+ bc AS (SELECT *, floor(4000 * 0.6::DOUBLE)::BIGINT AS cap, sum(CASE WHEN protected THEN tokens ELSE 0 END) OVER (PARTITION BY request_id)::BIGINT AS p FROM p0),
+ bb AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY evidence DESC, idx) AS r FROM bc WHERE evidence > 0),
+ bf AS (SELECT DISTINCT request_id, 0::BIGINT AS r, p AS used, NULL::VARCHAR AS id, false AS take FROM bc
+  UNION ALL SELECT b.request_id, b.r, f.used + CASE WHEN NOT b.protected AND f.used + b.tokens <= b.cap THEN b.tokens ELSE 0 END, b.id, NOT b.protected AND f.used + b.tokens <= b.cap FROM bf f JOIN bb b ON b.request_id = f.request_id AND b.r = f.r + 1 AND b.r <= 3),
+ pool AS (SELECT bc.request_id, kind, bc.id, tokens, value, protected OR coalesce(bf.take, false) AS protected, CASE WHEN tokens <= 0 THEN 'infinity'::DOUBLE ELSE value / tokens END AS ratio FROM bc LEFT JOIN bf ON bf.request_id = bc.request_id AND bf.id = bc.id AND kind = 'message'),
+ pt AS (SELECT request_id, sum(CASE WHEN protected THEN tokens ELSE 0 END)::BIGINT AS p FROM pool GROUP BY 1),
+ o AS (SELECT pool.*, row_number() OVER (PARTITION BY request_id ORDER BY ratio DESC, value DESC, kind, id) AS step FROM pool WHERE NOT protected),
+ f AS (SELECT request_id, 0::BIGINT AS step, 4000 - p AS rest, NULL::VARCHAR AS kind, NULL::VARCHAR AS id, NULL::BOOLEAN AS keep FROM pt WHERE p <= 4000
+  UNION ALL SELECT o.request_id, o.step, f.rest - CASE WHEN o.tokens <= f.rest THEN o.tokens ELSE 0 END, o.kind, o.id, o.tokens <= f.rest FROM f JOIN o ON o.request_id = f.request_id AND o.step = f.step + 1),
+ pl AS (SELECT pool.request_id, pool.kind, pool.id, tokens, round(value, 6) AS value, protected, CASE WHEN pt.p > 4000 THEN CASE WHEN protected THEN true END ELSE protected OR coalesce(f.keep, false) END AS keep FROM pool JOIN pt USING (request_id) LEFT JOIN f ON f.request_id = pool.request_id AND f.kind = pool.kind AND f.id = pool.id)"""
+
+
+def pool3(spark, d):
+    m = scored(spark, d)
+    named = m.select("request_id", "idx", F.col("named_path").alias("path"))
+    ranked = searched(spark, d, 10).withColumnRenamed("item_id", "request_id")
+    task = view(spark, d, "vq").select(F.col("item_id").alias("request_id"), F.col("mention").alias("path"))
+    return budget.book_evidence(budget.candidate_pool(m, named, budget.tool_scores(tools(spark, d), 0.4), ranked, task), F.lit(4000))
+
+
+@query("k3_candidate_pool", f"WITH RECURSIVE {_POOL3} SELECT request_id, kind, id, tokens, value, protected FROM pl")
+def k3(spark, d):
+    return pool3(spark, d).select("request_id", "kind", "id", "tokens", F.round("value", 6).alias("value"), "protected")
+
+
+@query("k2_k3_plan_of_three_kinds", f"WITH RECURSIVE {_POOL3} SELECT request_id, kind, id, keep FROM pl")
+def k23(spark, d):
+    return budget.joint_plan(pool3(spark, d), F.lit(4000)).select("request_id", "kind", "id", "keep")
+
+
+@query("k8_apply_tool_plan", f"WITH RECURSIVE {_POOL3} SELECT item_id, name FROM tg LEFT JOIN pl ON pl.request_id = item_id AND pl.kind = 'tool' AND id = name WHERE keep IS DISTINCT FROM false")
+def k8t(spark, d):
+    drop = budget.joint_plan(pool3(spark, d), F.lit(4000)).where("kind = 'tool' and not keep").select("request_id", F.col("id").alias("name"))
+    return budget.apply_tool_plan(tools(spark, d).select("request_id", "name"), drop).select(F.col("request_id").alias("item_id"), "name")
+
+
 @query("p8_paths_named", "SELECT request_id, idx, CASE WHEN (request_id * 7) % 4 = 0 THEN named_path ELSE '' END AS paths FROM vm")
 def p8(spark, d):
     line = F.concat(F.lit("open "), F.col("named_path"), F.lit(" and other.py"))
@@ -464,8 +508,8 @@ def l4(spark, d):
 @query("j11_drop_pointers", "SELECT p.request_id, p.idx, CASE WHEN m.kind = p.kind THEN md5(m.text) END AS recorded FROM (SELECT request_id, idx, CASE WHEN idx % 2 = 0 THEN kind ELSE 'tool_result' END AS kind FROM vm) p LEFT JOIN vm m USING (request_id, idx)")
 def j11(spark, d):
     m = view(spark, d, "vm")
-    p = m.select("request_id", "idx", F.when(F.col("idx") % 2 == 0, F.col("kind")).otherwise("tool_result").alias("want"))
-    return p.join(m, ["request_id", "idx"], "left").select("request_id", "idx", F.when(F.col("kind") == F.col("want"), F.md5("text")).alias("recorded"))
+    p = m.select("request_id", "idx", F.when(F.col("idx") % 2 == 0, F.col("kind")).otherwise("tool_result").alias("kind"))
+    return budget.drop_texts(p, m).select("request_id", "idx", F.md5("recorded").alias("recorded"))
 
 
 @query("k7_owned_cuts", "WITH dr AS (SELECT request_id, role AS kind, idx AS pos, 'x:' || upper(kind) AS target, lower(kind) AS key FROM vm), ow AS (SELECT DISTINCT request_id, role AS kind, lower(kind) AS key FROM vm WHERE request_id % 3 = 0 AND kind = 'user'), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, kind, key ORDER BY pos) AS r FROM dr) WHERE r = 1) SELECT request_id, kind, key, pos FROM f WHERE (request_id, kind, key) IN (SELECT request_id, kind, key FROM ow) OR request_id NOT IN (SELECT request_id FROM ow)")
@@ -498,6 +542,12 @@ def u1(spark, d):
     return m.unionByName(f).groupBy("kind").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
-@query("k9_kept_cut_counts", f"WITH {_SC} SELECT request_id, count(*) FILTER (score >= 0.7) AS kept, count(*) FILTER (score < 0.7) AS cut FROM sc GROUP BY 1")
+# a third of the requests has a joint proof, a third candidates, some only numbers, the rest nothing
+@query("k9_kept_cut_counts", f"""WITH {_SC}, c AS (SELECT request_id, count(*) FILTER (score >= 0.7) AS k, count(*) FILTER (score < 0.7) AS n, count(*) FILTER (score < 0.7 AND kind = 'user') AS u, count(*) FILTER (score >= 0.7 AND kind = 'user') AS ku FROM sc GROUP BY 1)
+ SELECT request_id, CASE request_id % 4 WHEN 0 THEN CASE WHEN u > 0 AND n > u THEN ku ELSE k END WHEN 1 THEN k WHEN 2 THEN 7 END AS kept, CASE request_id % 4 WHEN 0 THEN CASE WHEN u > 0 AND n > u OR n = 0 THEN u ELSE n END WHEN 1 THEN u WHEN 2 THEN n END AS cut FROM c""")
 def k9(spark, d):
-    return scored(spark, d).groupBy("request_id").agg(F.count_if(F.col("score") >= 0.7).alias("kept"), F.count_if(F.col("score") < 0.7).alias("cut"))
+    part, keep = F.col("request_id") % 4, F.col("score") >= 0.7
+    kinds = lambda cond: F.collect_list(F.when(cond, F.col("kind")))
+    rows = scored(spark, d).groupBy("request_id").agg(kinds(keep).alias("k"), kinds(~keep).alias("n"), kinds(~keep & (F.col("kind") == "user")).alias("drops"), F.collect_list(F.struct(keep.alias("keep"))).alias("c"))
+    rows = rows.select("request_id", F.when(part == 0, F.col("k")).alias("proof_kept"), F.when(part == 0, F.col("n")).alias("proof_dropped"), F.when(part == 1, F.col("c")).alias("candidates"), F.when(part == 2, 7).alias("kept"), F.when(part == 2, F.size("n")).alias("dropped_count"), "drops")
+    return budget.head_counts(rows).select("request_id", F.col("n_kept").alias("kept"), F.col("n_cut").alias("cut"))

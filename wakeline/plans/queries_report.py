@@ -125,6 +125,22 @@ def p21(spark, d):
     return view(spark, d, "vr").select("id", u.alias("u")).select("id", "u.*")
 
 
+# responses of four dialects written from the requests' numbers, one in five without usage
+@query("p21_response_usage", """WITH r AS (SELECT *, id % 4 AS v FROM vr WHERE id % 5 > 0) SELECT id, CASE WHEN v = 1 THEN in_tok ELSE greatest(0, in_tok - cr_tok) END AS input_uncached, CASE WHEN v = 1 THEN cw_tok ELSE 0 END AS cache_write, cr_tok AS cache_read, out_tok AS output, CASE WHEN v = 1 THEN 0 ELSE k END::BIGINT AS reasoning FROM r
+ UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL FROM vr WHERE id % 5 = 0""")
+def p21r(spark, d):
+    one = lambda **kw: F.struct(*(c.alias(k) for k, c in kw.items()))
+    col, part = F.col, F.col("id") % 4
+    openai = one(model=col("model"), usage=one(prompt_tokens=col("in_tok"), completion_tokens=col("out_tok"), prompt_tokens_details=one(cached_tokens=col("cr_tok")), completion_tokens_details=one(reasoning_tokens=col("k"))))
+    anthropic = one(model=col("model"), usage=one(input_tokens=col("in_tok"), output_tokens=col("out_tok"), cache_read_input_tokens=col("cr_tok"), cache_creation_input_tokens=col("cw_tok")))
+    gemini = one(modelVersion=col("model"), usageMetadata=one(promptTokenCount=col("in_tok"), candidatesTokenCount=col("out_tok"), cachedContentTokenCount=col("cr_tok"), thoughtsTokenCount=col("k")))
+    responses = one(type=F.lit("response.completed"), response=one(model=col("model"), usage=one(input_tokens=col("in_tok"), output_tokens=col("out_tok"), input_tokens_details=one(cached_tokens=col("cr_tok")), output_tokens_details=one(reasoning_tokens=col("k")))))
+    dialect = F.when(part == 0, "openai").when(part == 1, "anthropic").when(part == 2, "gemini").otherwise("responses")
+    body = F.when(col("id") % 5 == 0, "{}").when(part == 0, F.to_json(openai)).when(part == 1, F.to_json(anthropic)).when(part == 2, F.to_json(gemini)).otherwise(F.to_json(responses))
+    rows = view(spark, d, "vr").select("id", cost.response_usage(dialect, body).alias("u"))
+    return rows.select("id", "u.*")
+
+
 @query("p22_merge_usage", "SELECT request_id, seq, coalesce(nullif(output % 3, 0), input, 0) AS output, coalesce(nullif(input % 2, 0), output, 0) AS input FROM vs")
 def p22(spark, d):
     rows = view(spark, d, "vs").select("request_id", "seq", F.struct((F.col("output") % 3).alias("output"), (F.col("input") % 2).alias("input")).alias("a"), F.struct(F.col("input").alias("output"), F.col("output").alias("input")).alias("b"))
