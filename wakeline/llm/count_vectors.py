@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 
 from . import buffers as B
 from .components import components
+from .sketches import in_sketch, sketch
 from .tables import read, settled
 from .workers import release
 
 SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 8_000
 STAR = 4_000  # classes of a key that one task brings together to find its leader
 PAIRS = 16_000  # of points compared at once: 4 MB for each of their copies
-BROADCAST_ROWS = 2_000_000  # 16 MB of ids
+BROADCAST_ROWS = 250_000  # of a few numbers: about 30 MB
 MAX_STEPS = 12
 CLASSES_A_TASK = 20_000  # of the small tables of pairs and links
 
@@ -347,6 +348,18 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def possible(rows: DataFrame, key: Column, wanted: np.ndarray) -> DataFrame:
+    """The rows whose key may be in a sketch."""
+    shared, columns = rows.sparkSession.sparkContext.broadcast(wanted), rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(in_sketch(shared.value, batch.column(len(columns)).to_numpy())))
+            yield own.select(columns)
+
+    return rows.withColumn("_hash", key).mapInArrow(keep, rows.schema)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets truly link."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().coalesce(tasks)
@@ -361,8 +374,12 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks:
                 body = pa.array([value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), body], ["id", "shingles"]).filter(pa.array(same))
 
-    wanted = small(ids.withColumnRenamed("doc_id", "_doc"))
-    texts = documents.select("doc_id", F.col("text").cast("string"), row_key().alias("_key"))
+    wanted = ids.withColumnRenamed("doc_id", "_doc")
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("_key"))
+    if ids.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    else:
+        texts = possible(texts, F.xxhash64("doc_id", "_key"), sketch(F.xxhash64("_doc", "row_key"), wanted))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("row_key"))).select("id", "lo", "text")
     own = settled(texts.mapInArrow(sets, "id long, shingles binary"))
     if own.count() > ids.count():  # repeated rows of one doc_id and text: one of each

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import buffers as B
 from .tables import read, settled
-from .workers import KeyTable, kept
+from .workers import KeyTable, kept, release
 
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANG = 1500
@@ -70,7 +70,7 @@ def public_pieces(name: str = VOCABULARY) -> list[bytes]:
 
 
 class Trie:
-    """Pieces as a table of transitions; state 0 is the root, -1 no such piece."""
+    """Pieces as a table of transitions from state to state; 0 is the root, none no such piece. Built on the driver and broadcast."""
 
     def __init__(self, pieces: list[bytes]):
         nodes: dict[bytes, int] = {b"": 0}
@@ -80,7 +80,9 @@ class Trie:
         used = sorted({b for p in pieces for b in p})
         self.column = np.zeros(256, np.int64)  # 0: in no piece
         self.column[used] = 1 + np.arange(len(used))
-        self.next = np.full((len(nodes), len(used) + 1), -1, np.int32)
+        kind = np.uint16 if len(nodes) < 65535 else np.uint32
+        self.none = kind(np.iinfo(kind).max)
+        self.next = np.full((len(nodes), len(used) + 1), self.none, kind)
         for prefix, i in nodes.items():
             if prefix:
                 self.next[nodes[prefix[:-1]], self.column[prefix[-1]]] = i
@@ -89,34 +91,17 @@ class Trie:
         self.longest = max(map(len, pieces), default=0)
 
 
-class _Tables:
-    """What a worker keeps: the trie, and scores of known words under one model."""
-
-    def __init__(self, vocabulary: str):
-        self.trie = Trie(public_pieces(vocabulary))
-        self.tag = ""
-
-    def of(self, model: Model) -> tuple[KeyTable, np.ndarray]:
-        if self.tag != model.tag:
-            self.tag, self.index, self.scores = model.tag, KeyTable(CACHE), np.zeros((CACHE, len(model.langs)))
-        return self.index, self.scores
-
-
-def tables(vocabulary: str) -> _Tables:
-    return kept(("langid", vocabulary), lambda: _Tables(vocabulary))
-
-
 def pieces_in(t: Trie, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, length, piece) of every piece in the words data[offsets[i]:offsets[i + 1]], by length."""
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    own, state = np.arange(len(data)), np.zeros(len(data), np.int32)
+    own, state = np.arange(len(data)), np.zeros(len(data), t.next.dtype)
     at, length, piece = [own[:0]], [own[:0]], [t.piece[:0]]
     column = t.column[data]
     for k in range(1, t.longest + 1):
         fits = left[own] >= k
         own, state = own[fits], state[fits]
         state = t.next[state, column[own + k - 1]]
-        own, state = own[state >= 0], state[state >= 0]
+        own, state = own[state != t.none], state[state != t.none]
         if not len(own):
             break
         hit = t.piece[state] >= 0
@@ -205,10 +190,14 @@ def learnable(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Model:
-    """Languages with log-ready piece probabilities, p[piece, language]."""
+    """Languages with piece probabilities, p[piece, language], and the trie of the pieces."""
+
+    def __init__(self, langs: list[str], p: np.ndarray, trie: Trie | None):
+        self.langs, self.p, self.trie, self.tag = langs, p, trie, uuid.uuid4().hex
 
-    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str):
-        self.langs, self.p, self.vocabulary, self.tag = langs, p, vocabulary, uuid.uuid4().hex
+    def known(self) -> tuple[KeyTable, np.ndarray]:
+        """Scores of known words, kept by the worker for this model."""
+        return kept(("langid", self.tag), lambda: (KeyTable(CACHE), np.zeros((CACHE, len(self.langs)))))
 
 
 def learn(labelled: DataFrame, vocabulary: str = VOCABULARY, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> Model:
@@ -217,7 +206,7 @@ def learn(labelled: DataFrame, vocabulary: str = VOCABULARY, docs_per_lang: int
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros((0, 0)), vocabulary)
+        return Model([], np.zeros((0, 0)), None)
     place = {x: i for i, x in enumerate(langs)}
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_lang / sizes[k]))])
     drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.get(F.array(share[F.col("lang")]), F.lit(0)) * (1 << 20)).distinct()
@@ -237,13 +226,16 @@ def learn(labelled: DataFrame, vocabulary: str = VOCABULARY, docs_per_lang: int
     table = drawn.mapInArrow(count_words, "lang int, word binary, n long")
     # the sample is bounded, and so is its word table: a few tasks, as each one sends sums of all pieces
     table = settled(table.groupBy("lang", "word").agg(F.sum("n").alias("n")).coalesce(TASKS))
-    n_pieces = len(public_pieces(vocabulary))
+    pieces = public_pieces(vocabulary)
+    n_pieces, trie = len(pieces), Trie(pieces)
+    tree = table.sparkSession.sparkContext.broadcast(trie)
     p = np.full((n_pieces, len(langs)), 1 / n_pieces)
     for _ in range(rounds):
         shared = table.sparkSession.sparkContext.broadcast(p)
 
         def uses(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            t, total = tables(vocabulary).trie, np.zeros_like(shared.value)
+            release()
+            t, total = tree.value, np.zeros_like(shared.value)
             for batch in batches:
                 for lo, hi, data, offsets in B.slices(batch.column(1), 1 << 16):
                     data, at, word = learnable(data, offsets)
@@ -260,7 +252,8 @@ def learn(labelled: DataFrame, vocabulary: str = VOCABULARY, docs_per_lang: int
         np.add.at(total, (got.column("piece").to_numpy(), got.column("lang").to_numpy()), got.column("n").to_numpy())
         p = total / total.sum(0)
         shared.destroy()
-    return Model(langs, p, vocabulary)
+    tree.destroy()
+    return Model(langs, p, trie)
 
 
 def _new_scores(t: Trie, p: np.ndarray, body: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -276,8 +269,7 @@ def _new_scores(t: Trie, p: np.ndarray, body: np.ndarray, at: np.ndarray, which:
 
 def _text_scores(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The best language (its place; -1 for none) and the posterior under equal priors of each text."""
-    own = tables(m.vocabulary)
-    index, known = own.of(m)
+    index, known = m.known()
     best, posterior = np.full(len(text), -1), np.zeros(len(text))
     lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     for lo, hi, data, offsets in B.slices(pc.utf8_lower(text)):
@@ -292,11 +284,11 @@ def _text_scores(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             place[:] = -1
         new = np.flatnonzero(place < 0)
         if len(new) > CACHE:  # more words in one slice than the cache holds
-            scores = _new_scores(own.trie, m.p, body, at, one)
+            scores = _new_scores(m.trie, m.p, body, at, one)
         else:
             if len(new):
                 place[new] = index.add(keys[new])
-                known[place[new]] = _new_scores(own.trie, m.p, body, at, one[new])
+                known[place[new]] = _new_scores(m.trie, m.p, body, at, one[new])
             scores = known[place]
         total = np.stack([np.bincount(words.row, scores[back, j], hi - lo) for j in range(len(m.langs))], 1)
         ok = lettered[lo:hi] & (words.counts > 0)

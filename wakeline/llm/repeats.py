@@ -18,7 +18,7 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
 5. The marked spans go back to all copies, and are cut from the texts.
 
 Requests for bytes and the marked spans meet the texts in joins on doc_id and a hash of the text.
-Before each, a sketch of the wanted keys (a bit for each of ``BITS`` hash values, whatever the size
+Before each, a sketch of the wanted keys (a bit for each of ``sketches.BITS`` hash values, whatever the size
 of the corpus) lets the tasks that read the texts pass on only what may be wanted: texts without a
 repeated string aren't shuffled. A full sketch passes everything and changes no result.
 
@@ -39,17 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buffers as B
+from .sketches import in_sketch, sketch
 from .tables import read, settled
 from .workers import release
 
 LENGTH, K = 400, 128
 BLOCK = 20_000  # different segments of one anchor in one index
 INDEX_BYTES = 3 << 20
-BITS = 1 << 26  # of a sketch: 8 MB
 _BASE = B.U(0x9FB21C651E98DF25 | 1)
 _INVERSE = B.U(pow(int(_BASE), -1, 1 << 64))
 
@@ -66,7 +66,7 @@ _step: dict[int, np.ndarray] = {}
 def _steps(base: np.uint64, n: int) -> np.ndarray:
     known = _step.get(int(base))
     if known is None or len(known) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
+        p = np.full(max(n, 1 << 18), base, np.uint64)
         p[0] = 1
         known = np.multiply.accumulate(p)
         if n <= 1 << 23:
@@ -209,21 +209,6 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
 
 
-def sketch(keys: Column, rows: DataFrame) -> np.ndarray:
-    """Which of BITS hash values the keys of rows (64-bit hashes) have, as 64-bit words; its size is fixed."""
-    bit = F.pmod(keys, F.lit(BITS))
-    words = rows.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out
-
-
-def in_sketch(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys.view(np.uint64) % B.U(BITS)
-    return (words[(bit >> B.U(6)).astype(np.int64)].view(np.uint64) >> (bit & B.U(63))) & B.U(1) > 0
-
-
 def _scan(documents: DataFrame, length: int, k: int, wanted: np.ndarray | None = None) -> DataFrame:
     """The segments of all rows; with wanted (a sketch of anchors) those that may be in it."""
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
