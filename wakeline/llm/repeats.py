@@ -17,6 +17,11 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
    counted by hash over all tasks instead.
 5. The marked spans go back to all copies, and are cut from the texts.
 
+The index of an anchor also shows matches of ``PASSAGE`` to LENGTH bytes around it: passages of
+some fifty words, too short to be cut. They are reported (``n_passage``), each a true repeat of
+at least PASSAGE bytes. Nothing of LENGTH bytes escapes, but of shorter ones only those whose anchor both
+texts share are seen: nearly all from some 320 bytes on, and none in texts under LENGTH bytes.
+
 Requests for bytes and the marked spans meet the texts in joins on doc_id and a hash of the text.
 Before each, a sketch of the wanted keys (a bit for each of ``sketches.BITS`` hash values, whatever the size
 of the corpus) lets the tasks that read the texts pass on only what may be wanted: texts without a
@@ -47,7 +52,7 @@ from .sketches import in_sketch, sketch
 from .tables import read, settled
 from .workers import release
 
-LENGTH, K = 400, 128
+LENGTH, K, PASSAGE = 400, 128, 256
 BLOCK = 20_000  # different segments of one anchor in one index
 INDEX_BYTES = 3 << 20
 _BASE = B.U(0x9FB21C651E98DF25 | 1)
@@ -160,8 +165,12 @@ def _compared(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return size
 
 
-def repeated_spans(bodies: list[bytes], length: int = LENGTH) -> list[list[int]]:
-    """For each body the spans [from, to, ...] of strings of length bytes that start elsewhere too."""
+def repeated_spans(bodies: list[bytes], length: int = LENGTH, groups: np.ndarray | None = None, least: int | None = None) -> tuple[list[list[int]], list[list[int]]]:
+    """For each body the spans [from, to, ...] of strings of length bytes that start elsewhere in its group too, and those of least bytes.
+
+    Consecutive segments of a text overlap by less than length bytes, and lie in different groups.
+    """
+    least = length if least is None else least
     lens = np.array([len(b) for b in bodies], np.int64)
     ends = np.cumsum(lens + 1) - 1
     n = int(ends[-1]) + 1
@@ -172,35 +181,43 @@ def repeated_spans(bodies: list[bytes], length: int = LENGTH) -> list[list[int]]
     symbols[inside] = data.astype(np.uint16) + 1
     left = np.repeat(ends, lens + 1) - np.arange(n)
     order = suffix_order(symbols, left, int(lens.max()))
+    if groups is not None:  # the suffixes of a group together, in order: an index for each group
+        own = np.repeat(groups, lens + 1)[order]
+        by_group = np.argsort(own, kind="stable")
+        order, own = order[by_group], own[by_group]
     before = symbols[order - 1]  # the transform; the symbol before the first is the last separator
     edge = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0))  # run ends: these suffixes are sampled
+    if groups is not None:
+        edge = edge[own[edge] == own[edge + 1]]
     a, b = order[edge], order[edge + 1]
-    long = (left[a] >= length) & (left[b] >= length)
+    long = (left[a] >= least) & (left[b] >= least)
     a, b = a[long], b[long]
     prefix = prefix_hash(np.where(inside, symbols - 1, 0).astype(np.uint8))
-    same = substring_hash(prefix, a, a + length) == substring_hash(prefix, b, b + length)
+    same = substring_hash(prefix, a, a + least) == substring_hash(prefix, b, b + least)
     a, b = a[same], b[same]
-    low, high = np.full(len(a), length), np.minimum(left[a], left[b])
+    low, high = np.full(len(a), least), np.minimum(left[a], left[b])
     while (low < high).any():  # the length of each sampled match
         mid = (low + high + 1) // 2
         ok = substring_hash(prefix, a, a + mid) == substring_hash(prefix, b, b + mid)
         low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
     low = _compared(symbols, a, b, low)
-    a, b, low = (x[low >= length] for x in (a, b, low))
-    depth = np.zeros(n + 1, np.int64)
-    for x in (a, b):
-        np.add.at(depth, x, 1)
-        np.add.at(depth, x + low, -1)
-    covered = np.cumsum(depth[:-1]) > 0
-    covered[~inside] = False
-    flips = np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))
-    begin, stop = np.flatnonzero(flips == 1), np.flatnonzero(flips == -1)
-    out: list[list[int]] = [[] for _ in bodies]
-    own = np.searchsorted(ends, begin)
     base = np.concatenate([[0], ends[:-1] + 1])
-    for s, x, y in zip(own.tolist(), (begin - base[own]).tolist(), (stop - base[own]).tolist(), strict=True):
-        out[s] += [x, y]
-    return out
+
+    def covered(size: int) -> list[list[int]]:
+        """Spans under matches of size at least."""
+        depth, long = np.zeros(n + 1, np.int64), low >= size
+        for x in (a[long], b[long]):
+            np.add.at(depth, x, 1)
+            np.add.at(depth, x + low[long], -1)
+        flips = np.diff(np.concatenate([[False], (np.cumsum(depth[:-1]) > 0) & inside, [False]]).astype(np.int8))
+        begin, stop = np.flatnonzero(flips == 1), np.flatnonzero(flips == -1)
+        out: list[list[int]] = [[] for _ in bodies]
+        own = np.searchsorted(ends, begin)
+        for s, x, y in zip(own.tolist(), (begin - base[own]).tolist(), (stop - base[own]).tolist(), strict=True):
+            out[s] += [x, y]
+        return out
+
+    return covered(length), covered(least) if least < length else [[] for _ in bodies]
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -240,7 +257,7 @@ def _rows_in(documents: DataFrame, known: Broadcast, inside: bool = True) -> Dat
             if inside:
                 yield own.select(["doc_id", "mark", "text"])
             else:
-                yield from _remaining(own.column(0), own.column(2), None)
+                yield from _remaining(own.column(0), own.column(2))
 
     rows = _rows(documents).withColumn("key", F.xxhash64("doc_id", "mark"))
     return rows.mapInArrow(keep, "doc_id long, mark long, text binary" if inside else KEPT)
@@ -269,13 +286,14 @@ def _bodies(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return found if found.count() == wanted.count() else settled(found.dropDuplicates(["anchor", "segment"]))  # repeated rows of one doc_id and text
 
 
-def _indexed(bodies: DataFrame, length: int) -> DataFrame:
-    """anchor, segment and repeated spans; all segments of an anchor meet in one index."""
+def _indexed(bodies: DataFrame, length: int, passage: int) -> DataFrame:
+    """anchor, segment, repeated spans and passages; all segments of an anchor meet in one index."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(t: pa.Table) -> pa.RecordBatch:
-            found = repeated_spans(t.column("body").to_pylist(), length)
-            return pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks(), t.column("segment").combine_chunks(), pa.array(found, pa.list_(pa.int32()))], ["anchor", "segment", "spans"])
+            _, group = np.unique(t.column("anchor").to_numpy(), return_inverse=True)
+            found = repeated_spans(t.column("body").to_pylist(), length, group.astype(np.int32), passage)
+            return pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks(), t.column("segment").combine_chunks(), *(pa.array(x, pa.list_(pa.int32())) for x in found)], ["anchor", "segment", "spans", "passages"])
 
         held, size = [], 0
         for batch in batches:
@@ -289,7 +307,7 @@ def _indexed(bodies: DataFrame, length: int) -> DataFrame:
         if held:
             yield spans(pa.Table.from_batches(held).combine_chunks())
 
-    return bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, "anchor long, segment long, spans array<int>")
+    return bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, "anchor long, segment long, spans array<int>, passages array<int>")
 
 
 def _groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -312,29 +330,30 @@ def _counted(bodies: DataFrame, length: int) -> DataFrame:
     rows = bodies.mapInArrow(windows, "anchor long, segment long, at int, window long")
     twice = rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     hits = rows.join(twice, ["anchor", "window"]).groupBy("anchor", "segment").agg(F.collect_list(F.array(F.col("at"), F.col("at") + length)).alias("spans"))
-    return hits.select("anchor", "segment", F.flatten("spans").alias("spans"))
+    return hits.select("anchor", "segment", F.flatten("spans").alias("spans"), F.array().cast("array<int>").alias("passages"))
 
 
-def repeated(documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
-    """doc_id, mark and repeated byte spans [from, to, ...], unmerged, of the rows that have any."""
+def repeated(documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, mark, repeated byte spans and passages [from, to, ...], unmerged, of the rows that have any."""
     counts = _scan(documents, length, k).groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1")
     again = settled(counts.select("anchor", (F.col("x") != F.col("y")).alias("various")))
     seen = settled(_scan(documents, length, k, sketch(F.col("anchor"), again)).join(again, "anchor"))
     whole = F.array(F.col("start"), F.col("start") + F.col("windows") - 1 + length)
-    plain = seen.where("not various").select("doc_id", "mark", whole.alias("spans"))
+    none = F.array().cast("array<int>")
+    plain = seen.where("not various").select("doc_id", "mark", whole.alias("spans"), none.alias("passages"))
     various = seen.where("various")
     one = various.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "start", "windows")).alias("r"))
     bodies = _bodies(documents, settled(one.select("anchor", "segment", "copies", "r.*")), length)
     large = settled(bodies.groupBy("anchor").count().where(F.col("count") > block).select("anchor"))
-    found = _indexed(bodies.join(large, "anchor", "left_anti"), length)
+    found = _indexed(bodies.join(large, "anchor", "left_anti"), length, passage)
     if not large.isEmpty():
         found = found.unionByName(_counted(bodies.join(large, "anchor"), length))
     found = found.join(bodies.select("anchor", "segment", "copies"), ["anchor", "segment"], "full")
-    found = settled(found.where("copies > 1 or size(spans) > 0"))
-    shifted = F.transform("spans", lambda x: x + F.col("start"))
-    spread = various.join(found, ["anchor", "segment"]).select("doc_id", "mark", F.when(F.col("copies") > 1, whole).otherwise(shifted).alias("spans"))
+    found = settled(found.where("copies > 1 or size(spans) > 0 or size(passages) > 0"))
+    shifted = lambda c: F.coalesce(F.transform(c, lambda x: x + F.col("start")), none)
+    spread = various.join(found, ["anchor", "segment"]).select("doc_id", "mark", F.when(F.col("copies") > 1, whole).otherwise(shifted("spans")).alias("spans"), shifted("passages").alias("passages"))
     # a set: repeated rows of one doc_id and text have the same spans
-    return plain.unionByName(spread).groupBy("doc_id", "mark").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return plain.unionByName(spread).groupBy("doc_id", "mark").agg(*(F.flatten(F.collect_set(c)).alias(c) for c in ("spans", "passages")))
 
 
 def merged_spans(spans: np.ndarray) -> np.ndarray:
@@ -348,18 +367,25 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([pair[head, 0], reach[np.concatenate([head[1:] - 1, [len(pair) - 1]])]], 1)
 
 
-KEPT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+KEPT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, n_passage long"
+
+
+def _remaining(doc_id: pa.Array, text: pa.Array, spans: pa.Array | None = None, passages: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of KEPT from whole texts, their spans and passages (none if null)."""
 
+    def of(column: pa.Array | None, row: int) -> np.ndarray:
+        own = column[row] if column is not None else None
+        return own.values.to_numpy().astype(np.int64) if own is not None and own.is_valid and len(own) else np.zeros(0, np.int64)
 
-def _remaining(doc_id: pa.Array, text: pa.Array, spans: pa.Array | None) -> Iterator[pa.RecordBatch]:
-    """Rows of KEPT from whole texts and their spans (none if null)."""
     for lo, hi, data, offsets in B.slices(text):
-        kept, removed, n_spans = [], [], []
+        kept, removed, n_spans, n_passage = [], [], [], []
         for r in range(hi - lo):
             own = data[offsets[r] : offsets[r + 1]]
-            cut = spans[lo + r] if spans is not None else None
-            if cut is not None and cut.is_valid and len(cut):
-                pair = merged_spans(cut.values.to_numpy().astype(np.int64))
+            cut = of(spans, lo + r)
+            every = np.concatenate([cut, of(passages, lo + r)])
+            n_passage.append(int(np.diff(merged_spans(every)).sum()) if len(every) else 0)
+            if len(cut):
+                pair = merged_spans(cut)
                 keep = np.ones(len(own), bool)
                 keep[B.ragged(pair[:, 0], pair[:, 1] - pair[:, 0])] = False
                 own = own[keep]
@@ -368,22 +394,22 @@ def _remaining(doc_id: pa.Array, text: pa.Array, spans: pa.Array | None) -> Iter
                 n_spans.append(0)
             kept.append(own.tobytes())
             removed.append(int(offsets[r + 1] - offsets[r]) - len(own))
-        columns = [doc_id.slice(lo, hi - lo), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        columns = [doc_id.slice(lo, hi - lo), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(n_passage, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_passage"])
 
 
-def cut_repeats(documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of each row."""
-    spans = settled(repeated(documents, length, k, block))
+def cut_repeats(documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans and n_passage (bytes in repeats, the short ones too) of each row."""
+    spans = settled(repeated(documents, length, k, block, min(passage, length)))
     known = _row_sketch(spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _remaining(batch.column(0), batch.column(1), batch.column(2))
+            yield from _remaining(*batch.columns)
 
-    marked = _by_row(_rows_in(documents, known), spans, "left").select("doc_id", "text", "spans").mapInArrow(cut, KEPT)
+    marked = _by_row(_rows_in(documents, known), spans, "left").select("doc_id", "text", "spans", "passages").mapInArrow(cut, KEPT)
     return marked.unionByName(_rows_in(documents, known, inside=False))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "n_passage", F.sha2("kept", 256).alias("kept_sha256"))
