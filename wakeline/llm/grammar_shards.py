@@ -18,7 +18,10 @@ binary payload of little-endian arrays:
 Spark's committer writes the table, so a lost executor leaves no partial block.
 
 Defined cases: null and empty texts are documents of only the end id; ties of doc_id are ordered
-by a hash of the text; a null doc_id sorts first; an empty table writes no block.
+by a hash of the text; a null doc_id sorts first; an empty table writes no block; a very long text
+is encoded whole and may make a block longer than ``BLOCK_IDS``; columns other than doc_id and text
+are ignored. Symbols have 16 bits, so a block has room for 16,128 rules; Re-Pair ends there, or
+after ``ROUNDS`` rounds, and is lossless wherever it ends.
 """
 
 from __future__ import annotations

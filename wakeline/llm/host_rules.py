@@ -6,8 +6,9 @@ moments, and each host's verdict is joined back to its documents. The verdict ta
 host; Spark picks a broadcast by its measured size, else a join whose skewed side it splits.
 
 Defined cases: null and empty texts have no words and fail; a null host is a host of its own
-only for counting and never condemns its documents; repeated rows count each; an empty table
-gives an empty result.
+only for counting and never condemns its documents; repeated rows count each; a rate on the limit
+is kept; a very long text is measured whole, in memory in proportion to it; an empty table
+gives an empty result; columns other than doc_id, text and the host are ignored.
 """
 
 from __future__ import annotations

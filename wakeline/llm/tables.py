@@ -25,10 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
+    """The folder that driver and executors share; one of this machine only where all run on it (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     import tempfile
 
     made = tempfile.mkdtemp(prefix="wakeline-")
@@ -36,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df with its rows stored in the shared folder, so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext

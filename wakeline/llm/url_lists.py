@@ -9,7 +9,9 @@ size and is broadcast).
 
 Defined cases: a null or unreadable URL has no host and is allowed; a null capture time meets no
 interval; on one day a removal comes after an addition; repeated entries count once; an entry
-with a null field is ignored; hosts compare in lower case without user, port and final dot.
+with a null field is ignored; hosts compare in lower case without user, port and final dot; repeated
+captures each get their row; a very long URL is read whole; an empty table gives an empty result;
+columns named host, lists or allowed give way to the operator's own, all others stay.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .tables import read
 
+FOUND = ("host", "lists", "allowed")
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -38,15 +41,18 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, intervals: DataFrame, url: str = "url", day: str = "captured_on") -> DataFrame:
     """captures with host, lists (sorted, those active for the host at the time) and allowed."""
-    captures = captures.withColumn("host", host_of(F.col(url)))
+    kept = [c for c in captures.columns if c not in FOUND]
+    # the caller's columns go by number meanwhile, so that no name of theirs meets one of these
+    captures = captures.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(kept)], host_of(F.col(url)).alias("host"), F.col(day).alias("day"))
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = captures.select("host").where("host is not null").distinct().select("host", F.explode(suffix).alias("domain"))
     known = hosts.join(intervals, "domain").groupBy("host").agg(F.collect_set(F.struct("list", "from_day", "to_day")).alias("known"))
     joined = captures.join(known.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").drop("_host")
-    now = F.filter("known", lambda k: (k["from_day"] <= F.col(day)) & (k["to_day"].isNull() | (F.col(day) < k["to_day"])))
+    now = F.filter("known", lambda k: (k["from_day"] <= F.col("day")) & (k["to_day"].isNull() | (F.col("day") < k["to_day"])))
     lists = F.array_sort(F.array_distinct(F.transform(now, lambda k: k["list"])))
-    return joined.withColumn("lists", F.coalesce(lists, F.array().cast("array<string>"))).withColumn("allowed", F.size("lists") == 0).drop("known")
+    active = F.coalesce(lists, F.array().cast("array<string>"))
+    return joined.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)], "host", active.alias("lists"), (F.size(active) == 0).alias("allowed"))
 
 
 def _number(text: Column) -> Column:
