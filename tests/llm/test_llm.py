@@ -372,6 +372,9 @@ def test_lists_hold_from_an_addition_to_a_removal(spark):
     assert [got[d, "https://x:y@A.b.org.:80/p"] for d in days] == [[], ["m"], ["l", "m"], ["l", "m"], ["m"], ["l", "m"], ["l", "m"]]
     assert all(not v for (_, u), v in got.items() if u != "https://x:y@A.b.org.:80/p")
     assert url_lists.evaluate(c.where("false"), url_lists.validity(e)).count() == 0
+    clash = url_lists.evaluate(c.withColumns({n: F.lit("mine") for n in ("host", "known", "domain", "list", "day", "_host")}), url_lists.validity(e))
+    assert {(r["known"], r["domain"], r["list"], r["day"], r["_host"]) for r in clash.collect()} == {("mine",) * 5} and "mine" not in {r["host"] for r in clash.collect()}
+    assert clash.where("not allowed").count() == sum(bool(v) for v in got.values())
     assert url_lists.evaluate(c, url_lists.validity(e.where("false"))).where("not allowed").count() == 0
 
 
@@ -541,7 +544,7 @@ def test_index_marks_what_brute_force_marks():
     for alphabet in ("ab", "abcdefgh"):
         bodies = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(12, 60))).encode() for _ in range(60)})
         count = collections.Counter(b[i : i + 10] for b in bodies for i in range(len(b) - 9))
-        for b, spans in zip(bodies, repeats.repeated_spans(bodies, 10), strict=True):
+        for b, spans in zip(bodies, repeats.repeated_spans(bodies, 10)[0], strict=True):
             m, own = np.zeros(len(b), bool), np.zeros(len(b), bool)
             for i in range(len(b) - 9):
                 m[i : i + 10] |= count[b[i : i + 10]] > 1
@@ -550,6 +553,30 @@ def test_index_marks_what_brute_force_marks():
             assert (m == own).all()
 
 
+def test_planted_passages_over_and_under_the_length(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    short, long, tiny = prose(60)[:330], prose(90)[:460], prose(25)[:140]
+    rows = [(i, f"{prose(60)} {x} {prose(60)}") for x, ids in ((short, range(0, 30)), (long, range(30, 60)), (tiny, range(60, 90)), ("", range(90, 120))) for i in ids]
+    got = {r["doc_id"]: r for r in repeats.cut_repeats(hard(spark, rows)).collect()}
+    assert sorted((str(i), r["n_bytes"], r["n_removed"]) for i, r in got.items()) == [x[:3] for x in brute_repeats(rows, repeats.LENGTH)]
+    assert all(len(long) <= got[i]["n_removed"] <= got[i]["n_passage"] for i in range(30, 60))
+    assert all(got[i]["n_removed"] == got[i]["n_passage"] == 0 for i in range(60, 120))
+    some = dict(zip(((int(x[0])) for x in brute_repeats(rows, repeats.PASSAGE)), (x[2] for x in brute_repeats(rows, repeats.PASSAGE)), strict=True))
+    assert all(got[i]["n_passage"] <= some[i] for i in got)  # each is a true repeat
+    caught = sum(got[i]["n_passage"] >= repeats.PASSAGE for i in range(30))
+    assert len(short) > 315 and caught >= 28, (len(short), caught)
+
+
+def test_many_rows_of_one_doc_id(spark):
+    rows = [(7, "x" * 50 + BASE[:300])] * 400 + [(7, f"{i} " * 30) for i in range(100)] + [(8, BASE[100:420])]
+    docs = hard(spark, rows).repartition(4)
+    got = repeats.cut_repeats(docs, 40, 16)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got.collect()) == brute_repeats(rows, 40)
+    one = count_vectors.jaccard_components(docs)
+    assert {r["component_id"] for r in one.where("doc_id = 7").collect()} == {7} and one.count() == len(rows)
+
+
 def test_repeats_of_nothing_and_of_the_small_table(spark):
     assert repeats.cut_repeats(empty(spark)).count() == 0
     docs = [(i, t) for i, t, _ in small_documents()]
