@@ -2,7 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the
 shared folder and reads it again as the next stage's docs. All but the last return the columns of
-documents. ORACLE_SQL is None: SQL can express neither the language model nor the tokenizer;
+documents. A stage's rows are deleted once the next one's are written.
+
+Defined cases, for every stage: a null or empty text has no language and goes with the first
+stage (the others keep it: no words, no hits, no tokens); rows are told apart by doc_id and text,
+so a shared or missing doc_id costs no other row, and repeated rows are one component of which one
+stays; very long texts are read whole; an empty table gives an empty result; columns of any name
+beside those of documents stay as they are up to the mixture. ORACLE_SQL is None: SQL can express neither the language model nor the tokenizer;
 tests/llm compares run() with a brute-force version.
 """
 
@@ -13,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm import count_vectors, decontaminate, grammar_shards, langid, mixture
-from wakeline.llm.tables import read, ready, shared_dir
+from wakeline.llm.tables import discard, read, ready, shared_dir
 
 MIN_SCORE, TOKEN_SHARE = 0.5, 0.8
 ORACLE_SQL = None
@@ -64,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:
+            discard(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
