@@ -209,6 +209,13 @@ def test_keys_and_symbols(spark):
     files = spark.createDataFrame([("a.json", '{"One": {"two": 1}}'), ("b.csv", "x,Y\n1,2"), ("c.yaml", "key: v\nlist:\n  - name: http://x")], "path string, src string")
     got = {(r["path"], r["term"]) for r in bodies.json_keys(files).collect()}
     assert got == {("a.json", "one"), ("a.json", "two"), ("b.csv", "x"), ("b.csv", "y"), ("c.yaml", "key"), ("c.yaml", "list"), ("c.yaml", "name")}
+    nested = [("a.json", '{"x": {"y": [{"z": 1, "w": 2}, {"q": 3}]}, "v": 2}'), ("b.json", '{"broken": 1, "x": '), ("c.yaml", "top:\n  # no: key\n  in: 1\n  deep:\n    - item: 2\n    low: 3\nnext: 4\nurl http://x\n"), ("d.txt", '{"k": 1}'), ("e.json", None)]
+    paths = {}
+    for r in bodies.key_paths(spark.createDataFrame(nested, "path string, src string")).collect():
+        paths.setdefault(r["path"], []).append(r["term"])
+    assert paths == {"a.json": ["x", "x.y", "x.y[].z", "x.y[].w", "v"], "b.json": ["broken", "x"], "c.yaml": ["top", "top.in", "top.deep", "top.deep.low", "next"]}
+    quoted = spark.createDataFrame([("q.py", '"""def no(): pass"""\nimport a.b, c\ndef f():\n    from .d import e\nX = 1\n'), ("bad.py", "def (")], "path string, src string")
+    assert {(r["term"], r["kind"]) for r in bodies.code_symbols(quoted).collect()} == {("f", "symbol"), ("X", "symbol"), ("a.b", "import"), ("c", "import"), (".d", "import")}
     code = spark.createDataFrame([("m.py", "import os\nclass A:\n    def run(self): pass"), ("n.ts", "import x from './lib'\nexport function go() {}")], "path string, src string")
     assert {(r["term"], r["kind"]) for r in bodies.code_symbols(code).collect()} == {("os", "import"), ("A", "symbol"), ("run", "symbol"), ("./lib", "import"), ("go", "symbol")}
 
@@ -258,3 +265,90 @@ def test_stateful_streams(spark, tmp_path):
         q = job(spark.readStream.schema(rows.schema).parquet(src)).writeStream.format("memory").queryName(f"s_{name}").outputMode("update" if name == "vs" else "append").trigger(availableNow=True).start()
         q.awaitTermination(180)
         assert sorted(map(tuple, spark.table(f"s_{name}").select(*cols).collect())) == sorted(map(tuple, twin(rows).select(*cols).collect()))
+
+
+@pytest.fixture
+def few_partitions(spark):
+    """State stores in two partitions: each has a Python worker of its own in every batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def in_batches(spark, rows, order, path, parts=2):
+    """rows as a stream of parts in order, one file each."""
+    import time
+
+    n = rows.count()
+    ranked = sorted(rows.collect(), key=lambda r: r[order])
+    for i in range(parts):
+        spark.createDataFrame(ranked[i * n // parts : (i + 1) * n // parts], rows.schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def finished(stream, name):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    return stream.sparkSession.table(name)
+
+
+def test_rereads_as_they_arrive(spark, tmp_path, few_partitions):
+    pytest.importorskip("google.protobuf")
+    from tests.comparing import SMALL
+    from wakeline.plans.views import view
+
+    vp = labels.windowed_fetches(view(spark, SMALL, "vp")).withColumn("n", F.col("n").cast("long"))
+    want = labels.blamed(labels.growth(vp.withColumn("turn_no", F.col("turn"))), vp.where("evicted"), 8, 40_000.0)
+    got = finished(jobs.stream_rereads(in_batches(spark, vp, "turn", str(tmp_path / "vp")), 8, 40_000.0), "rereads")
+    names = ["session", "turn", "path", "e_turn", "evicted_tok", "regret_tok"]
+    rows = sorted(map(tuple, got.select(*names).collect()))
+    assert rows == sorted(map(tuple, want.select(*names).collect())) and rows
+
+
+def test_frames_as_they_arrive(spark, tmp_path, few_partitions):
+    pytest.importorskip("google.protobuf")
+    chunks = [(1, 0, "a: 1\n", False), (1, 1, "\nb", False), (2, 2, "x\r", False), (1, 3, ": 2\r\n\r", False), (2, 4, "\n\r\ny\n\n\n", False), (1, 5, "\nrest", True), (2, 6, "\nz\n\n", True)]
+    df = spark.createDataFrame(chunks, "request_id long, seq long, payload string, done boolean").coalesce(1)
+    got = finished(jobs.stream_reassembled(in_batches(spark, df, "seq", str(tmp_path / "c"))), "frames")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.reassembled(df).collect()))
+
+
+def test_late_rows_go_to_a_side_table(spark, tmp_path, few_partitions):
+    pytest.importorskip("google.protobuf")
+    rows = [(s, i, float(t)) for i, (s, t) in enumerate([(1, 100), (1, 50), (2, 10), (1, 200), (1, 139), (2, 5), (1, 141), (2, 300), (2, 1)])]
+    df = spark.createDataFrame(rows, "session long, id long, ts_epoch double")
+    stream = jobs.stream_on_time(in_batches(spark, df, "id", str(tmp_path / "r")), 60.0)
+    jobs.write_by_lateness(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(240)
+    late = {r["id"] for r in spark.read.parquet(str(tmp_path / "out" / "late")).collect()}
+    assert late == {r["id"] for r in jobs.on_time(df, 60.0).where("late").collect()} == {4, 8}
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out" / "on_time")).collect()} == set(range(9)) - late
+
+
+def test_results_hold_under_any_partitioning(spark):
+    from tests.comparing import SMALL, spark_rows
+    from wakeline.plans.views import view
+
+    va, vm = view(spark, SMALL, "va"), view(spark, SMALL, "vm")
+    for f, rows in (
+        (evaluate.cut_by_quartile, va),
+        (lambda r: evaluate.bootstrap_interval(r, "task", "observe", 40), va),
+        (lambda r: dataset.fingerprint(r, ["task", "observe"]), va),
+        (lambda r: dataset.split_train_val(r, "task"), va),
+        (lambda r: report.request_features(r, 100).drop("cat_chars"), vm),
+        (lambda r: budget.recency_compaction(budget.message_scores(r), F.lit(500)), vm),
+    ):
+        assert spark_rows(f(rows.repartition(1))) == spark_rows(f(rows.repartition(7)))
+
+
+def test_no_window_over_all_rows(spark):
+    """Windows without a key see summaries only: the rows below them come from an aggregate."""
+    from tests.comparing import SMALL
+    from wakeline.plans.views import view
+
+    va = view(spark, SMALL, "va")
+    for df in (evaluate.cut_by_quartile(va), dataset.split_train_val(va, "task"), report.index_percentiles(view(spark, SMALL, "vr"), "latency_ms", {"p": report.at_share(0.5)})):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        for i, line in enumerate(plan):
+            if "Window [" in line and "windowspecdefinition(" in line and ("windowspecdefinition(_b" in line or "windowspecdefinition(0" in line or "windowspecdefinition(spec" in line):
+                assert any("Aggregate" in x for x in plan[i + 1 : i + 6]), "\n".join(plan[i : i + 6])

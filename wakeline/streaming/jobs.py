@@ -1,4 +1,8 @@
-"""Stream jobs; each has a batch twin with the same answer."""
+"""Stream jobs; each has a batch twin with the same answer.
+
+State of a key expires by processing time after its window, or after ``QUIET_S`` without rows
+where there is none, so it is bounded by the keys of that span.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators.labels import WINDOW_S, WINDOW_TURNS
 from ..operators.report import priced
 
+QUIET_S = 3600.0
+
 
 def live_by_day(requests: DataFrame, late: str = "1 day") -> DataFrame:
     """Requests, cost and tokens of each day, as rows arrive; batch twin by_day."""
@@ -30,8 +37,11 @@ def frame_usage(frames: DataFrame) -> DataFrame:
 class _Usage(StatefulProcessor):
     """Keeps the first start frame and the last delta seen so far; emits the usage after each batch."""
 
+    def __init__(self, quiet_s: float):
+        self.quiet_s = quiet_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("usage", "start_seq long, input long, delta_seq long, output long")
+        self.state = handle.getValueState("usage", "start_seq long, input long, delta_seq long, output long", int(self.quiet_s * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, given, last, out = self.state.get() if self.state.exists() else (-1, 0, -1, 0)
@@ -48,8 +58,8 @@ class _Usage(StatefulProcessor):
         pass
 
 
-def stream_frame_usage(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("request_id").transformWithStateInPandas(_Usage(), outputStructType="request_id long, input long, output long", outputMode="Update", timeMode="None")
+def stream_frame_usage(frames: DataFrame, quiet_s: float = QUIET_S) -> DataFrame:
+    return frames.groupBy("request_id").transformWithStateInPandas(_Usage(quiet_s), outputStructType="request_id long, input long, output long", outputMode="Update", timeMode="ProcessingTime")
 
 
 class _Reruns(StatefulProcessor):
@@ -59,7 +69,7 @@ class _Reruns(StatefulProcessor):
         self.window_s = window_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "id long, ts double")
+        self.last = handle.getValueState("last", "id long, ts double", int(self.window_s * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(rows)).sort_values("id")
@@ -78,7 +88,129 @@ class _Reruns(StatefulProcessor):
 
 def stream_reruns(requests: DataFrame, window_s: float = 1800.0) -> DataFrame:
     """Re-run alerts; batch twin labels.reruns. Rows of one body must arrive in order of id."""
-    return requests.select("body_sha", "id", "ts_epoch").groupBy("body_sha").transformWithStateInPandas(_Reruns(window_s), outputStructType="request_id long, again_id long", outputMode="Append", timeMode="None")
+    return requests.select("body_sha", "id", "ts_epoch").groupBy("body_sha").transformWithStateInPandas(_Reruns(window_s), outputStructType="request_id long, again_id long", outputMode="Append", timeMode="ProcessingTime")
+
+
+class _Rereads(StatefulProcessor):
+    """Remembers the counts of the last turn, and the evictions of the last turns and seconds."""
+
+    def __init__(self, turns: int, window_s: float):
+        self.turns, self.window_s = turns, window_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = int(self.window_s * 1000)
+        self.counts = handle.getListState("counts", "turn long, path string, n long", ttl)
+        self.cut = handle.getListState("cut", "turn long, ts double, path string, tokens long", ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        counts = [tuple(x) for x in self.counts.get()] if self.counts.exists() else []
+        cut = [tuple(x) for x in self.cut.get()] if self.cut.exists() else []
+        out = []
+        for r in pd.concat(list(rows)).sort_values("turn", kind="stable").itertuples():
+            counts = [c for c in counts if c[0] >= r.turn - 1]
+            cut = [e for e in cut if r.turn - e[0] <= self.turns and r.ts_epoch - e[1] <= self.window_s]
+            before = max((c[2] for c in counts if c[0] == r.turn - 1 and c[1] == r.path), default=0)
+            cause = max((e for e in cut if e[0] < r.turn and _spelled_alike(e[2], r.path)), default=None)
+            if r.n > before and cause is not None:
+                out.append((int(key[0]), int(r.turn), r.path, int(cause[0]), int(cause[3]), int(r.tokens)))
+            counts.append((int(r.turn), r.path, int(r.n)))
+            if r.evicted:
+                cut.append((int(r.turn), float(r.ts_epoch), r.path, int(r.tokens)))
+        self.counts.put(counts)
+        self.cut.put(cut) if cut else self.cut.clear()
+        yield pd.DataFrame(out, columns=["session", "turn", "path", "e_turn", "evicted_tok", "regret_tok"]).astype({c: "int64" for c in ("session", "turn", "e_turn", "evicted_tok", "regret_tok")})
+
+    def close(self) -> None:
+        pass
+
+
+def _spelled_alike(a: str, b: str) -> bool:
+    a, b = a.lower(), b.lower()
+    return bool(a and b) and (a == b or a.endswith("/" + b) or b.endswith("/" + a))
+
+
+def stream_rereads(turns: DataFrame, reach: int = WINDOW_TURNS, window_s: float = WINDOW_S) -> DataFrame:
+    """Growth of a path's fetches with the eviction that caused it; batch twins labels.growth and labels.blamed.
+
+    turns: session, turn, ts_epoch, path, n (fetches so far), tokens, evicted. A session's rows must arrive in order of turn.
+    """
+    rows = turns.select("session", "turn", "ts_epoch", "path", "n", "tokens", "evicted")
+    return rows.groupBy("session").transformWithStateInPandas(_Rereads(reach, window_s), outputStructType="session long, turn long, path string, e_turn long, evicted_tok long, regret_tok long", outputMode="Append", timeMode="ProcessingTime")
+
+
+class _Frames(StatefulProcessor):
+    """Keeps what follows the last blank line, and the number of frames so far."""
+
+    def __init__(self, quiet_s: float):
+        self.quiet_s = quiet_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rest = handle.getValueState("rest", "rest string, frames long", int(self.quiet_s * 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rest, number = self.rest.get() if self.rest.exists() else ("", 0)
+        out, done = [], False
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            rest, done = rest + (r.payload or ""), bool(r.done)
+            whole = rest.removesuffix("\r") if not done else rest  # its line feed may come with the next chunk
+            *frames, after = whole.replace("\r\n", "\n").split("\n\n")
+            rest = after + rest[len(whole) :]
+            for frame in [*frames, rest] if done else frames:
+                if frame.strip(" "):
+                    out.append((int(key[0]), number, frame))
+                    number += 1
+        self.rest.clear() if done else self.rest.update((rest, number))
+        yield pd.DataFrame(out, columns=["request_id", "seq", "frame"]).astype({"request_id": "int64", "seq": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_reassembled(chunks: DataFrame, quiet_s: float = QUIET_S) -> DataFrame:
+    """Frames of a response as their blank lines arrive, the remainder with the chunk marked done; batch twin reassembled.
+
+    chunks: request_id, seq, payload, done. A response's chunks must arrive in order of seq.
+    """
+    rows = chunks.select("request_id", "seq", "payload", F.coalesce("done", F.lit(False)).alias("done"))
+    return rows.groupBy("request_id").transformWithStateInPandas(_Frames(quiet_s), outputStructType="request_id long, seq long, frame string", outputMode="Append", timeMode="ProcessingTime")
+
+
+class _Lateness(StatefulProcessor):
+    """Keeps the newest time of a session."""
+
+    def __init__(self, late_s: float, quiet_s: float):
+        self.late_s, self.quiet_s = late_s, quiet_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "ts double", int(self.quiet_s * 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values("id")
+        start = self.newest.get()[0] if self.newest.exists() else float("-inf")
+        before = own.ts_epoch.cummax().shift(fill_value=float("-inf")).clip(lower=start)
+        self.newest.update((max(start, float(own.ts_epoch.max())),))
+        yield pd.DataFrame({"session": own.session, "id": own.id, "ts_epoch": own.ts_epoch, "late": before - own.ts_epoch > self.late_s})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_on_time(requests: DataFrame, late_s: float, quiet_s: float = QUIET_S) -> DataFrame:
+    """(session, id, ts_epoch, late) as requests arrive in order of id; batch twin on_time."""
+    rows = requests.select(F.col("session").cast("long"), F.col("id").cast("long"), F.col("ts_epoch").cast("double"))
+    return rows.groupBy("session").transformWithStateInPandas(_Lateness(late_s, quiet_s), outputStructType="session long, id long, ts_epoch double, late boolean", outputMode="Append", timeMode="ProcessingTime")
+
+
+def write_by_lateness(flagged: DataFrame, path: str, checkpoint: str):
+    """Starts a query that writes rows to path/on_time, late ones to the side table path/late, each batch in a folder of its own that a retry replaces."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        for name, late in (("on_time", False), ("late", True)):
+            rows.where(F.col("late") == late).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        rows.unpersist()
+
+    return flagged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def reassembled(chunks: DataFrame) -> DataFrame:
