@@ -22,6 +22,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", shared)
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )

@@ -1,7 +1,9 @@
 """Stream jobs; each has a batch twin with the same answer.
 
 State of a key expires by processing time after its window, or after ``QUIET_S`` without rows
-where there is none, so it is bounded by the keys of that span.
+where there is none, so it is bounded by the keys of that span. Spark cleans such state up in
+batches without data; a run that shall end with the data at hand (``availableNow``) needs
+``spark.sql.streaming.noDataMicroBatches.enabled`` set to false.
 """
 
 from __future__ import annotations
