@@ -124,7 +124,8 @@ def mix(documents: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS
         both = both.unionByName(placed.where(through).withColumn("_in", nth <= F.col("_fits")))
     # a leaf without tokens has one whole epoch of its (empty) documents
     copies = F.least(F.lit(max_epochs), F.col("_epochs") + F.when(F.col("_rest") > 0, F.col("_in").cast("long")).otherwise(F.lit(0))).cast("long")
-    return both.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)], F.col("_d").alias("domain"), F.col("_n").alias("n_tokens"), copies.alias("copies"))
+    both = both.withColumn("_copies", copies)
+    return both.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)], F.col("_d").alias("domain"), F.col("_n").alias("n_tokens"), F.col("_copies").alias("copies"))
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,8 +51,8 @@ def evaluate(captures: DataFrame, intervals: DataFrame, url: str = "url", day: s
     joined = captures.join(known.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").drop("_host")
     now = F.filter("known", lambda k: (k["from_day"] <= F.col("day")) & (k["to_day"].isNull() | (F.col("day") < k["to_day"])))
     lists = F.array_sort(F.array_distinct(F.transform(now, lambda k: k["list"])))
-    active = F.coalesce(lists, F.array().cast("array<string>"))
-    return joined.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)], "host", active.alias("lists"), (F.size(active) == 0).alias("allowed"))
+    joined = joined.select(*[f"in_{i}" for i in range(len(kept))], "host", F.coalesce(lists, F.array().cast("array<string>")).alias("active"))
+    return joined.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(kept)], "host", F.col("active").alias("lists"), (F.size("active") == 0).alias("allowed"))
 
 
 def _number(text: Column) -> Column:
