@@ -280,6 +280,7 @@ def encode(documents: DataFrame, tokenizer: str | None = None, spread: int = SPR
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(ids, size)], ["doc_id", "ids"])
 
     def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("text_key", pa.string()), ("part", pa.int32()), ("inside", pa.bool_()), ("piece", pa.string())])
         specials = byte_encoder(path, leaf, part).specials
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -287,7 +288,7 @@ def encode(documents: DataFrame, tokenizer: str | None = None, spread: int = SPR
                 at = [*cuts(data, part, specials), (len(data), False)]
                 begin = 0
                 for k, (end, inside) in enumerate(at):
-                    yield pa.RecordBatch.from_pylist([{"text_key": key, "part": k, "inside": inside, "piece": data[begin:end].decode()}])
+                    yield pa.RecordBatch.from_pylist([{"text_key": key, "part": k, "inside": inside, "piece": data[begin:end].decode()}], schema)
                     begin = end
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
