@@ -309,7 +309,7 @@ def test_rereads_as_they_arrive(spark, tmp_path, few_partitions):
 def test_frames_as_they_arrive(spark, tmp_path, few_partitions):
     pytest.importorskip("google.protobuf")
     chunks = [(1, 0, "a: 1\n", False), (1, 1, "\nb", False), (2, 2, "x\r", False), (1, 3, ": 2\r\n\r", False), (2, 4, "\n\r\ny\n\n\n", False), (1, 5, "\nrest", True), (2, 6, "\nz\n\n", True)]
-    df = spark.createDataFrame(chunks, "request_id long, seq long, payload string, done boolean").coalesce(1)
+    df = spark.createDataFrame(chunks, "request_id long, seq long, payload string, done boolean").withColumn("ts_epoch", F.col("seq") + 1000.0).coalesce(1)
     got = finished(jobs.stream_reassembled(in_batches(spark, df, "seq", str(tmp_path / "c"))), "frames")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.reassembled(df).collect()))
 

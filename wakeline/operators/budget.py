@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,21 +42,40 @@ def message_scores(messages: DataFrame, tail: int = TAIL, error: str = T.ERROR,
     return rows.withColumn("score", F.when(F.col("tail"), 1.0).otherwise(shown)).withColumn("why", F.when(F.col("tail"), F.array(F.lit("tail"), F.concat(F.lit("role:"), F.col("kind")))).otherwise(why))
 
 
-def recency_compaction(scored: DataFrame, budget: Column) -> DataFrame:
-    """request_id, idx and keep: the tail always, else newest first while the budget lasts; a miss doesn't end the scan.
+def greedy(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """rows with a boolean column name: whether a row is taken when those of its key come in this order.
 
-    The messages of one request are folded in an array, whose length is the request's turns.
+    rows has _tokens, _budget (one for all rows of a key) and _always. A row is taken if its tokens
+    fit what the taken ones have left of the budget, or always; a miss doesn't end the scan. The
+    fold keeps one number, so a key may have any number of rows.
     """
-    turns = F.reverse(F.array_sort(F.collect_list(F.struct("i", "idx", "tokens", "tail"))))
-    rows = scored.withColumn("_budget", budget).groupBy("request_id").agg(turns.alias("m"), F.max("_budget").alias("_budget"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<struct<idx:bigint,keep:boolean>>").alias("out"))
+    places = [F.col(key).asc(), *order]
+    sorted_rows = rows.repartition(key).sortWithinPartitions(*places)
+    names = [*rows.columns, name]
+    at = [names.index(c) for c in (key, "_tokens", "_budget", "_always")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, begun = None, 0, False
+        for batch in batches:
+            keys, tokens, budgets, always = (batch.column(i).to_pylist() for i in at)
+            taken = []
+            for k, t, most, whatever in zip(keys, tokens, budgets, always, strict=True):
+                if not begun or k != now:
+                    now, left, begun = k, most, True
+                take = whatever or t <= left
+                if take:
+                    left -= t
+                taken.append(take)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return sorted_rows.mapInArrow(fold, f"{fields}, `{name}` boolean")
 
-    def step(acc: Column, m: Column) -> Column:
-        keep = m["tail"] | (acc["spent"] + m["tokens"] <= F.col("_budget"))
-        return F.struct((acc["spent"] + F.when(keep, m["tokens"]).otherwise(0)).alias("spent"), F.concat(acc["out"], F.array(F.struct(m["idx"].cast("long").alias("idx"), keep.alias("keep")))).alias("out"))
 
-    folded = rows.select("request_id", F.aggregate("m", start, step)["out"].alias("out"))
-    return folded.select("request_id", F.inline("out"))
+def recency_compaction(scored: DataFrame, budget: Column) -> DataFrame:
+    """request_id, idx and keep: the tail always, else newest first while the budget lasts; a miss doesn't end the scan."""
+    rows = scored.select("request_id", F.col("idx").cast("long").alias("idx"), "i", F.col("tokens").cast("long").alias("_tokens"), budget.cast("long").alias("_budget"), F.col("tail").alias("_always"))
+    return greedy(rows, "request_id", [F.col("i").desc()], "keep").select("request_id", "idx", "keep")
 
 
 def candidate_pool(messages: DataFrame, named: DataFrame, tools: DataFrame, ranked: DataFrame, task_paths: DataFrame) -> DataFrame:
@@ -100,26 +120,17 @@ def joint_plan(pool: DataFrame, budget: Column) -> DataFrame:
     The rest in order of value per token, each taken if it fits.
     """
     ratio = F.when(F.col("tokens") <= 0, F.lit(float("inf"))).otherwise(F.col("value") / F.col("tokens"))
-    items = pool.withColumn("ratio", ratio).withColumn("_budget", budget)
-    key = F.struct((-F.col("ratio")).alias("a"), (-F.col("value")).alias("b"), "kind", "id", "tokens", "ratio")
-    open_items = F.array_sort(F.collect_list(F.when(~F.col("protected"), key)))
-    p_tok = F.coalesce(F.sum(F.when(F.col("protected"), F.col("tokens"))), F.lit(0))
-    rows = items.groupBy("request_id").agg(open_items.alias("m"), p_tok.cast("long").alias("protected_tokens"), F.max("_budget").cast("long").alias("budget"))
-    start = F.struct((F.col("budget") - F.col("protected_tokens")).alias("left"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<kind:string,id:string,keep:boolean>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        fits = m["tokens"] <= acc["left"]
-        lower = fits & (acc["floor"].isNull() | (m["ratio"] < acc["floor"]))
-        one = F.struct(m["kind"].alias("kind"), m["id"].cast("string").alias("id"), fits.alias("keep"))
-        return F.struct((acc["left"] - F.when(fits, m["tokens"]).otherwise(0)).alias("left"), F.when(lower, m["ratio"]).otherwise(acc["floor"]).alias("floor"), F.when(lower, m["id"].cast("string")).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    over = F.col("protected_tokens") > F.col("budget")
-    folded = rows.withColumn("over_budget", over).withColumn("f", F.aggregate(F.when(over, F.array().cast("array<struct<a:double,b:double,kind:string,id:string,tokens:bigint,ratio:double>>")).otherwise(F.col("m")), start, step))
-    summary = folded.select("request_id", "budget", "over_budget", "protected_tokens", F.col("f.floor").alias("floor"), F.col("f.last").alias("last_kept"), F.col("f.left").alias("left"))
-    decided = folded.select("request_id", F.inline("f.out"))
-    out = items.drop("_budget").withColumn("id", F.col("id").cast("string")).join(summary, "request_id").join(decided, ["request_id", "kind", "id"], "left")
-    keep = F.when(F.col("over_budget"), F.when(F.col("protected"), True)).otherwise(F.col("protected") | F.coalesce("keep", F.lit(False)))
-    return out.withColumn("keep", keep)
+    items = pool.withColumn("id", F.col("id").cast("string")).withColumn("ratio", ratio)
+    rows = items.withColumns({"_tokens": F.col("tokens").cast("long"), "_budget": budget.cast("long"), "_always": F.col("protected")})
+    order = [F.col("protected").desc(), F.col("ratio").desc(), F.col("value").desc(), F.col("kind").asc(), F.col("id").asc()]
+    taken = greedy(rows, "request_id", order, "keep")
+    won = F.col("keep") & ~F.col("protected")
+    last = F.struct("ratio", (-F.col("value")).alias("value"), "kind", "id")
+    spent = lambda which: F.coalesce(F.sum(F.when(which, F.col("tokens"))), F.lit(0)).cast("long")
+    summary = taken.groupBy("request_id").agg(F.max("_budget").alias("budget"), spent(F.col("protected")).alias("protected_tokens"), F.min(F.when(won, F.col("ratio"))).alias("floor"), F.min_by("id", F.when(won, last)).alias("last_kept"), spent(won).alias("_won"))
+    summary = summary.withColumn("left", F.col("budget") - F.col("protected_tokens") - F.col("_won")).withColumn("over_budget", F.col("protected_tokens") > F.col("budget")).drop("_won")
+    out = taken.drop("_tokens", "_budget", "_always").join(summary, "request_id")
+    return out.withColumn("keep", F.when(F.col("over_budget"), F.when(F.col("protected"), True)).otherwise(F.col("keep")))
 
 
 def drop_reasons(plan: DataFrame) -> DataFrame:
@@ -141,11 +152,14 @@ def slot_records(plan: DataFrame) -> DataFrame:
 def book_evidence(pool: DataFrame, budget: Column, best: int = EVIDENCE_BEST, share: float = EVIDENCE_SHARE) -> DataFrame:
     """pool (with evidence) whose best few messages by evidence become protected while the protected part stays within a share of the budget.
 
-    The best are taken before those that are protected already are passed over.
+    The best are taken before those that are protected already are passed over. Spark keeps the best
+    few of each task before it brings a request's together.
     """
-    w = Window.partitionBy("request_id")
-    ranked = pool.withColumn("_r", F.when(F.col("evidence") > 0, F.row_number().over(w.orderBy(F.desc("evidence"), "idx")))).withColumn("_cap", F.floor(budget * share)).withColumn("_p", F.sum(F.when(F.col("protected"), F.col("tokens")).otherwise(0)).over(w))
-    few = ranked.where(F.col("_r") <= best).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("_r", "id", "tokens", "protected"))).alias("m"), F.max("_cap").alias("_cap"), F.max("_p").alias("_p"))
+    w = Window.partitionBy("request_id").orderBy(F.desc("evidence"), "idx")
+    rows = pool.withColumn("_cap", F.floor(budget * share))
+    held = rows.groupBy("request_id").agg(F.sum(F.when(F.col("protected"), F.col("tokens")).otherwise(0)).alias("_p"))
+    first = rows.where("evidence > 0").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= best).join(held, "request_id")
+    few = first.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("_r", "id", "tokens", "protected"))).alias("m"), F.max("_cap").alias("_cap"), F.max("_p").alias("_p"))
     start = F.struct(F.col("_p").cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -153,7 +167,7 @@ def book_evidence(pool: DataFrame, budget: Column, best: int = EVIDENCE_BEST, sh
         return F.struct((acc["used"] + F.when(take, m["tokens"]).otherwise(0)).cast("long").alias("used"), F.when(take, F.concat(acc["ids"], F.array(m["id"].cast("string")))).otherwise(acc["ids"]).alias("ids"))
 
     booked = few.select("request_id", F.aggregate("m", start, step)["ids"].alias("_ids"))
-    out = ranked.drop("_r", "_cap", "_p").join(booked, "request_id", "left")
+    out = rows.drop("_cap").join(booked, "request_id", "left")
     return out.withColumn("protected", F.col("protected") | F.coalesce(F.array_contains("_ids", F.col("id").cast("string")), F.lit(False))).drop("_ids")
 
 

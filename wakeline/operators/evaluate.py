@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .report import index_percentiles
-
-RANGES = 65_536
+from .select import values_at
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -60,9 +59,10 @@ def arm_summary(arms: DataFrame, base: str = "observe", other: str = "enforce",
     ratio = F.try_divide((F.col(base) - F.col(other)).cast("double"), F.col(base))
     out = arms.agg(F.count("*").alias("n"), F.round(F.avg(base), 2).alias("mean_base"), F.round(F.avg(other), 2).alias("mean_other"), F.round(F.avg(ratio), 6).alias("mean_of_ratios"), F.round(F.try_divide((F.sum(base) - F.sum(other)).cast("double"), F.sum(base)), 6).alias("ratio_of_sums"), F.round(F.avg(after), 4).alias("pass_rate"), F.round(F.avg(after - before), 4).alias("pass_delta"), F.coalesce(F.stddev_samp(after - before) / F.sqrt(F.count("*")) * 1.96, F.lit(0.0)).alias("_half"))
     out = out.withColumn("delta_low", F.round(F.col("pass_delta") - F.col("_half"), 4)).withColumn("delta_high", F.round(F.col("pass_delta") + F.col("_half"), 4)).drop("_half")
-    for c in (base, other):
-        name = "p50_base" if c == base else "p50_other"
-        out = out.join(F.broadcast(arms.agg(F.percentile(c, 0.5).alias(name))))
+    both = arms.select(F.explode(F.array(*(F.struct(F.lit(name).alias("arm"), F.col(c).alias("value")) for name, c in (("base", base), ("other", other))))).alias("x")).select("x.*")
+    middle = values_at(both, "value", {"low": F.floor((F.col("n") - 1) / 2), "high": F.ceil((F.col("n") - 1) / 2)}, ["arm"])
+    medians = middle.groupBy().agg(*(F.max(F.when(F.col("arm") == arm, (F.col("low") + F.col("high")) / 2)).alias(f"p50_{arm}") for arm in ("base", "other")))
+    out = out.join(F.broadcast(medians))  # one row each
     reasons = F.array_join(F.array_compact(F.array(F.when(F.col("n") == 0, "no pairs"), F.when(F.col("ratio_of_sums") < min_cut, "cut too small"))), "; ")
     return out.withColumn("reasons", reasons).withColumn("passed", F.col("reasons") == "")
 
@@ -74,23 +74,22 @@ def cut_by_family(arms: DataFrame, base: str = "observe", other: str = "enforce"
 def cut_by_quartile(arms: DataFrame, base: str = "observe", other: str = "enforce", key: str = "task") -> DataFrame:
     """Quarters of the tasks by size: ranks in [i n / 4, (i + 1) n / 4) by integer division.
 
-    Rows are counted in RANGES equal ranges of the value; only the ranges that a quarter's end
-    falls into are ranked, by value and then key. No window holds more than one of them.
+    A quarter begins at a value and, among the rows of that value, at a key (a number): both are
+    selected at their exact ranks, so no rows are ranked.
     """
-    ends = arms.agg(F.min(base).alias("lo"), F.max(base).alias("hi"), F.count("*").alias("n"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(base) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (RANGES - 1))).otherwise(0)
-    rows = arms.join(F.broadcast(ends)).withColumn("_b", place)
-    counts = rows.groupBy("_b").agg(F.count("*").alias("c"), F.first("n").alias("_n"))
-    cut = lambda i: F.floor(F.col("_n") * i / 4)
-    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("c"))  # RANGES rows at most
-    inside = [(F.col("before") < cut(i)) & (cut(i) < F.col("before") + F.col("c")) for i in (1, 2, 3)]
-    placed = rows.join(F.broadcast(counts.withColumn("inside", inside[0] | inside[1] | inside[2])), "_b")
-    ranked = placed.where("not inside").withColumn("r", F.col("before"))
-    ranked = ranked.unionByName(placed.where("inside").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("_b").orderBy(base, key)) - 1))
+    rows = arms.select(F.col(key).alias("key"), F.col(base).alias("base"), F.col(other).alias("other")).where("base is not null").persist()
+    places = (1, 2, 3)
+    ends = values_at(rows, "base", {f"v{i}": F.floor(F.col("n") * i / 4) for i in places}).first()
     quarter = F.lit(0)
-    for i in (1, 2, 3):
-        quarter = quarter + (F.col("r") >= cut(i)).cast("int")
-    return ranked.groupBy(quarter.alias("quarter")).agg(F.count("*").alias("tasks"), F.min(base).alias("low"), F.max(base).alias("high"), F.round(F.try_divide((F.sum(base) - F.sum(other)).cast("double"), F.sum(base)), 6).alias("cut"))
+    if ends["n"]:
+        below = rows.agg(*(F.count_if(F.col("base") < ends[f"v{i}"]).alias(f"b{i}") for i in places)).first()
+        tied = F.explode(F.array_compact(F.array(*(F.when(F.col("base") == ends[f"v{i}"], i) for i in places))))
+        rest = {f"k{i}": F.lit(ends["n"] * i // 4 - below[f"b{i}"]) for i in places}
+        keys = {r["place"]: r for r in values_at(rows.select("key", tied.alias("place")), "key", rest, ["place"]).collect()}  # three rows
+        for i in places:
+            quarter = quarter + ((F.col("base") > ends[f"v{i}"]) | (F.col("base") == ends[f"v{i}"]) & (F.col("key") >= keys[i][f"k{i}"])).cast("int")
+    cut = F.round(F.try_divide((F.sum("base") - F.sum("other")).cast("double"), F.sum("base")), 6)
+    return rows.groupBy(quarter.alias("quarter")).agg(F.count("*").alias("tasks"), F.min("base").alias("low"), F.max("base").alias("high"), cut.alias("cut"))
 
 
 def composition(parts: DataFrame, total: float | None = None) -> DataFrame:

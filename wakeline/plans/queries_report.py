@@ -147,9 +147,19 @@ def p22(spark, d):
     return rows.select("request_id", "seq", cost.merge_usage("a", "b", ("output", "input")).alias("u")).select("request_id", "seq", "u.*")
 
 
-@query("a1_totals", f"WITH {PR} SELECT count(*) AS n, sum(in_tok)::BIGINT AS in_tok, sum(cw_tok)::BIGINT AS cw_tok, sum(cr_tok)::BIGINT AS cr_tok, sum(out_tok)::BIGINT AS out_tok, sum(latency_ms)::BIGINT AS latency_ms, sum(ttfb_ms)::BIGINT AS ttfb_ms, round(sum(cost_usd), 4) AS cost_usd, count(*) FILTER (status >= 400) AS errors FROM pr")
+# columns that VR lacks: reasoning and estimated tokens, characters of schemas and of the system text, whether a request was edited
+def full(spark, d):
+    k, more = F.col("k").cast("long"), {}
+    more |= {"reasoning_tok": k, "est_in_tok": F.floor(F.col("value") * 120).cast("long"), "tool_spec_chars": 100 + k * 7, "sys_chars": 50 + k, "enforced": F.col("event_type") == "click"}
+    return view(spark, d, "vr").withColumns(more)
+
+
+_FULL = f"{PR}, fu AS (SELECT *, k::BIGINT AS reasoning_tok, floor(value * 120)::BIGINT AS est_in_tok, 100 + k * 7 AS tool_spec_chars, 50 + k AS sys_chars, event_type = 'click' AS enforced FROM pr)"
+
+
+@query("a1_totals", f"WITH {_FULL} SELECT count(*) AS n, sum(in_tok)::BIGINT AS in_tok, sum(cw_tok)::BIGINT AS cw_tok, sum(cr_tok)::BIGINT AS cr_tok, sum(out_tok)::BIGINT AS out_tok, sum(latency_ms)::BIGINT AS latency_ms, sum(ttfb_ms)::BIGINT AS ttfb_ms, sum(reasoning_tok)::BIGINT AS reasoning_tok, sum(est_in_tok)::BIGINT AS est_in_tok, sum(tool_spec_chars)::BIGINT AS tool_spec_chars, sum(sys_chars)::BIGINT AS sys_chars, round(sum(cost_usd), 4) AS cost_usd, count(*) FILTER (status >= 400) AS errors FROM fu")
 def a1(spark, d):
-    return report.totals(view(spark, d, "vr"))
+    return report.totals(full(spark, d))
 
 
 @query("a2_by_model", f"WITH {PR}, m AS (SELECT model, count(*) AS n, sum(in_tok + cw_tok)::BIGINT AS fresh_in, sum(cr_tok)::BIGINT AS cached, sum(out_tok)::BIGINT AS out, round(sum(cost_usd), 4) AS cost, floor(sum(ttfb_ms) / count(*))::BIGINT AS mean_ttfb FROM pr GROUP BY 1) SELECT *, round(cached::DOUBLE / (fresh_in + cached), 4) AS hit_rate FROM m")
@@ -187,16 +197,24 @@ def a8(spark, d):
     return report.slot_approval(view(spark, d, "vl"))
 
 
-_DECISIONS = "dec AS (SELECT session AS request_id, CASE WHEN id % 2 = 0 THEN 'compact' ELSE 'tool_gate' END AS slot, CASE WHEN k % 5 = 0 THEN NULL ELSE 'v' || (id % 3) END AS version, out_tok AS saved, latency_ms AS decision_ms FROM vr)"
+_DECISIONS = "dec AS (SELECT session AS request_id, CASE WHEN id % 2 = 0 THEN 'compact' ELSE 'tool_gate' END AS slot, CASE WHEN k % 5 = 0 THEN NULL ELSE 'v' || (id % 3) END AS version, out_tok AS saved, latency_ms AS decision_ms, CASE id % 3 WHEN 0 THEN 'heuristic' WHEN 1 THEN 'model' END AS backend FROM vr)"
 
 
 def decisions(spark, d):
-    return view(spark, d, "vr").select(F.col("session").alias("request_id"), F.when(F.col("id") % 2 == 0, "compact").otherwise("tool_gate").alias("slot"), F.when(F.col("k") % 5 != 0, F.concat(F.lit("v"), (F.col("id") % 3).cast("string"))).alias("version"), F.col("out_tok").alias("saved"), F.col("latency_ms").alias("decision_ms"))
-
-
-@query("a9_version_rollup", f"WITH {_DECISIONS}, n AS (SELECT *, coalesce(version, 'unrecorded') AS v FROM dec), sl AS (SELECT v, string_agg(slot || '=' || c, ',' ORDER BY slot || '=' || c) AS slots FROM (SELECT v, slot, count(*) AS c FROM n GROUP BY ALL) GROUP BY 1), r AS (SELECT v, decision_ms, row_number() OVER (PARTITION BY v ORDER BY decision_ms) - 1 AS r, count(*) OVER (PARTITION BY v) AS n FROM n), p AS (SELECT v, max(decision_ms) FILTER (r = least(n - 1, floor(n * 0.5))) AS p50 FROM r GROUP BY 1) SELECT v AS version, count(*) AS decisions, count(DISTINCT request_id) AS requests, sum(saved)::BIGINT AS saved, any_value(slots) AS slots, any_value(p50) AS p50 FROM n JOIN sl USING (v) JOIN p USING (v) GROUP BY 1")
+    return view(spark, d, "vr").select(F.col("session").alias("request_id"), F.when(F.col("id") % 2 == 0, "compact").otherwise("tool_gate").alias("slot"), F.when(F.col("k") % 5 != 0, F.concat(F.lit("v"), (F.col("id") % 3).cast("string"))).alias("version"), F.col("out_tok").alias("saved"), F.col("latency_ms").alias("decision_ms"), F.when(F.col("id") % 3 == 0, "heuristic").when(F.col("id") % 3 == 1, "model").alias("backend"))
+
+
+@query("a9_version_rollup", f"""WITH {_DECISIONS}, n AS (SELECT *, coalesce(version, 'unrecorded') AS v FROM dec),
+ sl AS (SELECT v, string_agg(slot || '=' || c, ',' ORDER BY slot || '=' || c) AS slots FROM (SELECT v, slot, count(*) AS c FROM n GROUP BY ALL) GROUP BY 1),
+ bk AS (SELECT v, string_agg(b || '=' || c, ',' ORDER BY b || '=' || c) AS backends FROM (SELECT v, coalesce(backend, '?') AS b, count(*) AS c FROM n GROUP BY ALL) GROUP BY 1),
+ r AS (SELECT v, decision_ms, row_number() OVER (PARTITION BY v ORDER BY decision_ms) - 1 AS r, count(*) OVER (PARTITION BY v) AS n FROM n),
+ p AS (SELECT v, max(decision_ms) FILTER (r = least(n - 1, floor(n * 0.5))) AS p50 FROM r GROUP BY 1),
+ s AS (SELECT v, count(*) AS decisions, count(DISTINCT request_id) AS requests, sum(saved)::BIGINT AS saved FROM n GROUP BY 1),
+ h AS (SELECT v, count(*) FILTER (verdict = 'good') AS good, count(*) FILTER (verdict = 'bad') AS bad, count(*) FILTER (verdict = 'uncertain') AS uncertain FROM n JOIN vl USING (request_id, slot) GROUP BY 1)
+ SELECT v AS version, decisions, requests, saved, slots, backends, p50, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, coalesce(uncertain, 0) AS uncertain, round(good::DOUBLE / nullif(good + bad, 0), 4) AS approval
+ FROM s JOIN sl USING (v) JOIN bk USING (v) JOIN p USING (v) LEFT JOIN h USING (v)""")
 def a9(spark, d):
-    return report.version_rollup(decisions(spark, d))
+    return report.version_rollup(decisions(spark, d), view(spark, d, "vl"))
 
 
 @query("a10_cache_headroom", f"WITH m AS (SELECT model, sum(in_tok + cw_tok)::BIGINT AS fresh, sum(cr_tok)::BIGINT AS cached, CASE WHEN contains(model, 'claude') THEN 0.85::DOUBLE WHEN contains(model, 'gpt') OR contains(model, 'gemini') THEN 0.6::DOUBLE END AS target FROM vr GROUP BY 1), r AS (SELECT *, cached::DOUBLE / (fresh + cached) AS rate FROM m WHERE target IS NOT NULL), q AS (SELECT *, floor(fresh * (target - rate))::BIGINT AS reclaim_tok FROM r WHERE rate < target) SELECT model, fresh, cached, round(rate, 4) AS hit_rate, target, reclaim_tok, round(reclaim_tok * (price_in - price_cached) / 1e6, 4) AS usd FROM (SELECT *, {P} FROM q)")
@@ -204,15 +222,36 @@ def a10(spark, d):
     return report.cache_headroom(view(spark, d, "vr"))
 
 
-@query("a11_slot_headroom", f"WITH s AS (SELECT sum(CASE WHEN kind = 'tool_result' THEN {TOK('text')} ELSE 0 END)::BIGINT AS tool_result_tok, sum({TOK('text')})::BIGINT AS est_tok, count(DISTINCT request_id) AS r FROM vm) SELECT tool_result_tok, est_tok, floor(tool_result_tok::DOUBLE / r)::BIGINT AS per_request, round(tool_result_tok::DOUBLE / est_tok, 3) AS share FROM s")
+@query("a11_slot_headroom", f"""WITH {_FULL}, t AS (SELECT greatest(1, count(*)) AS n, greatest(1, sum(est_in_tok)) AS est, floor(sum(tool_spec_chars) / 3.6::DOUBLE)::BIGINT AS tools FROM fu),
+ c AS (SELECT floor(coalesce(sum(length(text)) FILTER (kind = 'tool_result'), 0) / 3.6::DOUBLE)::BIGINT AS results FROM vm),
+ s AS (SELECT 'tool_gate' AS slot, tools AS tok, n, est FROM t UNION ALL SELECT 'compact', results, n, est FROM t, c)
+ SELECT slot, tok AS est_tok_total, floor(tok::DOUBLE / n)::BIGINT AS est_tok_per_req, round(tok::DOUBLE / est, 3) AS share_of_input FROM s""")
 def a11(spark, d):
-    return report.slot_headroom(view(spark, d, "vm"))
+    return report.slot_headroom(report.totals(full(spark, d)), report.category_chars(view(spark, d, "vm")))
+
+
+# a request offers up to four tools, by its number, with schemas of as many characters as their names say
+def offered(spark, d):
+    r = F.col("request_id")
+    rows = view(spark, d, "vm").select("request_id").distinct().select("request_id", F.explode(F.sequence(F.lit(0), r % 4)).alias("pos")).where("pos > 0")
+    return rows.select("request_id", "pos", F.when(F.col("pos") != 2, F.concat(F.lit("tool_"), F.col("pos").cast("string"))).alias("name"), (F.col("pos") * 37 + r % 10).alias("chars"))
+
+
+_OFFERED = "tl AS (SELECT request_id, pos, CASE WHEN pos <> 2 THEN 'tool_' || pos END AS name, pos * 37 + request_id % 10 AS chars FROM (SELECT DISTINCT request_id FROM vm) r, range(1, 4) AS p(pos) WHERE pos <= request_id % 4)"
 
 
-@query("a12_request_features", "WITH k AS (SELECT request_id, kind, count(*) AS c, sum(coalesce(length(text), 0))::BIGINT AS chars FROM vm GROUP BY ALL), s AS (SELECT request_id, sum(c)::BIGINT AS msg_count, sum(CASE WHEN kind = 'user' THEN c ELSE 0 END)::BIGINT AS user_turns, sum(CASE WHEN chars = 0 THEN 0 ELSE greatest(1, floor(chars / 3.6 + 0.5)) END)::BIGINT AS est_in_tok, string_agg(kind || ':' || chars, ',' ORDER BY kind) AS cat_chars FROM k GROUP BY 1), t AS (SELECT request_id, right(string_agg(coalesce(text, ''), chr(10) ORDER BY idx), 300) AS tail FROM vm GROUP BY 1) SELECT * FROM s JOIN t USING (request_id)")
+@query("a12_request_features", f"""WITH {_OFFERED}, k AS (SELECT request_id, kind, count(*) AS c, sum(coalesce(length(text), 0))::BIGINT AS chars FROM vm GROUP BY ALL),
+ s AS (SELECT request_id, sum(c)::BIGINT AS msg_count, sum(CASE WHEN kind = 'user' THEN c ELSE 0 END)::BIGINT AS user_turns, sum(CASE WHEN chars = 0 THEN 0 ELSE greatest(1, floor(chars / 3.6 + 0.5)) END)::BIGINT AS est, string_agg(kind || ':' || chars, ',' ORDER BY kind) AS cat_chars, sum(CASE WHEN kind = 'system' THEN chars ELSE 0 END)::BIGINT AS sys_chars FROM k GROUP BY 1),
+ t AS (SELECT request_id, right(string_agg(coalesce(text, ''), chr(10) ORDER BY idx), 300) AS tail, array_to_string(list_transform(flatten(list(regexp_extract_all(coalesce(text, ''), '([A-Za-z0-9_./-]+\\.(?:{text.EXTENSIONS}))(?:[^A-Za-z0-9_]|$)', 1) ORDER BY idx)), lambda x: lower(x)), ',') AS paths FROM vm GROUP BY 1),
+ g AS (SELECT request_id, string_agg(kind || ':' || a, ';' ORDER BY kind) AS ages FROM (SELECT request_id, kind, string_agg(age, ',' ORDER BY idx) AS a FROM (SELECT request_id, kind, idx, round_even(row_number() OVER (PARTITION BY request_id ORDER BY idx)::DOUBLE / count(*) OVER (PARTITION BY request_id), 3)::VARCHAR AS age FROM vm) GROUP BY ALL) GROUP BY 1),
+ o AS (SELECT request_id, sum(chars)::BIGINT AS chars, string_agg(name, ',' ORDER BY pos) AS names, count(name) AS c FROM tl GROUP BY 1)
+ SELECT request_id, msg_count, user_turns, cat_chars, sys_chars, tail, coalesce(chars, 0) AS tool_spec_chars, coalesce(names, '') AS tool_names, coalesce(c, 0) AS tool_count, est + CASE WHEN coalesce(chars, 0) = 0 THEN 0 ELSE greatest(1, floor(chars / 3.6 + 0.5))::BIGINT END AS est_in_tok, ages, paths
+ FROM s JOIN t USING (request_id) JOIN g USING (request_id) LEFT JOIN o USING (request_id)""")
 def a12(spark, d):
-    f = report.request_features(view(spark, d, "vm"), 300)
-    return f.withColumn("cat_chars", F.array_join(F.transform(F.array_sort(F.map_entries("cat_chars")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
+    f = report.request_features(view(spark, d, "vm"), 300, offered(spark, d), ages=True)
+    pairs = lambda column, value, sep: F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat_ws(":", e["key"], value(e["value"]))), sep)
+    shown = {"cat_chars": pairs("cat_chars", lambda v: v.cast("string"), ","), "tool_names": F.array_join("tool_names", ","), "paths": F.array_join("paths", ",")}
+    return f.withColumns(shown).withColumn("ages", pairs("hist_age_rank", lambda v: F.array_join(v.cast("array<string>"), ","), ";")).drop("hist_age_rank")
 
 
 @query("a16_set_scores", "SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn, round(count(*) FILTER (quality = 1 AND toxic = 0)::DOUBLE / count(*) FILTER (toxic = 0), 4) AS precision, round(count(*) FILTER (quality = 1 AND toxic = 0)::DOUBLE / count(*) FILTER (quality = 1), 4) AS recall, round(2 * count(*) FILTER (quality = 1 AND toxic = 0)::DOUBLE / (count(*) FILTER (quality = 1) + count(*) FILTER (toxic = 0)), 4) AS f1 FROM vl")
@@ -256,9 +295,11 @@ def a27(spark, d):
     return report.latency_curve(view(spark, d, "vr"), 350)
 
 
-@query("a28_savings_snapshot", f"WITH {PR}, t AS (SELECT *, k AS saved FROM pr ORDER BY id DESC LIMIT 2000), s AS (SELECT count(*) AS n, sum(saved)::BIGINT AS saved_tok, sum(in_tok + cw_tok + cr_tok)::BIGINT AS in_tok, round(sum(cost_usd), 4) AS cost FROM t) SELECT *, round(saved_tok::DOUBLE / (saved_tok + in_tok), 4) AS saved_share FROM s")
+@query("a28_savings_snapshot", f"""WITH {_FULL}, t AS (SELECT count(*) AS n, sum(in_tok + cw_tok)::BIGINT AS in_tok, sum(cost_usd) AS cost, sum(est_in_tok)::BIGINT AS est FROM fu),
+ r AS (SELECT sum(k)::BIGINT AS saved, bool_or(enforced) AS e FROM (SELECT * FROM fu ORDER BY id DESC LIMIT 2000))
+ SELECT n, in_tok, round(cost, 4) AS cost_usd, saved AS saved_tok, round(100 * (saved::DOUBLE / est), 4) AS saved_pct, est AS denom_tok, round(greatest(0, cost - cost * (saved::DOUBLE / est)), 4) AS after_usd, CASE WHEN e THEN 'delivered' ELSE 'potential' END AS mode FROM t, r""")
 def a28(spark, d):
-    return report.savings_snapshot(view(spark, d, "vr"), F.col("k"))
+    return report.savings_snapshot(full(spark, d), F.col("k"), F.col("enforced"))
 
 
 _W = " + ".join(f"(u > {sum(0.36787944117144233 / math.factorial(j) for j in range(k + 1))!r}::DOUBLE)::INTEGER" for k in range(7))
@@ -279,7 +320,7 @@ def w1(spark, d):
 
 @query("w2_percentiles_by_model", "WITH s AS (SELECT model, latency_ms AS v, row_number() OVER (PARTITION BY model ORDER BY latency_ms) - 1 AS r, count(*) OVER (PARTITION BY model) AS n FROM vr) SELECT model, max(n) AS n, max(v) FILTER (r = least(n - 1, floor(n * 0.5))) AS p50, max(v) FILTER (r = least(n - 1, floor(n * 0.95))) AS p95, max(v) AS max, round(avg(v), 4) AS avg FROM s GROUP BY 1")
 def w2(spark, d):
-    return report.index_percentiles(view(spark, d, "vr"), "latency_ms", {"p50": report.at_share(0.5), "p95": report.at_share(0.95)}, ["model"])
+    return report.exact_percentiles(view(spark, d, "vr"), "latency_ms", {"p50": report.at_share(0.5), "p95": report.at_share(0.95)}, ["model"])
 
 
 @query("w11_age_ranks", "SELECT request_id, idx, round(row_number() OVER (PARTITION BY request_id ORDER BY idx)::DOUBLE / count(*) OVER (PARTITION BY request_id), 6) AS age_rank FROM vm")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_budget, queries_report
+from . import queries_budget, queries_harvest, queries_report, queries_verdicts
 from .views import oracle
 
-MODULES = [queries_report, queries_budget]
+MODULES = [queries_report, queries_budget, queries_harvest, queries_verdicts]
 
 
 def queries() -> dict:
