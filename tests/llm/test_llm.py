@@ -628,3 +628,52 @@ def test_pipeline_stages(spark, tmp_path):
         assert (r["n_tokens"], r["ids_crc32"]) == (len(e) + 1, zlib.crc32(np.array([*e, 1], "<u4")))
     whole = P.run(spark, SMALL).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, steps["token_shards"].collect()))
+
+
+# ---- columns of any name, ids that lead many --------------------------------------------------
+
+CLASHING = ["_key", "_id", "_row", "_first", "_doc", "_spans", "in_0", "component", "row_key", "part"]
+
+
+def clashing(spark, rows):
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    return df.select(*(F.lit(f"own {c}").alias(c) for c in CLASHING), "doc_id", "text")
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, BASE), (2, BASE), (3, "other words altogether here"), (4, None), (4, None)]
+    for more in ([], [(1, BASE)]):  # without and with a repeated row
+        got = count_vectors.one_of_each(clashing(spark, rows + more))
+        assert got.columns == [*CLASHING, "doc_id", "text"]
+        assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 4]
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASHING)
+
+
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+@pytest.mark.parametrize("bound", [1, 100])
+def test_decontamination_keeps_columns_of_any_name(spark, mode, bound):
+    b = spark.createDataFrame([(1, "one two"), (2, "two three")], "item_id long, text string")
+    got = decontaminate.remove_contamination(clashing(spark, [(1, "say One, two now"), (2, "clean"), (None, None)]), b, mode, 10, bound).collect()
+    want = {(2, "clean"), (None, None)} | ({(1, "say ,  now")} if mode == "spans" else set())
+    assert {(r.doc_id, r.text) for r in got} == want and all(r[c] == f"own {c}" for r in got for c in CLASHING)
+
+
+def test_an_id_that_leads_many_is_dealt_out(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, 120):
+        own = list(words)
+        own[r.randrange(400)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join(f"y{k}{j}" for j in range(30))) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, 0 if i < 1000 else i) for i, _ in rows}
+    for led in (7, 1024):
+        monkeypatch.setattr(count_vectors, "LED", led)
+        assert {(x.doc_id, x.component_id) for x in count_vectors.jaccard_components(df).collect()} == want
+    pairs = spark.range(1000).select(F.lit(5).alias("a"), F.col("id").alias("b"))
+    own = spark.createDataFrame([(5, b"set"), (6, b"none")], "a int, x binary")
+    monkeypatch.setattr(count_vectors, "LED", 50)
+    got = count_vectors.beside(pairs, own)
+    assert got.count() == 1000 and got.select("b").distinct().count() == 1000

@@ -39,12 +39,13 @@ from pyspark.sql import functions as F
 from . import buffers as B
 from .components import components
 from .sketches import in_sketch, sketch
-from .tables import read, settled
+from .tables import read, set_apart, settled
 from .workers import release
 
 SHINGLE, GROUPS, LEAF, BLOCK = 5, 256, 32, 8_000
 STAR = 4_000  # classes of a key that one task brings together to find its leader
 PAIRS = 16_000  # of points compared at once: 4 MB for each of their copies
+LED = 1024  # pairs of one id that meet in one task
 BROADCAST_ROWS = 250_000  # of a few numbers: about 30 MB
 MAX_STEPS = 12
 CLASSES_A_TASK = 20_000  # of the small tables of pairs and links
@@ -360,6 +361,17 @@ def possible(rows: DataFrame, key: Column, wanted: np.ndarray) -> DataFrame:
     return rows.withColumn("_hash", key).mapInArrow(keep, rows.schema)
 
 
+def beside(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """pairs (a, b) with own's columns of a. The pairs of an id that leads many are dealt to several tasks, each with its own copy."""
+    lead = settled(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts")).where("parts > 1"))
+    if lead.isEmpty():
+        return pairs.join(own, "a")
+    few = small(lead)
+    dealt = pairs.join(few, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    copies = own.join(few, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, ["a", "part"]).drop("part")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets truly link."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().coalesce(tasks)
@@ -394,7 +406,7 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, tasks:
                 keep.append(9 * int((x[place] == y).sum()) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = beside(pairs, own.select(F.col("id").alias("a"), F.col("shingles").alias("x"))).join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct().coalesce(tasks)
 
 
@@ -410,7 +422,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     own = classes.select("id", "n", "point")
-    both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
+    both = beside(pairs, own.toDF("a", "n", "x")).join(own.toDF("b", "m", "y"), "b")
     return both.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -447,6 +459,7 @@ def class_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     classes = settled(classes.select("n", "lo", "hi", "m.doc_id", "m.row_key", "keys", "point").withColumn("id", F.monotonically_increasing_id()))
     shared = settled(keyed(classes, min(block, STAR)))
     stars = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    stars = settled(stars)
     tasks = 1 + classes.count() // CLASSES_A_TASK
     links = settled(verified(settled(_bounded(stars, classes).coalesce(tasks)), classes, documents, tasks))
     found = components(links)
@@ -496,16 +509,19 @@ def one_of_each(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row of each component, of its smallest doc_id, and all rows with an empty set.
 
     Rows are told apart by doc_id and row_key, so neither a shared nor a missing doc_id costs one.
+    The caller's columns stay as they are, whatever their names.
     """
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
     first = settled(class_components(documents, block).groupBy("component").agg(least).select(F.col("m.doc_id").alias("_id"), F.col("m.row_key").alias("_row"), F.lit(True).alias("_first")))
-    blank = ~F.regexp_like(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]"))
-    rows = documents.withColumn("_key", row_key()).join(small(first), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    numbered, own, names = set_apart(documents)
+    text, doc_id = own["text"].cast("string"), own["doc_id"].cast("long")
+    blank = ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]"))
+    rows = numbered.withColumn("_key", F.xxhash64(text)).join(small(first), doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
     full = rows.where(F.col("_first") & ~blank)
     if full.count() > first.count():  # repeated rows of one doc_id and text
-        full = full.dropDuplicates(["doc_id", "_key"])
-        return full.unionByName(rows.where(blank)).select(*documents.columns)
-    return rows.where(F.col("_first") | blank).select(*documents.columns)
+        full = full.withColumn("_doc", doc_id).dropDuplicates(["_doc", "_key"]).drop("_doc")
+        return full.unionByName(rows.where(blank)).select(*names)
+    return rows.where(F.col("_first") | blank).select(*names)
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

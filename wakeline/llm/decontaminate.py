@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buffers as B
-from .tables import read, settled
+from .tables import read, set_apart, settled
 from .workers import release
 
 WINDOW = 10
@@ -157,7 +157,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, n: int = WIND
     spark = documents.sparkSession
     windows = settled(benchmark_windows(benchmark, n))
     n_sets = max(1, -(-windows.count() // max_windows))
-    docs = documents.select(F.col("doc_id").cast("long"), (F.xxhash64("text") if n_sets > 1 else F.lit(None)).cast("long").alias("row_key"), F.col("text").cast("string"))
+    docs = documents.select(F.col("doc_id").cast("long"), (F.xxhash64(F.col("text").cast("string")) if n_sets > 1 else F.lit(None)).cast("long").alias("row_key"), F.col("text").cast("string"))
     if n_sets == 1:
         return _scan(docs, spark.sparkContext.broadcast(WindowSet(windows.toArrow())))
     scans = []
@@ -191,10 +191,11 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str =
     if windows.count() > max_windows:
         found = find_contamination(documents, benchmark, n, max_windows).where(F.size("items") > 0).dropDuplicates(["doc_id", "row_key"])
         hit = found.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"), F.col("spans").alias("_spans"))
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_row"))
+        numbered, own, names = set_apart(documents)
+        same = own["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(own["text"].cast("string")) == F.col("_row"))
         if mode == "documents":
-            return documents.join(hit, same, "left_anti")
-        rows = documents.join(hit, same, "left").select(*columns, "_spans")
+            return numbered.join(hit, same, "left_anti").select(*names)
+        rows = numbered.join(hit, same, "left").select(*own.values(), "_spans")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -205,7 +206,8 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str =
                     for first, spans in zip(words.first, own.column(len(columns)).to_pylist(), strict=False):
                         np.add.at(depth, first + np.array(spans[::2] if spans else [], np.int64), 1)
                         np.add.at(depth, first + np.array(spans[1::2] if spans else [], np.int64), -1)
-                    yield _without(own.select(columns), at, data, offsets, words, np.cumsum(depth)[:-1] > 0)
+                    texts = own.select(range(len(columns))).rename_columns(columns)
+                    yield _without(texts, at, data, offsets, words, np.cumsum(depth)[:-1] > 0)
 
         return rows.mapInArrow(cut, documents.schema)
     known = spark.sparkContext.broadcast(WindowSet(windows.toArrow()))

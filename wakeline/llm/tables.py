@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
@@ -50,3 +51,9 @@ def settled(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, Column], list[Column]]:
+    """df with its columns numbered, so that names of an operator's own clash with none; the column of each old name; what restores the names."""
+    numbered = df.toDF(*(f"in_{i}" for i in range(len(df.columns))))
+    return numbered, {c: F.col(f"in_{i}") for i, c in enumerate(df.columns)}, [F.col(f"in_{i}").alias(c) for i, c in enumerate(df.columns)]
