@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.functions import cost, text
-from wakeline.operators import budget, dataset, evaluate, index, labels, report
+from wakeline.operators import budget, dataset, evaluate, index, labels, paths, report
 from wakeline.sources import bodies, logs
 from wakeline.streaming import jobs
 
@@ -146,7 +146,7 @@ def test_growth_and_nearest_eviction(spark):
 
 def test_spellings_fold(spark):
     rows = [(1, "x.py", 1, 5, 1), (1, "app/x.py", 2, 6, 2), (1, "other/y.py", 1, 7, 3)]
-    got = labels.fold_spellings(spark.createDataFrame(rows, "request_id long, path string, fetches long, tokens long, first_pos long"))
+    got = paths.fold_spellings(spark.createDataFrame(rows, "request_id long, path string, fetches long, tokens long, first_pos long"))
     assert {(r["path"], r["fetches"], r["tokens"]) for r in got.collect()} == {("app/x.py", 3, 6), ("other/y.py", 1, 7)}
 
 
@@ -319,10 +319,13 @@ def test_late_rows_go_to_a_side_table(spark, tmp_path, few_partitions):
     rows = [(s, i, float(t)) for i, (s, t) in enumerate([(1, 100), (1, 50), (2, 10), (1, 200), (1, 139), (2, 5), (1, 141), (2, 300), (2, 1)])]
     df = spark.createDataFrame(rows, "session long, id long, ts_epoch double")
     stream = jobs.stream_on_time(in_batches(spark, df, "id", str(tmp_path / "r")), 60.0)
-    jobs.write_by_lateness(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(240)
-    late = {r["id"] for r in spark.read.parquet(str(tmp_path / "out" / "late")).collect()}
+    counts = []
+    jobs.write_by_lateness(stream, str(tmp_path / "out"), str(tmp_path / "check"), lambda n, c: counts.append(c)).awaitTermination(240)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    late = {r["id"] for r in out.where("late").collect()}
     assert late == {r["id"] for r in jobs.on_time(df, 60.0).where("late").collect()} == {4, 8}
-    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out" / "on_time")).collect()} == set(range(9)) - late
+    assert {r["id"] for r in out.where("not late").collect()} == set(range(9)) - late
+    assert sum(c["late"] for c in counts) == 2 and sum(c["on_time"] for c in counts) == 7
 
 
 def test_results_hold_under_any_partitioning(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a request.
@@ -75,7 +75,29 @@ def same_path(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | F.endswith(a, F.concat(F.lit("/"), b)) | F.endswith(b, F.concat(F.lit("/"), a)))
 
 
-def first_text(*candidates: Column) -> Column:
-    """The first readable text, its white space collapsed."""
-    clean = [F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")) for c in candidates]
-    return F.coalesce(*clean)
+READABLE = ["text", "content", "description", "arguments", "input"]
+DEPTH = 4
+
+
+def first_texts(values: DataFrame, key: str = "id", depth: int = DEPTH) -> DataFrame:
+    """(key, text) of values (key, value: JSON text): the first readable text inside, white space collapsed, '' if there is none.
+
+    Objects are read under READABLE, in that order, lists in theirs, down to a depth; each level is
+    one explode of the variants that are no text yet, and the first is the least place.
+    """
+    node = F.coalesce(F.try_parse_json("value"), F.to_variant_object(F.array("value")))  # what is no JSON is a text
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, READABLE)), F.col("k")) - 1, F.lit(-1))
+    level = values.select(F.col(key), node.alias("v"), F.array().cast("array<int>").alias("place"))
+    found = None
+    for d in range(depth + 1):
+        kind = F.schema_of_variant("v")
+        text = F.trim(F.regexp_replace(F.variant_get("v", "$", "string"), r"\s+", " "))
+        own = level.where(kind == "STRING").select(key, "place", text.alias("text")).where("text != ''")
+        found = own if found is None else found.unionByName(own)
+        if d < depth:
+            inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+            inner = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("p", "k", "inner"))
+            inner = inner.withColumn("rank", F.when(F.col("k").isNull(), F.col("p")).otherwise(rank)).where("rank >= 0")
+            level = inner.select(key, F.col("inner").alias("v"), F.array_append("place", F.col("rank").cast("int")).alias("place"))
+    first = found.groupBy(key).agg(F.min_by("text", "place").alias("text"))
+    return values.select(key).join(first, key, "left").withColumn("text", F.coalesce("text", F.lit("")))

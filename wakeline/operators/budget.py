@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .paths import meet
 
 TAIL, TARGET_FRACTION, MIN_BUDGET = 4, 0.45, 1500
 EVIDENCE_BEST, EVIDENCE_SHARE, CORE_FLOOR = 3, 0.6, 6
@@ -87,16 +88,14 @@ def candidate_pool(messages: DataFrame, named: DataFrame, tools: DataFrame, rank
     (request_id, path) that the task names. A message gains half of its best evidence: the rank
     of a file it names, or EVIDENCE_NAMED for a path of the task. Core tools are protected, and
     files that the task names, unless the tail names them already, which makes a file worth a
-    quarter. Paths meet under request and base name, whose groups are the requests' own.
+    quarter. Paths meet under request and their endings.
     """
-    based = lambda df: df.withColumn("_b", T.base_name(F.col("path")))
-    files = based(ranked.select("request_id", "path", F.least(F.lit(1.0), F.col("score") / 6.0).alias("value")))
-    task = based(task_paths.select("request_id", "path").distinct())
-    seen = based(named.select("request_id", "idx", "path").distinct())
+    files = ranked.select("request_id", "path", F.least(F.lit(1.0), F.col("score") / 6.0).alias("value"))
+    task = task_paths.select("request_id", "path").distinct()
+    seen = named.select("request_id", "idx", "path").distinct()
 
     def met(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
-        other = right.select("request_id", "_b", F.col("path").alias("_p"), *more)
-        return left.join(other, ["request_id", "_b"]).where(T.same_path(F.col("path"), F.col("_p")))
+        return meet(left, right.select("request_id", F.col("path").alias("_p"), *more), ["request_id"], "path", "_p")
 
     by_rank = met(seen, files, "value").select("request_id", "idx", "value")
     by_task = met(seen, task).select("request_id", "idx", F.lit(EVIDENCE_NAMED).alias("value"))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, lexical_tokens
+from .paths import meet
 
 SYMBOL, PATH, HINT, MENTION, IMPORTS, IMPORTED = 3.0, 2.0, 0.6, 8.0, 2.0, 1.2
 MAX_HINTS = 400
+FEW_TERMS = 200_000  # distinct query terms that are broadcast, some ten bytes each
 ENDINGS = ["", ".py", "/__init__.py", ".js", ".ts", ".tsx", "/index.js", "/index.ts"]
 
 
@@ -60,9 +62,12 @@ def contained_in(needles: DataFrame, paths: DataFrame, needle: str) -> DataFrame
 def term_scores(queries: DataFrame, symbols: DataFrame, hints: DataFrame, paths: DataFrame) -> DataFrame:
     """(item_id, path, score): each query term earns the best tier of symbol, path and hint that it has in a file."""
     terms = queries.select("item_id", F.explode("terms").alias("term"))
-    hits = terms.join(symbols, "term").withColumn("w", F.lit(SYMBOL))
+    known = terms.select("term").distinct()
+    # what no query asks for is left where the files are read, while the asked terms are few
+    asked = (lambda rows: rows.join(F.broadcast(known), "term", "left_semi")) if known.count() <= FEW_TERMS else (lambda rows: rows)
+    hits = terms.join(asked(symbols), "term").withColumn("w", F.lit(SYMBOL))
     hits = hits.unionByName(contained_in(terms, paths, "term").withColumn("w", F.lit(PATH)))
-    hits = hits.unionByName(terms.join(hints, "term").withColumn("w", F.lit(HINT)))
+    hits = hits.unionByName(terms.join(asked(hints), "term").withColumn("w", F.lit(HINT)))
     best = hits.groupBy("item_id", "path", "term").agg(F.max("w").alias("w"))
     return best.groupBy("item_id", "path").agg(F.sum("w").alias("score"))
 
@@ -81,9 +86,8 @@ def graph_scores(mentioned: DataFrame, edges: DataFrame) -> DataFrame:
 def search(queries: DataFrame, paths: DataFrame, symbols: DataFrame, hints: DataFrame, edges: DataFrame, k: int = 12) -> DataFrame:
     """The k best files of each query (item_id, text, mention), by score and then path."""
     terms = queries.select("item_id", lexical_tokens(F.col("text"), 80).alias("terms"))
-    mentions = queries.select("item_id", "mention")
-    mentioned = contained_in(mentions, paths, "mention").select("item_id", "path").distinct()
-    parts = term_scores(terms, symbols, hints, paths).unionByName(mention_scores(mentions, paths)).unionByName(graph_scores(mentioned, edges))
+    mentioned = mention_scores(queries.select("item_id", "mention"), paths).persist()  # both as scores and as where the graph starts
+    parts = term_scores(terms, symbols, hints, paths).unionByName(mentioned).unionByName(graph_scores(mentioned.select("item_id", "path"), edges))
     total = parts.groupBy("item_id", "path").agg(F.round(F.sum("score"), 2).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "path"))
     return total.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -103,11 +107,9 @@ def resolve_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
 def couple_evidence(messages: DataFrame, ranked: DataFrame) -> DataFrame:
     """(request_id, idx, evidence): the best score, relative to the request's best, of a ranked file that the message names.
 
-    messages: request_id, idx, named (a path); ranked: request_id, path, score. Paths meet under
-    their base names and may be spelled shorter on either side.
+    messages: request_id, idx, named (a path); ranked: request_id, path, score. Either may be the
+    shorter spelling.
     """
-    from ..functions.text import same_path
-
-    top = ranked.withColumn("rel", F.col("score") / F.max("score").over(Window.partitionBy("request_id"))).withColumn("_b", base_name(F.col("path")))
-    own = messages.withColumn("_b", base_name(F.col("named")))
-    return own.join(top, ["request_id", "_b"]).where(same_path(F.col("named"), F.col("path"))).groupBy("request_id", "idx").agg(F.round(F.max("rel"), 6).alias("evidence"))
+    best = ranked.groupBy("request_id").agg(F.max("score").alias("_best"))
+    top = ranked.join(best, "request_id").select("request_id", "path", (F.col("score") / F.col("_best")).alias("rel"))
+    return meet(messages, top, ["request_id"], "named", "path").groupBy("request_id", "idx").agg(F.round(F.max("rel"), 6).alias("evidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, same_path
+from .paths import meet
 
 WINDOW_TURNS, WINDOW_S = 20, 1800.0
 SLOTS = ["tool_gate", "compact", "context", "effort"]
@@ -52,21 +52,7 @@ def fetch_counts(attributed: DataFrame, search_tools: list[str] = SEARCH_TOOLS)
     tool = F.lower(F.coalesce("tool", F.lit("")))
     searched = F.exists(F.array(*map(F.lit, search_tools)), lambda s: F.contains(tool, s))
     rows = attributed.where(~searched).withColumn("path", F.lower(F.coalesce("path", "call_path"))).where("path is not null")
-    return rows.groupBy("request_id", "path").agg(F.count("*").alias("fetches"), F.max_by("tokens", "pos").alias("tokens"), F.min("pos").alias("first_pos"))
-
-
-def fold_spellings(counts: DataFrame) -> DataFrame:
-    """Paths of one request that are spellings of one file become the longest of them, in order of first appearance."""
-    rows = counts.withColumn("_b", base_name(F.col("path"))).groupBy("request_id", "_b").agg(F.array_sort(F.collect_list(F.struct("first_pos", "path", "fetches", "tokens"))).alias("m"))
-    start = F.array().cast("array<struct<path:string,fetches:bigint,tokens:bigint>>")
-
-    def step(acc: Column, m: Column) -> Column:
-        hit = F.exists(acc, lambda a: same_path(a["path"], m["path"]))
-        joined = F.transform(acc, lambda a: F.when(same_path(a["path"], m["path"]), F.struct(F.when(F.length(m["path"]) > F.length(a["path"]), m["path"]).otherwise(a["path"]).alias("path"), (a["fetches"] + m["fetches"]).alias("fetches"), m["tokens"].cast("long").alias("tokens"))).otherwise(a))
-        one = F.array(F.struct(m["path"].alias("path"), m["fetches"].cast("long").alias("fetches"), m["tokens"].cast("long").alias("tokens")))
-        return F.when(hit, joined).otherwise(F.concat(acc, one))
-
-    return rows.select("request_id", F.inline(F.aggregate("m", start, step)))
+    return rows.groupBy("request_id", "path").agg(F.count("*").alias("fetches"), F.max_by("tokens", "pos").alias("tokens"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 def reruns(requests: DataFrame, window_s: float = WINDOW_S, session: str | None = None) -> DataFrame:
@@ -120,13 +106,13 @@ def windowed_fetches(events: DataFrame, reach: int = 50) -> DataFrame:
 def blamed(grown: DataFrame, evicted: DataFrame, turns: int = WINDOW_TURNS, seconds: float = WINDOW_S) -> DataFrame:
     """Each growth event with the nearest earlier eviction of the same file within the turns and seconds.
 
-    They meet under session, base name and stretch of turns: an eviction reaches into its own
-    stretch and the next. Spellings may differ in length.
+    They meet under session, stretch of turns and the endings of their paths: an eviction reaches
+    into its own stretch and the next. Spellings may differ in length.
     """
     stretch = F.floor(F.col("turn") / turns)
-    e = evicted.select("session", F.col("turn").alias("e_turn"), F.col("ts_epoch").alias("e_ts"), F.col("path").alias("e_path"), F.col("tokens").alias("evicted_tok"), base_name(F.col("path")).alias("_b"), F.explode(F.array(stretch, stretch + 1)).alias("_t"))
-    j = grown.withColumn("_b", base_name(F.col("path"))).withColumn("_t", stretch).join(e, ["session", "_b", "_t"])
-    j = j.where((F.col("e_turn") < F.col("turn")) & (F.col("turn") - F.col("e_turn") <= turns) & (F.col("ts_epoch") - F.col("e_ts") <= seconds) & same_path(F.col("path"), F.col("e_path")))
+    e = evicted.select("session", F.col("turn").alias("e_turn"), F.col("ts_epoch").alias("e_ts"), F.col("path").alias("e_path"), F.col("tokens").alias("evicted_tok"), F.explode(F.array(stretch, stretch + 1)).alias("_t"))
+    j = meet(grown.withColumn("_t", stretch), e, ["session", "_t"], "path", "e_path")
+    j = j.where((F.col("e_turn") < F.col("turn")) & (F.col("turn") - F.col("e_turn") <= turns) & (F.col("ts_epoch") - F.col("e_ts") <= seconds))
     return j.groupBy("session", "turn", "path").agg(F.max("e_turn").alias("e_turn"), F.max_by("evicted_tok", "e_turn").alias("evicted_tok"), F.first("tokens").alias("regret_tok"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_budget, queries_harvest, queries_report, queries_verdicts
+from . import queries_budget, queries_harvest, queries_report, queries_shapes, queries_verdicts
 from .views import oracle
 
-MODULES = [queries_report, queries_budget, queries_harvest, queries_verdicts]
+MODULES = [queries_report, queries_budget, queries_harvest, queries_verdicts, queries_shapes]
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cost import cost_usd, with_price
@@ -38,8 +38,28 @@ def to_request_rows(raw: DataFrame) -> DataFrame:
     return priced.withColumn("cost_usd", F.coalesce(given, cost_usd())).drop("price_in", "price_cached", "price_out")
 
 
-def append_requests(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("day").mode("append").parquet(path)
+def append_requests(rows: DataFrame, path: str, batch: int = 0) -> dict:
+    """Writes one batch of rows under path/day=.../batch=..., and returns how many it wrote, and their first and last day.
+
+    Only the partitions of this batch are replaced, so a batch that is written again, after a lost
+    driver or a replay, changes nothing, and others can be written at the same time. The counts
+    come out of the write itself.
+    """
+    seen = Observation()
+    own = rows.withColumn("batch", F.lit(batch)).observe(seen, F.count("*").alias("rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    own.write.partitionBy("day", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return seen.get
+
+
+def stream_requests(rows: DataFrame, path: str, checkpoint: str, counted=None):
+    """Starts a query that appends a stream of rows batch by batch; counted gets each batch's number and counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        counts = append_requests(batch, path, number)
+        if counted is not None:
+            counted(number, counts)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def with_schema(rows: DataFrame, schema: str = REQUEST_SCHEMA) -> DataFrame:
@@ -72,7 +92,7 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_repo(spark: SparkSession, root: str, most: int = MAX_FILES) -> DataFrame:
-    """(path, length, src) of source files by extension, outside of skipped folders, in order of path."""
+    """(path, length, src) of source files by extension, outside of skipped folders, the first ones by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return source_files(files.select("path", "length", F.col("content").cast("string").alias("src")), most)
 
@@ -81,7 +101,10 @@ def source_files(files: DataFrame, most: int = MAX_FILES, skip: list[str] = SKIP
     ext = F.lower(F.substring_index("path", ".", -1))
     skipped = F.exists(F.split("path", "/"), lambda d: d.isin(skip))
     kept = files.where(ext.isin(SOURCE_EXTENSIONS) & ~skipped & (F.col("length") <= MAX_FILE_BYTES))
-    return kept.orderBy("path").limit(most)
+    if most is None:
+        return kept
+    first = kept.select("path").orderBy("path").limit(most)  # texts don't go through the one task that ends a limit
+    return kept.join(first, "path", "left_semi")
 
 
 def load_evidence(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +149,3 @@ def write_split(split: DataFrame, path: str) -> None:
 def read_labels(store: DataFrame) -> DataFrame:
     """(request_id, slot, verdict) of a store row (request_id, verdicts map<slot, verdict>)."""
     return store.select("request_id", F.explode("verdicts").alias("slot", "verdict"))
-
-
-def shape_path(path: Column) -> Column:
-    return F.lower(F.regexp_replace(path, r"\\", "/"))

@@ -13,7 +13,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -259,14 +259,18 @@ def stream_on_time(requests: DataFrame, late_s: float) -> DataFrame:
     return rows.groupBy("session").transformWithStateInPandas(_Lateness(late_s), outputStructType="session long, id long, ts_epoch double, late boolean", outputMode="Append", timeMode="None")
 
 
-def write_by_lateness(flagged: DataFrame, path: str, checkpoint: str):
-    """Starts a query that writes rows to path/on_time, late ones to the side table path/late, each batch in a folder of its own that a retry replaces."""
+def write_by_lateness(flagged: DataFrame, path: str, checkpoint: str, counted=None):
+    """Starts a query that writes rows to path/batch=.../late=false, late ones to the side table late=true beside it, each batch in a folder of its own that a retry replaces.
+
+    counted gets each batch's number and how many of its rows were on time and late, counted while they are written.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
-        for name, late in (("on_time", False), ("late", True)):
-            rows.where(F.col("late") == late).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        rows.unpersist()
+        seen = Observation()
+        rows = batch.observe(seen, F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"))
+        rows.write.partitionBy("late").mode("overwrite").parquet(f"{path}/batch={number}")
+        if counted is not None:
+            counted(number, seen.get)
 
     return flagged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
