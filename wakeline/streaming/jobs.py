@@ -260,7 +260,7 @@ def stream_on_time(requests: DataFrame, late_s: float) -> DataFrame:
 
 
 def write_by_lateness(flagged: DataFrame, path: str, checkpoint: str, counted=None):
-    """Starts a query that writes rows to path/batch=.../late=false, late ones to the side table late=true beside it, each batch in a folder of its own that a retry replaces.
+    """Starts a query that writes rows to path/place=on_time, late ones to the side table path/place=late, each batch in a folder of its own that a retry replaces.
 
     counted gets each batch's number and how many of its rows were on time and late, counted while they are written.
     """
@@ -268,7 +268,8 @@ def write_by_lateness(flagged: DataFrame, path: str, checkpoint: str, counted=No
     def write(batch: DataFrame, number: int) -> None:
         seen = Observation()
         rows = batch.observe(seen, F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"))
-        rows.write.partitionBy("late").mode("overwrite").parquet(f"{path}/batch={number}")
+        placed = rows.withColumns({"place": F.when(F.col("late"), "late").otherwise("on_time"), "batch": F.lit(number)}).drop("late")
+        placed.write.partitionBy("place", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
         if counted is not None:
             counted(number, seen.get)
 
