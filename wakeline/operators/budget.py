@@ -211,12 +211,12 @@ def drop_texts(pointers: DataFrame, messages: DataFrame) -> DataFrame:
     return pointers.join(own, ["request_id", "idx"], "left").withColumn("recorded", F.when(F.col("_k") == F.col("kind"), F.col("_t"))).drop("_k", "_t")
 
 
-def effort(features: DataFrame) -> DataFrame:
+def effort(features: DataFrame, heavy: str = T.HEAVY, trivial: str = T.TRIVIAL) -> DataFrame:
     """Reasoning tier of each request; features: last_user_text, n_paths, est_in_tok, tool_chars, user_turns."""
     text = F.coalesce("last_user_text", F.lit(""))
-    heavy = F.size(F.regexp_extract_all(text, F.lit(T.HEAVY), F.lit(0)))
+    heavy = F.size(F.regexp_extract_all(text, F.lit(heavy), F.lit(0)))
     many = F.col("n_paths") >= 3
-    trivial = F.regexp_like(text, F.lit(T.TRIVIAL)) & ~many
+    trivial = F.regexp_like(text, F.lit(trivial)) & ~many
     rules = [("complexity-terms", F.col("heavy") >= 2, 2), ("multi-file", many, 1), ("long-input", F.col("est_in_tok") > 24000, 1), ("tool-heavy", F.col("tool_chars") > 40000, 1), ("trivial-request", trivial, -3), ("first-turn-simple", (F.coalesce("user_turns", F.lit(0)) <= 1) & (F.col("heavy") == 0), -1)]
     score = F.lit(0)
     for _, cond, points in rules:
@@ -245,11 +245,15 @@ def tool_scores(tools: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def core_floor(scored: DataFrame, floor: int = CORE_FLOOR) -> DataFrame:
-    """If a request keeps fewer tools than the floor, its best ones by score are kept too."""
-    w = Window.partitionBy("request_id")
-    rows = scored.withColumn("_kept", F.sum(F.col("keep").cast("int")).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "pos")))
-    forced = (F.col("_kept") < floor) & (F.col("_r") <= floor)
-    return rows.withColumn("why", F.when(forced, F.concat("why", F.array(F.lit("floor")))).otherwise(F.col("why"))).withColumn("keep", F.col("keep") | forced).drop("_kept", "_r")
+    """If a request keeps fewer tools than the floor, its best ones by score are kept too; pos is unique within a request."""
+    kept = scored.groupBy("request_id").agg(F.count_if("keep").alias("_kept")).where(F.col("_kept") < floor).select("request_id")
+    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "pos")
+    # Spark keeps the best few of each task before it brings a request's together
+    best = scored.join(kept, "request_id", "left_semi").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= floor)
+    best = best.select(F.col("request_id").alias("_q"), F.col("pos").alias("_p"))
+    rows = scored.join(best, (F.col("request_id") == F.col("_q")) & (F.col("pos") == F.col("_p")), "left")
+    forced = F.col("_p").isNotNull()
+    return rows.withColumn("why", F.when(forced, F.concat("why", F.array(F.lit("floor")))).otherwise(F.col("why"))).withColumn("keep", F.col("keep") | forced).drop("_q", "_p")
 
 
 def option_probability(state: Column, option: Column) -> Column:

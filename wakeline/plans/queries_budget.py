@@ -129,17 +129,20 @@ def w6(spark, d):
     return view(spark, d, "vm").groupBy("request_id").agg(F.md5(F.coalesce(F.max_by("text", F.when(F.col("kind") == "user", F.col("idx"))), F.max_by("text", "idx"))).alias("last_user"))
 
 
-@query("p14_effort", f"""WITH s AS (SELECT request_id, sum(CASE WHEN kind = 'user' THEN 1 ELSE 0 END) AS u, sum({TOK('text')})::BIGINT * 60 AS est, request_id % 5 AS n_paths, request_id % 3 * 30000 AS tool FROM vm GROUP BY 1),
- q AS (SELECT *, CASE request_id % 4 WHEN 0 THEN 'Refactor the cache and debug the race' WHEN 1 THEN 'fix typo' WHEN 2 THEN 'migrate the schema' ELSE 'hello' END AS t FROM s),
- h AS (SELECT *, CASE request_id % 4 WHEN 0 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS heavy, request_id % 4 = 1 AND n_paths < 3 AS trivial FROM q),
+HEAVY_WORD, SLIGHT = r"(?i) (?:the|that|der|und|les|que)[ .,]", r"(?i)^(?:in|that|der|le) "
+
+
+@query("p14_effort", f"""WITH s AS (SELECT request_id, sum(CASE WHEN kind = 'user' THEN 1 ELSE 0 END) AS u, sum({TOK('text')})::BIGINT * 60 AS est, count(*) FILTER (length(text) > 150) AS n_paths, sum(CASE WHEN kind <> 'user' THEN length(text) ELSE 0 END) * 40 AS tool, coalesce(arg_max(text, idx) FILTER (kind = 'user'), '') AS t FROM vm GROUP BY 1),
+ h AS (SELECT *, len(regexp_extract_all(t, '{HEAVY_WORD}')) AS heavy, regexp_matches(t, '{SLIGHT}') AND n_paths < 3 AS trivial FROM s),
  e AS (SELECT *, CASE WHEN heavy >= 2 THEN 2 ELSE 0 END + CASE WHEN n_paths >= 3 THEN 1 ELSE 0 END + CASE WHEN est > 24000 THEN 1 ELSE 0 END + CASE WHEN tool > 40000 THEN 1 ELSE 0 END - CASE WHEN trivial THEN 3 ELSE 0 END - CASE WHEN u <= 1 AND heavy = 0 THEN 1 ELSE 0 END AS sc FROM h)
- SELECT request_id, sc AS effort_score, CASE WHEN sc <= -1 THEN 'low' WHEN sc >= 2 THEN 'high' ELSE 'medium' END AS tier, sc <= -1 AND n_paths < 3 AND est < 16000 AS small_model_ok FROM e""")
+ SELECT request_id, heavy, sc AS effort_score, CASE WHEN sc <= -1 THEN 'low' WHEN sc >= 2 THEN 'high' ELSE 'medium' END AS tier, sc <= -1 AND n_paths < 3 AND est < 16000 AS small_model_ok FROM e""")
 def p14(spark, d):
-    n = F.col("request_id")
-    s = view(spark, d, "vm").groupBy("request_id").agg(F.count_if(F.col("kind") == "user").alias("user_turns"), (F.sum(text.approx_tokens(F.col("text"))) * 60).alias("est_in_tok"))
-    t = F.when(n % 4 == 0, "Refactor the cache and debug the race").when(n % 4 == 1, "fix typo").when(n % 4 == 2, "migrate the schema").otherwise("hello")
-    e = budget.effort(s.withColumn("n_paths", n % 5).withColumn("tool_chars", n % 3 * 30000).withColumn("last_user_text", t))
-    return e.select("request_id", "effort_score", "tier", "small_model_ok")
+    user, size = F.col("kind") == "user", F.length("text")
+    s = view(spark, d, "vm").groupBy("request_id").agg(
+        F.count_if(user).alias("user_turns"), (F.sum(text.approx_tokens(F.col("text"))) * 60).alias("est_in_tok"), F.count_if(size > 150).alias("n_paths"),
+        (F.sum(F.when(user, 0).otherwise(size)) * 40).alias("tool_chars"), F.max_by("text", F.when(user, F.col("idx"))).alias("last_user_text"),
+    )
+    return budget.effort(s, HEAVY_WORD, SLIGHT).select("request_id", "heavy", "effort_score", "tier", "small_model_ok")
 
 
 # ---- tools, files and search ------------------------------------------------------------------
@@ -471,11 +474,11 @@ def a26(spark, d):
     return dataset.fingerprint(split(spark, d), ["part", "body_sha", "target", "answer"])
 
 
-@query("l8_state_text", "SELECT request_id, idx, md5(CASE WHEN idx % 3 = 0 THEN right(text, 512) WHEN idx % 3 = 1 THEN 'read, edit' ELSE 'chat turn' END) AS state FROM vm")
+@query("l8_state_text", "SELECT request_id, idx, md5(CASE WHEN kind = 'user' THEN right(text, 512) WHEN contains(text, ' ') THEN array_to_string(string_split(text, ' ')[1:8], ', ') ELSE kind || ' turn' END) AS state FROM vm")
 def l8(spark, d):
-    n = F.col("idx") % 3
-    tools_ = F.when(n == 1, F.array(F.lit("read"), F.lit("edit"))).otherwise(F.array().cast("array<string>"))
-    return view(spark, d, "vm").select("request_id", "idx", F.md5(dataset.state_text(F.when(n == 0, F.col("text")), tools_, F.lit("chat"))).alias("state"))
+    words = F.split("text", " ")
+    named = F.when(F.size(words) > 1, words).otherwise(F.array().cast("array<string>"))
+    return view(spark, d, "vm").select("request_id", "idx", F.md5(dataset.state_text(F.when(F.col("kind") == "user", F.col("text")), named, F.col("kind"))).alias("state"))
 
 
 @query("s12_render_prompt", "SELECT request_id, idx, md5('state: ' || trim(text) || chr(10) || 'option: ' || kind) AS prompt FROM vm")
@@ -483,10 +486,12 @@ def s12(spark, d):
     return view(spark, d, "vm").select("request_id", "idx", F.md5(dataset.render_prompt(F.col("text"), F.array("kind"))).alias("prompt"))
 
 
-@query("s11_validate_split", "SELECT request_id, idx, CASE WHEN idx % 4 = 0 THEN 'missing state' WHEN idx % 4 = 1 THEN 'no options' ELSE 'unknown answer' END AS reasons FROM vm WHERE idx % 4 <= 2")
+@query("s11_validate_split", r"""WITH r AS (SELECT request_id, idx, length(text) < 60 AS a, len(regexp_extract_all(text, '\b[A-Z][a-z]{9,}')) = 0 AS b, length(text) % 3 = 2 AS c FROM vm)
+ SELECT request_id, idx, concat_ws(';', CASE WHEN a THEN 'missing state' END, CASE WHEN b THEN 'no options' END, CASE WHEN c THEN 'unknown answer' END) AS reasons FROM r WHERE a OR b OR c""")
 def s11(spark, d):
-    n = F.col("idx") % 4
-    rows = view(spark, d, "vm").select("request_id", "idx", F.when(n != 0, F.col("kind")).alias("state"), F.lit("q").alias("question"), F.lit("compact").alias("slot"), F.when(n == 1, F.array().cast("array<string>")).otherwise(F.array("kind")).alias("options"), F.when(n == 2, "maybe").otherwise("keep").alias("answer"))
+    size = F.length("text")
+    answer = F.when(size % 3 == 0, "keep").when(size % 3 == 1, "drop").otherwise(F.substring("text", 1, 9))
+    rows = view(spark, d, "vm").select("request_id", "idx", F.when(size >= 60, F.col("text")).alias("state"), F.col("role").alias("question"), F.col("kind").alias("slot"), F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{9,}"), F.lit(0)).alias("options"), answer.alias("answer"))
     return dataset.validate_split(rows).select("request_id", "idx", F.array_join("reasons", ";").alias("reasons"))
 
 
