@@ -19,20 +19,22 @@ def endings(path: Column) -> Column:
 def meet(left: DataFrame, right: DataFrame, on: list[str], left_path: str, right_path: str) -> DataFrame:
     """Rows of both sides that agree in the columns on (once in the result) and spell one file.
 
-    Two equi joins: the right path is one of the left's endings, or the left one of the right's
-    longer ones. Files that only share a base name never meet, however many there are.
+    One equi join: the right path is one of the left's endings (side 0), or the left path one of
+    the right's longer ones (side 1). Files that only share a base name never meet, however many
+    there are, and each side is read once.
     """
     kept = [c for c in right.columns if c not in on]
     r = right.select(*(F.col(c).alias(f"_on{i}") for i, c in enumerate(on)), *kept)
-    agree = lambda a, b: [a[c].eqNullSafe(b[f"_on{i}"]) for i, c in enumerate(on)]
-    drop = [f"_on{i}" for i in range(len(on))]
-    long = left.withColumn("_end", F.explode(endings(F.col(left_path))))
-    whole = r.withColumn("_whole", F.lower(right_path))
-    first = long.join(whole, [*agree(long, whole), long["_end"] == whole["_whole"]]).drop("_end", "_whole", *drop)
-    far = r.withColumn("_end", F.explode(endings(F.col(right_path)))).where(F.col("_end") != F.lower(right_path))
-    near = left.withColumn("_whole", F.lower(left_path))
-    second = near.join(far, [*agree(near, far), near["_whole"] == far["_end"]]).drop("_end", "_whole", *drop)
-    return first.unionByName(second)
+
+    def placed(rows: DataFrame, path: str, whole: int, name: str) -> DataFrame:
+        own = F.lower(path)
+        ends = F.transform(F.filter(endings(F.col(path)), lambda e: e != own) if whole == 0 else endings(F.col(path)), lambda e: F.struct(F.lit(1 - whole).alias("side"), e.alias("end")))
+        return rows.withColumn(name, F.explode(F.concat(ends, F.array(F.struct(F.lit(whole).alias("side"), own.alias("end")))))).where(F.col(f"{name}.end") != "")
+
+    long, far = placed(left, left_path, 1, "_end"), placed(r, right_path, 0, "_far")
+    agree = [long[c].eqNullSafe(far[f"_on{i}"]) for i, c in enumerate(on)]
+    met = long.join(far, [*agree, F.col("_end.side") == F.col("_far.side"), F.col("_end.end") == F.col("_far.end")])
+    return met.drop("_end", "_far", *(f"_on{i}" for i in range(len(on))))
 
 
 FOLDED = "path string, fetches long, tokens long"

@@ -74,8 +74,10 @@ def _joined(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> Da
 def _met(rows: DataFrame, brackets: DataFrame, by: list[str], small: bool) -> DataFrame:
     """Each row with the brackets of its group, one for each name."""
     keys = by[:-1]
-    if not keys:  # a row for each wanted rank
-        return rows.join(F.broadcast(brackets))
+    if not keys:  # one bracket for each wanted rank
+        kind = rows.schema["_v"].dataType
+        few = [F.struct(F.lit(b["name"]).alias("name"), F.lit(b["rank"]).cast("long").alias("rank"), F.lit(b["lo"]).cast(kind).alias("lo"), F.lit(b["hi"]).cast(kind).alias("hi"), *(F.lit(b[c]).cast("long").alias(c) for c in ("before", "here") if c in brackets.columns)) for b in brackets.collect()]
+        return rows.select("_v", F.explode(F.array(*few)).alias("b")).select("_v", "b.*") if few else rows.join(brackets.limit(0))
     return _joined(rows, F.broadcast(brackets) if small else brackets, keys)
 
 
