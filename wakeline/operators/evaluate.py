@@ -55,6 +55,7 @@ def arm_summary(arms: DataFrame, base: str = "observe", other: str = "enforce",
     With pass_base and pass_other (else pass stands for both) their difference has a 95 % interval (normal approximation for paired tasks).
     """
     own = {"pass_base", "pass_other"} <= set(arms.columns)
+    arms = arms.select(base, other, *(["pass_base", "pass_other"] if own else ["pass"])).persist()  # read once for the sums and once for each pass of the medians
     before, after = (F.col(c if own else "pass").cast("int") for c in ("pass_base", "pass_other"))
     ratio = F.try_divide((F.col(base) - F.col(other)).cast("double"), F.col(base))
     out = arms.agg(F.count("*").alias("n"), F.round(F.avg(base), 2).alias("mean_base"), F.round(F.avg(other), 2).alias("mean_other"), F.round(F.avg(ratio), 6).alias("mean_of_ratios"), F.round(F.try_divide((F.sum(base) - F.sum(other)).cast("double"), F.sum(base)), 6).alias("ratio_of_sums"), F.round(F.avg(after), 4).alias("pass_rate"), F.round(F.avg(after - before), 4).alias("pass_delta"), F.coalesce(F.stddev_samp(after - before) / F.sqrt(F.count("*")) * 1.96, F.lit(0.0)).alias("_half"))
