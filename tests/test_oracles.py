@@ -13,9 +13,8 @@ def test_matches_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, SMALL)) == duck_rows(duck().sql(SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_points(spark):
