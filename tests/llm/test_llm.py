@@ -535,8 +535,12 @@ def test_repeats(spark, block):
         a, b = sorted(rng.sample(range(151), 2))
         rows.append((100 + i, letters(rng.randrange(80)) + shared[a:b] + letters(rng.randrange(80))))
     rows += [(200, "ab" * 300), (201, "x" * 90 + "ab" * 100), (202, letters(70) * 3)]
-    got = repeats.cut_repeats(hard(spark, rows).repartition(4), 40, 16, block)
+    docs = hard(spark, rows).repartition(4)
+    got = repeats.cut_repeats(docs, 40, 16, block)
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got.collect()) == brute_repeats(rows, 40)
+    got = repeats.cut_repeats(docs, 60, 8, block, 25).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got) == brute_repeats(rows, 60)
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_passage"]) for r in got) == sorted(x[:3] for x in brute_repeats(rows, 25))
 
 
 def test_index_marks_what_brute_force_marks():
@@ -553,19 +557,30 @@ def test_index_marks_what_brute_force_marks():
             assert (m == own).all()
 
 
-def test_planted_passages_over_and_under_the_length(spark):
+@pytest.mark.parametrize("block", [20_000, 3])
+def test_planted_passages_over_and_under_the_length(spark, block):
     rng = random.Random(12)
     prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
     short, long, tiny = prose(60)[:330], prose(90)[:460], prose(25)[:140]
     rows = [(i, f"{prose(60)} {x} {prose(60)}") for x, ids in ((short, range(0, 30)), (long, range(30, 60)), (tiny, range(60, 90)), ("", range(90, 120))) for i in ids]
-    got = {r["doc_id"]: r for r in repeats.cut_repeats(hard(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in repeats.cut_repeats(hard(spark, rows), block=block).collect()}
     assert sorted((str(i), r["n_bytes"], r["n_removed"]) for i, r in got.items()) == [x[:3] for x in brute_repeats(rows, repeats.LENGTH)]
     assert all(len(long) <= got[i]["n_removed"] <= got[i]["n_passage"] for i in range(30, 60))
     assert all(got[i]["n_removed"] == got[i]["n_passage"] == 0 for i in range(60, 120))
-    some = dict(zip(((int(x[0])) for x in brute_repeats(rows, repeats.PASSAGE)), (x[2] for x in brute_repeats(rows, repeats.PASSAGE)), strict=True))
-    assert all(got[i]["n_passage"] <= some[i] for i in got)  # each is a true repeat
-    caught = sum(got[i]["n_passage"] >= repeats.PASSAGE for i in range(30))
-    assert len(short) > 315 and caught >= 28, (len(short), caught)
+    assert sorted((str(i), r["n_bytes"], r["n_passage"]) for i, r in got.items()) == [x[:3] for x in brute_repeats(rows, repeats.PASSAGE)]
+    assert all(got[i]["n_passage"] >= len(short) for i in range(30))
+
+
+def test_a_text_of_one_letter_has_few_segments(spark):
+    for unit in ("a", "abc", "line one is here\n", "x" * 300_000 + "y"):
+        text = unit * (1_000_000 // len(unit))
+        data = np.frombuffer(text.encode(), np.uint8)
+        row, start, windows, size, equal, *_ = repeats.segments(data, np.array([0, len(data)]))
+        assert len(row) < 500 * (1 + len(data) // 300_000) + len(data) // 1000 and (windows * equal).sum() == len(data) - repeats.PASSAGE + 1
+        assert (start[1:] == (start + windows * equal)[:-1]).all()
+    rows = [(1, "a" * 1_000_000), (2, "b" * 399), (3, "b" * 256), (4, "c" * 256), (5, "abc" * 1000)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["n_passage"]) for r in repeats.cut_repeats(hard(spark, rows)).collect()}
+    assert got == {1: (1_000_000, 1, 1_000_000), 2: (0, 0, 399), 3: (0, 0, 256), 4: (0, 0, 0), 5: (3000, 1, 3000)}
 
 
 def test_many_rows_of_one_doc_id(spark):

@@ -1,10 +1,14 @@
 """Removal of long repeated byte strings with run-compressed Burrows-Wheeler transforms.
 
-A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
+A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else. Repeats of
+``PASSAGE`` to LENGTH bytes, passages of some fifty words, are too short to be cut: ``n_passage``
+counts the bytes under any string of PASSAGE bytes that also starts anywhere else.
 
-1. Every window of LENGTH bytes has an anchor: the leftmost of its smallest K-byte strings by
+1. Every window of PASSAGE bytes has an anchor: the leftmost of its smallest K-byte strings by
    hash. Equal windows have equal anchors at equal offsets. The consecutive windows of one
-   anchor form a segment, so a text is cut where its content says, alike in every copy.
+   anchor form a segment, so a text is cut where its content says, alike in every copy. The body
+   of a segment are its windows, each grown to LENGTH bytes or to the text's end. Equal neighbours
+   (a run of one letter or phrase, but for its last LENGTH bytes) are one row with their number.
 2. Anchors that occur once over all texts (one map-side combined count) have no repeated window.
    Copies of one segment collapse into one entry with its multiplicity, as in a run: all of a
    segment with two copies is repeated, however many more there are.
@@ -12,26 +16,22 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
    over the block, with suffix positions sampled only at the run ends. The longest match of a
    position with its neighbour in suffix order shrinks by one with each step to the right inside
    a run, so the matches at the run ends give all of them: streaming over the sampled ends marks
-   exactly the positions whose matching statistic reaches LENGTH.
-4. An anchor with over ``block`` different segments is not held by one task: its windows are
-   counted by hash over all tasks instead.
+   exactly the positions whose matching statistic reaches PASSAGE or LENGTH. Only suffixes at a
+   segment's own windows are in the index, so no place of a text is there twice.
+4. An anchor with over ``block`` different segments is not held by one task: its windows of both
+   lengths are counted by hash over all tasks instead, which marks the same bytes.
 5. The marked spans go back to all copies, and are cut from the texts.
 
-The index of an anchor also shows matches of ``PASSAGE`` to LENGTH bytes around it: passages of
-some fifty words, too short to be cut. They are reported (``n_passage``), each a true repeat of
-at least PASSAGE bytes. Nothing of LENGTH bytes escapes, but of shorter ones only those whose anchor both
-texts share are seen: nearly all from some 320 bytes on, and none in texts under LENGTH bytes.
-
 Requests for bytes and the marked spans meet the texts in joins on doc_id and a hash of the text.
 Before each, a sketch of the wanted keys (a bit for each of ``sketches.BITS`` hash values, whatever the size
 of the corpus) lets the tasks that read the texts pass on only what may be wanted: texts without a
 repeated string aren't shuffled. A full sketch passes everything and changes no result.
 
 Anchors are told apart by 64-bit hashes of their strings, segments by 128 bits (their own and
-their anchor's); matches inside an index are compared byte by byte.
+their anchor's); matches inside an index are compared byte by byte, the windows of a counted anchor by 64-bit hashes.
 
 Defined cases: null texts are empty (0 bytes, hash of nothing); texts under LENGTH bytes
-hold no window and keep all; repeated rows are copies of each
+keep all, and those under PASSAGE bytes hold no window; repeated rows are copies of each
 other and lose everything from LENGTH bytes on; rows of one doc_id and different texts are
 different documents; matches never cross documents; a null doc_id is
 an id like any other; a very long text is scanned whole, in memory in proportion to it; an empty table gives an empty result; other columns are ignored.
@@ -52,7 +52,7 @@ from .sketches import in_sketch, sketch
 from .tables import read, settled
 from .workers import release
 
-LENGTH, K, PASSAGE = 400, 128, 256
+LENGTH, K, PASSAGE = 400, 64, 256
 BLOCK = 20_000  # different segments of one anchor in one index
 INDEX_BYTES = 3 << 20
 _BASE = B.U(0x9FB21C651E98DF25 | 1)
@@ -97,29 +97,32 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & B.U(0xFFFFFFFF)).astype(np.int64)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(row, start in row, windows, anchor hash, segment hash) of every segment."""
-    empty = np.zeros(0, np.int64)
-    if len(data) < length:
-        return empty, empty, empty, empty, empty
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K, passage: int = PASSAGE) -> tuple[np.ndarray, ...]:
+    """(row, start in row, windows, bytes of the body, equal neighbours, anchor hash, segment hash) of every segment."""
+    lens = np.maximum(np.diff(offsets) - passage + 1, 0)
+    if not lens.any():
+        return (np.zeros(0, np.int64),) * 7
     prefix = prefix_hash(data)
     at = np.arange(len(data) - k + 1)
     grams = B.mixed((prefix[k:] - prefix[:-k]) * _steps(_INVERSE, len(prefix))[: len(at)])
-    anchor = sliding_argmin(grams >> B.U(32), length - k + 1)
-    lens = np.maximum(np.diff(offsets) - length + 1, 0)
+    anchor = sliding_argmin(grams >> B.U(32), passage - k + 1)
     start = B.ragged(offsets[:-1], lens)
     row = np.repeat(np.arange(len(lens)), lens)
-    if not len(start):
-        return empty, empty, empty, empty, empty
     own = anchor[start]
     new = np.ones(len(start), bool)
     new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new)
     size = np.diff(np.concatenate([head, [len(start)]]))
-    begin = start[head]
+    begin, row, own = start[head], row[head], own[head]
+    end = np.minimum(begin + size - 1 + length, offsets[row + 1])
     with np.errstate(over="ignore"):
-        body = substring_hash(prefix, begin, begin + size - 1 + length) ^ B.mixed((own[head] - begin).astype(np.uint64) + B.U(1))
-    return row[head], begin - offsets[row[head]], size, grams[own[head]].view(np.int64), B.mixed(body).view(np.int64)
+        body = substring_hash(prefix, begin, end) ^ B.mixed((own - begin).astype(np.uint64) << B.U(32) | size.astype(np.uint64))
+    body, grams = B.mixed(body).view(np.int64), grams[own].view(np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (body[1:] != body[:-1]) | (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    equal = np.diff(np.concatenate([head, [len(row)]]))
+    return row[head], (begin - offsets[row])[head], size[head], (end - begin)[head], equal, grams[head], body[head]
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -165,10 +168,11 @@ def _compared(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return size
 
 
-def repeated_spans(bodies: list[bytes], length: int = LENGTH, groups: np.ndarray | None = None, least: int | None = None) -> tuple[list[list[int]], list[list[int]]]:
+def repeated_spans(bodies: list[bytes], length: int = LENGTH, groups: np.ndarray | None = None, least: int | None = None, windows: np.ndarray | None = None) -> tuple[list[list[int]], list[list[int]]]:
     """For each body the spans [from, to, ...] of strings of length bytes that start elsewhere in its group too, and those of least bytes.
 
-    Consecutive segments of a text overlap by less than length bytes, and lie in different groups.
+    With windows, the strings are those that start in the first so many bytes of each body: bodies of
+    one text overlap beyond these.
     """
     least = length if least is None else least
     lens = np.array([len(b) for b in bodies], np.int64)
@@ -181,6 +185,8 @@ def repeated_spans(bodies: list[bytes], length: int = LENGTH, groups: np.ndarray
     symbols[inside] = data.astype(np.uint16) + 1
     left = np.repeat(ends, lens + 1) - np.arange(n)
     order = suffix_order(symbols, left, int(lens.max()))
+    if windows is not None:
+        order = order[lens.repeat(lens + 1)[order] - left[order] < windows.repeat(lens + 1)[order]]
     if groups is not None:  # the suffixes of a group together, in order: an index for each group
         own = np.repeat(groups, lens + 1)[order]
         by_group = np.argsort(own, kind="stable")
@@ -226,7 +232,7 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
 
 
-def _scan(documents: DataFrame, length: int, k: int, wanted: np.ndarray | None = None) -> DataFrame:
+def _scan(documents: DataFrame, length: int, k: int, passage: int, wanted: np.ndarray | None = None) -> DataFrame:
     """The segments of all rows; with wanted (a sketch of anchors) those that may be in it."""
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
@@ -234,13 +240,15 @@ def _scan(documents: DataFrame, length: int, k: int, wanted: np.ndarray | None =
         release()
         for batch in batches:
             for lo, hi, data, offsets in B.slices(batch.column(2)):
-                row, start, size, anchor, segment = segments(data, offsets, length, k)
+                found = segments(data, offsets, length, k, passage)
                 if shared.value is not None:
-                    row, start, size, anchor, segment = (x[in_sketch(shared.value, anchor)] for x in (row, start, size, anchor, segment))
-                own = batch.slice(lo, hi - lo).select([0, 1]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(anchor), pa.array(segment)], ["doc_id", "mark", "start", "windows", "anchor", "segment"])
+                    may = in_sketch(shared.value, found[5])
+                    found = [x[may] for x in found]
+                own = batch.slice(lo, hi - lo).select([0, 1]).take(pa.array(found[0]))
+                places, hashes = (pa.array(x, pa.int32()) for x in found[1:5]), (pa.array(x) for x in found[5:])
+                yield pa.RecordBatch.from_arrays([*own.columns, *places, *hashes], ["doc_id", "mark", "start", "windows", "bytes", "equal", "anchor", "segment"])
 
-    return _rows(documents).mapInArrow(scan, "doc_id long, mark long, start int, windows int, anchor long, segment long")
+    return _rows(documents).mapInArrow(scan, "doc_id long, mark long, start int, windows int, bytes int, equal int, anchor long, segment long")
 
 
 def _row_sketch(rows: DataFrame) -> Broadcast:
@@ -269,19 +277,19 @@ def _by_row(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
     return rows.join(more, rows["doc_id"].eqNullSafe(more["_doc"]) & (rows["mark"] == more["_mark"]), how).drop("_doc", "_mark")
 
 
-def _bodies(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, segment, copies and the bytes of each wanted segment, from one row that has it."""
+def _bodies(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """anchor, segment, copies, windows and the bytes of each wanted segment, from one row that has it."""
     rows = _rows_in(documents, _row_sketch(wanted))
-    parts = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "anchor", "segment", "copies")).alias("parts"))
+    parts = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "bytes", "anchor", "segment", "copies", "windows")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 text, parts = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                body = [text[p["start"] : p["start"] + p["windows"] - 1 + length] for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in parts], pa.int64()) for c in ("anchor", "segment", "copies")] + [pa.array(body, pa.binary())], ["anchor", "segment", "copies", "body"])
+                body = [text[p["start"] : p["start"] + p["bytes"]] for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in parts], pa.int64()) for c in ("anchor", "segment", "copies", "windows")] + [pa.array(body, pa.binary())], ["anchor", "segment", "copies", "windows", "body"])
 
-    found = _by_row(rows, parts, "inner").select("text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, body binary")
+    found = _by_row(rows, parts, "inner").select("text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, windows long, body binary")
     found = settled(found)
     return found if found.count() == wanted.count() else settled(found.dropDuplicates(["anchor", "segment"]))  # repeated rows of one doc_id and text
 
@@ -292,7 +300,7 @@ def _indexed(bodies: DataFrame, length: int, passage: int) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(t: pa.Table) -> pa.RecordBatch:
             _, group = np.unique(t.column("anchor").to_numpy(), return_inverse=True)
-            found = repeated_spans(t.column("body").to_pylist(), length, group.astype(np.int32), passage)
+            found = repeated_spans(t.column("body").to_pylist(), length, group.astype(np.int32), passage, t.column("windows").to_numpy())
             return pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks(), t.column("segment").combine_chunks(), *(pa.array(x, pa.list_(pa.int32())) for x in found)], ["anchor", "segment", "spans", "passages"])
 
         held, size = [], 0
@@ -303,7 +311,7 @@ def _indexed(bodies: DataFrame, length: int, passage: int) -> DataFrame:
                     yield spans(pa.Table.from_batches(held).combine_chunks())
                     held, size = [], 0
                 held.append(batch.slice(a, b - a))
-                size += held[-1].column(3).nbytes
+                size += held[-1].column(4).nbytes
         if held:
             yield spans(pa.Table.from_batches(held).combine_chunks())
 
@@ -315,43 +323,47 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
-def _counted(bodies: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many segments, by counting windows over all tasks."""
+def _counted(bodies: DataFrame, length: int, passage: int) -> DataFrame:
+    """The same for anchors with very many segments, by counting windows of both lengths over all tasks."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                data = np.frombuffer(batch.column(3)[r].as_buffer(), np.uint8)
-                at = np.arange(len(data) - length + 1)
-                hashes = substring_hash(prefix_hash(data), at, at + length)
-                same = lambda i: pa.array(np.full(len(at), batch.column(i)[r].as_py()))
-                yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))], ["anchor", "segment", "at", "window"])
+                data = np.frombuffer(batch.column(4)[r].as_buffer(), np.uint8)
+                prefix = prefix_hash(data)
+                for size in {length, passage}:
+                    at = np.arange(min(batch.column(3)[r].as_py(), len(data) - size + 1))
+                    hashes = substring_hash(prefix, at, at + size)
+                    same = [pa.array(np.full(len(at), x)) for x in (batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), size)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))], ["anchor", "segment", "size", "at", "window"])
 
-    rows = bodies.mapInArrow(windows, "anchor long, segment long, at int, window long")
-    twice = rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = rows.join(twice, ["anchor", "window"]).groupBy("anchor", "segment").agg(F.collect_list(F.array(F.col("at"), F.col("at") + length)).alias("spans"))
-    return hits.select("anchor", "segment", F.flatten("spans").alias("spans"), F.array().cast("array<int>").alias("passages"))
+    rows = bodies.mapInArrow(windows, "anchor long, segment long, size long, at int, window long")
+    twice = rows.groupBy("anchor", "size", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    spans = lambda size: F.flatten(F.collect_list(F.when(F.col("size") == size, F.array(F.col("at"), F.col("at") + size))))
+    return rows.join(twice, ["anchor", "size", "window"]).groupBy("anchor", "segment").agg(spans(length).alias("spans"), spans(passage).alias("passages"))
 
 
 def repeated(documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK, passage: int = PASSAGE) -> DataFrame:
     """doc_id, mark, repeated byte spans and passages [from, to, ...], unmerged, of the rows that have any."""
-    counts = _scan(documents, length, k).groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1")
+    counts = _scan(documents, length, k, passage).groupBy("anchor").agg(F.sum("equal").alias("n"), F.min("segment").alias("x"), F.max("segment").alias("y")).where("n > 1")
     again = settled(counts.select("anchor", (F.col("x") != F.col("y")).alias("various")))
-    seen = settled(_scan(documents, length, k, sketch(F.col("anchor"), again)).join(again, "anchor"))
-    whole = F.array(F.col("start"), F.col("start") + F.col("windows") - 1 + length)
+    seen = settled(_scan(documents, length, k, passage, sketch(F.col("anchor"), again)).join(again, "anchor"))
     none = F.array().cast("array<int>")
-    plain = seen.where("not various").select("doc_id", "mark", whole.alias("spans"), none.alias("passages"))
+    whole = F.array(F.col("start"), F.col("start") + F.col("windows") * (F.col("equal") - 1) + F.col("bytes"))
+    long, short = F.when(F.col("bytes") >= length, whole).otherwise(none), F.when(F.col("bytes") < length, whole).otherwise(none)
+    plain = seen.where("not various").select("doc_id", "mark", long.alias("spans"), short.alias("passages"))
     various = seen.where("various")
-    one = various.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "start", "windows")).alias("r"))
-    bodies = _bodies(documents, settled(one.select("anchor", "segment", "copies", "r.*")), length)
+    one = various.groupBy("anchor", "segment").agg(F.sum("equal").alias("copies"), F.min(F.struct("doc_id", "mark", "start", "windows", "bytes")).alias("r"))
+    bodies = _bodies(documents, settled(one.select("anchor", "segment", "copies", "r.*")))
     large = settled(bodies.groupBy("anchor").count().where(F.col("count") > block).select("anchor"))
     found = _indexed(bodies.join(large, "anchor", "left_anti"), length, passage)
     if not large.isEmpty():
-        found = found.unionByName(_counted(bodies.join(large, "anchor"), length))
+        found = found.unionByName(_counted(bodies.join(large, "anchor"), length, passage))
     found = found.join(bodies.select("anchor", "segment", "copies"), ["anchor", "segment"], "full")
     found = settled(found.where("copies > 1 or size(spans) > 0 or size(passages) > 0"))
     shifted = lambda c: F.coalesce(F.transform(c, lambda x: x + F.col("start")), none)
-    spread = various.join(found, ["anchor", "segment"]).select("doc_id", "mark", F.when(F.col("copies") > 1, whole).otherwise(shifted("spans")).alias("spans"), shifted("passages").alias("passages"))
+    marked = lambda all_, c: F.when(F.col("copies") > 1, all_).otherwise(shifted(c)).alias(c)
+    spread = various.join(found, ["anchor", "segment"]).select("doc_id", "mark", marked(long, "spans"), marked(short, "passages"))
     # a set: repeated rows of one doc_id and text have the same spans
     return plain.unionByName(spread).groupBy("doc_id", "mark").agg(*(F.flatten(F.collect_set(c)).alias(c) for c in ("spans", "passages")))
 
@@ -399,7 +411,7 @@ def _remaining(doc_id: pa.Array, text: pa.Array, spans: pa.Array | None = None,
 
 
 def cut_repeats(documents: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans and n_passage (bytes in repeats, the short ones too) of each row."""
+    """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans and n_passage (bytes in repeats of PASSAGE bytes) of each row."""
     spans = settled(repeated(documents, length, k, block, min(passage, length)))
     known = _row_sketch(spans)
 
