@@ -472,12 +472,35 @@ def test_a_licence_in_many_documents_is_found(spark):
     assert {r["families"] for r in licenses.licenses(notices, licenses.fit(notices)).collect()} == {"MIT"}
 
 
+# Notices, and lines that are none, with their families.
+PROBES = [
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-SA 4.0.", ""), ("Licensed under CC BY-ND 4.0.", ""),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License, version 3.", "LGPL"),
+    ("Licensed under the GNU Affero General Public License version 3.", "AGPL-3.0"), ("This program is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("Licensed under the ISC License.", "ISC"), ("Eclipse Public License 2.0", "EPL-2.0"), ("BSD 2-Clause", "BSD-2-Clause"),
+    ("We do not release this under the MIT License.", ""), ("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("The MIT License (MIT)", "MIT"), ("License: GPLv3", "GPL-3.0"), ("MIT students like the public library", ""), ("The license fee is due in January 2004.", ""),
+]
+
+
+def test_near_relatives_and_denials(spark):
+    model = licenses.fit(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    rows = PROBES + [(text, family) for family, texts in licenses.NOTICES.items() for text in texts]
+    got = {r["doc_id"]: r["families"] for r in licenses.licenses(hard(spark, [(i, t) for i, (t, _) in enumerate(rows)]).select("doc_id", "text"), model).collect()}
+    assert {rows[i][0]: f for i, f in got.items()} == dict(rows)
+    for text, family in rows:
+        want = brute_licenses(text, model)
+        assert family in want if family else not want, text
+
+
 def brute_licenses(text, model):
     """Families of a text by the documented rules, in numpy: windows of lines of each paragraph, scored, compared with the notices."""
     weights = {g: np.array(w) for g, w in model.weights}
     longest, found = licenses.longest_notice(), set()
     notices = [(f, re.findall(licenses.WORD, t.lower())) for f, texts in licenses.NOTICES.items() for t in texts]
-    notices += [(f, [x for i, x in enumerate(w) if (i * 5 + drop) % 8 > 1]) for f, w in notices for drop in range(8)]
+    notices += [(f, [x for i, x in enumerate(w) if (i * 5 + drop) % 8 > 1]) for f, w in notices if len(w) > licenses.WHOLE for drop in range(8)]
     templates = [(f, t) for f, w in notices if (t := set(licenses.notice_grams(" ".join(w))) & set(weights))]
     for block in re.split(r"\n[^a-z0-9\n]*(?=\n)", (text or "").lower()):
         lines, wins = [w for x in block.split("\n") if (w := re.findall(licenses.WORD, x))], []
@@ -494,7 +517,9 @@ def brute_licenses(text, model):
                 p /= p.sum()
                 if p[:-1].max() >= model.threshold:
                     family = model.classes[int(p[:-1].argmax())]
-                    if max(len(t & hit) / len(t) for f, t in templates if f == family) >= licenses.CONFIRM:
+                    needs, bars = licenses.TELLS.get(family, ([], []))
+                    tells = (not needs or grams & set(needs)) and not grams & set(bars + licenses.DENIALS)
+                    if tells and max(len(t & hit) / len(t) for f, t in templates if f == family) >= licenses.CONFIRM:
                         wins.append((family, hit))
         found |= {f for f, _ in wins}
     return found
