@@ -125,32 +125,48 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     return row[head], (begin - offsets[row])[head], size[head], (end - begin)[head], equal, grams[head], body[head]
 
 
-def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """The order of all suffixes by prefix doubling up to depth; left: symbols before the next separator.
+def _matches(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many bytes from a and b on are equal by their hashes; at least low are, at most high are looked at."""
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        ok = substring_hash(prefix, a, a + mid) == substring_hash(prefix, b, b + mid)
+        low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+    return low
+
+
+def suffix_order(symbols: np.ndarray, left: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The suffixes at ``at`` (ascending) by group and then in order; left: symbols before the next separator.
 
-    Separators are 0 and differ by their place.
+    Suffixes with the same first 7 symbols are parted by their match with the first of them: those
+    below it by rising length of the match, those above by falling length, then by the symbol after it;
+    what is still equal is parted again. Separators are 0 and differ by their place.
     """
-    n = len(symbols)
-    key, wide = np.zeros(n, np.uint64), np.concatenate([symbols, np.zeros(7, symbols.dtype)]).astype(np.uint64)
+    key, wide = np.zeros(len(at), np.uint64), np.concatenate([symbols, np.zeros(7, symbols.dtype)])
     for j in range(7):
-        key = key << B.U(9) | np.where(left >= j, wide[j : j + n], B.U(0))
-    order = np.argsort(key, kind="stable")
-    ended = left < 7
-    h = 7
+        key = key << B.U(9) | np.where(left[at] >= j, wide[at + j], 0).astype(np.uint64)
+    order = np.lexsort((key, group[at]))
+    out, key = at[order], key[order]
+    own = group[out]
+    new = np.ones(len(out), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    todo = np.arange(len(out))
     while True:
-        new = np.ones(n, bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | ended[order][1:] | ended[order][:-1]
-        group = np.cumsum(new)
-        rank = np.empty(n, np.int64)
-        rank[order] = group
-        if group[-1] == n or h >= depth:
-            return order
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:]
-        key = (rank.astype(np.uint64) << B.U(32)) | np.where(left >= h, after, 0).astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        h *= 2
-        ended = left < h
+        cell = np.cumsum(new) - 1
+        more = np.bincount(cell)[cell] > 1 if len(cell) else new
+        todo, new = todo[more], new[more]
+        if not len(todo):
+            return out
+        x, cell = out[todo], np.cumsum(new) - 1
+        first = x[np.flatnonzero(new)][cell]
+        size = _matches(prefix, x, first, np.zeros(len(x), np.int64), np.minimum(left[x], left[first]))
+        mine, other = symbols[x + size].astype(np.int64), symbols[first + size].astype(np.int64)
+        side = np.sign(mine - other)  # 0: equal up to the separator
+        rank = np.where(side < 0, size, np.where(side > 0, (1 << 28) - 1 - size, 0))
+        key = cell << 40 | (side + 1) << 38 | rank << 10 | np.where(side == 0, 0, mine)
+        by = np.argsort(key, kind="stable")
+        out[todo], key, side = x[by], key[by], side[by]
+        new = np.ones(len(todo), bool)
+        new[1:] = (key[1:] != key[:-1]) | (side[1:] == 0)
 
 
 def _compared(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -184,28 +200,20 @@ def repeated_spans(bodies: list[bytes], length: int = LENGTH, groups: np.ndarray
     data = np.frombuffer(b"".join(bodies), np.uint8)
     symbols[inside] = data.astype(np.uint16) + 1
     left = np.repeat(ends, lens + 1) - np.arange(n)
-    order = suffix_order(symbols, left, int(lens.max()))
-    if windows is not None:
-        order = order[lens.repeat(lens + 1)[order] - left[order] < windows.repeat(lens + 1)[order]]
-    if groups is not None:  # the suffixes of a group together, in order: an index for each group
-        own = np.repeat(groups, lens + 1)[order]
-        by_group = np.argsort(own, kind="stable")
-        order, own = order[by_group], own[by_group]
+    body = np.repeat(np.arange(len(bodies)), lens + 1)
+    own = (np.zeros(len(bodies), np.int64) if groups is None else groups)[body]
+    prefix = prefix_hash(np.where(inside, symbols - 1, 0).astype(np.uint8))
+    at = inside if windows is None else inside & (lens[body] - left < windows[body])
+    order = suffix_order(symbols, left, prefix, np.flatnonzero(at), own)
     before = symbols[order - 1]  # the transform; the symbol before the first is the last separator
     edge = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0))  # run ends: these suffixes are sampled
-    if groups is not None:
-        edge = edge[own[edge] == own[edge + 1]]
+    edge = edge[own[order[edge]] == own[order[edge + 1]]]
     a, b = order[edge], order[edge + 1]
     long = (left[a] >= least) & (left[b] >= least)
     a, b = a[long], b[long]
-    prefix = prefix_hash(np.where(inside, symbols - 1, 0).astype(np.uint8))
     same = substring_hash(prefix, a, a + least) == substring_hash(prefix, b, b + least)
     a, b = a[same], b[same]
-    low, high = np.full(len(a), least), np.minimum(left[a], left[b])
-    while (low < high).any():  # the length of each sampled match
-        mid = (low + high + 1) // 2
-        ok = substring_hash(prefix, a, a + mid) == substring_hash(prefix, b, b + mid)
-        low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+    low = _matches(prefix, a, b, np.full(len(a), least), np.minimum(left[a], left[b]))  # the length of each sampled match
     low = _compared(symbols, a, b, low)
     base = np.concatenate([[0], ends[:-1] + 1])
 
