@@ -344,6 +344,13 @@ def test_results_hold_under_any_partitioning(spark):
         assert spark_rows(f(rows.repartition(1))) == spark_rows(f(rows.repartition(7)))
 
 
+@pytest.mark.parametrize(("tail", "want"), [(3, "def"), (4, "\ndef"), (5, "\n\ndef"), (6, "c\n\ndef"), (8, "abc\n\ndef")])
+def test_the_tail_of_a_request_counts_the_line_breaks(spark, tail, want):
+    rows = [(1, 0, "user", "abc"), (1, 1, "assistant", None), (1, 2, "user", "def")]
+    messages = spark.createDataFrame(rows, "request_id long, idx int, kind string, text string")
+    assert report.request_features(messages, tail).first()["tail"] == want
+
+
 def test_no_window_over_all_rows(spark):
     """Windows without a key see summaries only: the rows below them come from an aggregate."""
     from tests.comparing import SMALL

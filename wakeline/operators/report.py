@@ -189,9 +189,9 @@ def request_features(messages: DataFrame, tail_chars: int = 4000, tools: DataFra
     chars = F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "chars"))))
     of_system = F.sum(F.when(F.col("kind") == "system", F.col("chars")).otherwise(0))
     shape = kinds.groupBy("request_id").agg(F.sum("c").alias("msg_count"), F.sum(F.when(F.col("kind") == "user", F.col("c")).otherwise(0)).alias("user_turns"), F.sum(est).alias("est_in_tok"), chars.alias("cat_chars"), of_system.alias("sys_chars"))
-    # only the last messages, up to the one that reaches the tail's length
+    # only the last messages, up to the one that reaches the tail's length; a message whose followers leave one character gives the line break before them
     after = F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).over(Window.partitionBy("request_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1))
-    last = messages.select("request_id", "idx", "text", F.coalesce(after, F.lit(0)).alias("_after")).where(F.col("_after") < tail_chars)
+    last = messages.select("request_id", "idx", "text", F.coalesce(after, F.lit(0)).alias("_after")).where(F.col("_after") <= tail_chars)
     joined = last.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("all_text"))
     out = shape.join(joined, "request_id").withColumn("tail", F.expr(f"right(all_text, {tail_chars})")).drop("all_text")
     if tools is not None:
