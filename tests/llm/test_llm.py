@@ -472,6 +472,15 @@ def test_a_licence_in_many_documents_is_found(spark):
     assert {r["families"] for r in licenses.licenses(notices, licenses.fit(notices)).collect()} == {"MIT"}
 
 
+def test_the_licence_model_counts_every_line(spark):
+    common = ["binary", "conditions", "following", "forms", "met", "modification", "charge", "obtaining", "person"]
+    rare = ["permitted", "provided", "redistribution", "associated", "documentation"]
+    marked = [w for w in common for _ in range(21)] + [w for w in rare for _ in range(19)]  # one in a hundred of 2,000 lines is 20
+    rows = [(i, f"zephyr {marked[i] if i < len(marked) else 'quartz'} number{i}") for i in range(2000)]
+    features = {g for g, _ in licenses.fit(hard(spark, rows).select("doc_id", "text")).weights}
+    assert not features & set(common) and features >= set(rare)
+
+
 # Notices, and lines that are none, with their families.
 PROBES = [
     ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-SA 4.0.", ""), ("Licensed under CC BY-ND 4.0.", ""),

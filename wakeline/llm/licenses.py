@@ -1,12 +1,12 @@
 """Licence scans with a trained paragraph classifier, with DataFrame functions only.
 
 A multinomial logistic regression over sparse word 1- and 2-grams is trained on paragraphs made
-from public licence notices and on a bounded sample of the corpus' own paragraphs as the
-class ``unknown``. Paragraphs of the sample that hold ``CONFIRM`` of a notice are no background: they
+from public licence notices and on all lines of the corpus' own paragraphs as the
+class ``unknown``. Paragraphs that hold ``CONFIRM`` of a notice are no background: they
 neither teach ``unknown`` nor make a notice's words common, so a licence is found however many
 documents have it. Features are the notices' words that are rare in the background (of each notice
 at least the ``ANCHORS`` rarest, whatever their rate) and the pairs that hold such a word. A family is
-predicted if its probability passes a threshold calibrated on held-out corpus paragraphs, and
+predicted if its probability passes a threshold calibrated on the held-out half of all lines, and
 confirmed if the paragraph holds enough of a notice of that family, the words that tell the family
 from its neighbours (``TELLS``: a CC BY notice is not CC BY-NC, Lesser and Affero are not the GNU
 GPL), and no denial (``DENIALS``: "not released under").
@@ -19,7 +19,7 @@ texts and paragraphs with such a word go on, and this loses nothing. Scoring exp
 Defined cases: null and empty texts have no paragraph; rows are told apart by doc_id (null or not) and text, and repeated rows each get the same answer; a
 paragraph is a run of lines with a word, and holds what any of its windows of neighbouring lines
 holds, so a hard-wrapped notice counts like one on a line; several families in a text are all named, in order; the corpus
-sample may be empty (then only the intercept keeps unknown apart, and the threshold is 0.5); a very long text is
+may be empty (then only the intercept keeps unknown apart, and the threshold is 0.5); a very long text is
 read whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -75,7 +75,8 @@ TELLS = {
 }
 DENIALS = ["not release", "not released", "not license", "not licensed", "not under", "not covered", "never released", "never licensed", "longer released", "longer licensed", "longer under"]
 WHOLE = 4  # notices of so few words are only known whole
-SAMPLE_DOCS, MAX_FEATURES, RARE, ANCHORS = 800, 2000, 0.01, 2
+MAX_FEATURES, RARE, ANCHORS = 2000, 0.01, 2
+LINE_WEIGHT, FULL_LINES = 0.2, 10_000  # a line's weight beside a notice's; more lines share the weight of so many
 CONFIRM = 0.6
 WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -169,41 +170,77 @@ def _features(counts: dict[str, int], most: float) -> list[str]:
     return sorted(sorted(found, key=lambda g: (" " in g, counts.get(g, 0), g))[:MAX_FEATURES])
 
 
-def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
-    """Trains on the notices and about sample_docs documents drawn by a hash of doc_id and text."""
+def _background(documents: DataFrame, rare: list[str] | None = None) -> DataFrame:
+    """half and grams (the notices' grams among a line's) of each line with a word, of paragraphs that hold no notice.
+
+    Words of no notice become empty, so that what follows sees a notice's words only. With rare, of lines with one of these words only.
+    """
+    every = [notice_grams(text) for texts in NOTICES.values() for text in texts]
+    known = {g for own in every for g in own}
+    singles = sorted(g for g in known if " " not in g)
+    pairs = sorted(known - set(singles))
+    blocks = documents.select(F.coalesce("text", F.lit("")).alias("text"))
+    if rare is not None:
+        some = F.array(*map(F.lit, rare))
+        blocks = blocks.where(F.arrays_overlap(words_of(F.col("text")), some))
+    blocks = blocks_of(blocks, []).select("block")
+    blocks = blocks if rare is None else blocks.where(F.arrays_overlap(words_of(F.col("block")), some))
+
+    def own_grams(words: Column) -> Column:
+        both = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.when((w != "") & (F.get(words, i) != ""), F.concat_ws(" ", F.get(words, i), w)))
+        return F.array_distinct(F.concat(F.filter(words, lambda w: w != ""), F.filter(both, lambda g: g.isin(pairs))))
+
+    # explodes of one element, so that words and grams are made once, not again for each use
+    once = lambda rows, column, name: rows.withColumn(name, F.explode(F.array(column)))
+    split = F.transform(F.split("block", "\n"), lambda x: F.transform(words_of(x), lambda w: F.when(w.isin(singles), w).otherwise("")))
+    rows = once(blocks, F.filter(split, lambda w: F.size(w) > 0), "lines").select("block", "lines").where(F.size("lines") > 0)
+    rows = once(once(rows, F.flatten("lines"), "words"), own_grams(F.col("words")), "all")
+    notices = F.array(*(F.array(*map(F.lit, own)) for own in every))  # one constant, however many notices
+    held = F.array_max(F.transform(notices, lambda own: F.size(F.array_intersect(own, "all")) / F.size(own)))
+    # the words themselves, not the line, tell the halves apart
+    halves = F.transform(F.filter(F.transform(F.split("block", "\n"), words_of), lambda w: F.size(w) > 0), lambda w: F.pmod(F.xxhash64(w), F.lit(2)))
+    rows = rows.where((F.size("all") == 0) | (held < CONFIRM)).select(F.explode(F.arrays_zip("lines", halves.alias("half"))).alias("l"))
+    return once(rows.select("l.half", "l.lines"), own_grams(F.col("lines")), "grams").select("half", "grams")
+
+
+def fit(documents: DataFrame) -> LicenseModel:
+    """Trains on the notices and on every line of the documents.
+
+    One pass counts the lines and the notices' grams in them. The next groups the lines with a
+    feature by their features, a row with a count for each set; the rest differ in nothing but number.
+    The lines of one half train, those of the other set the threshold.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
     spark = documents.sparkSession
-    total = max(documents.count(), 1)
-    drawn = documents.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(min(1.0, sample_docs / total) * (1 << 20)))
-    every = [notice_grams(text) for texts in NOTICES.values() for text in texts]
-    notices = F.array(*(F.array(*map(F.lit, own)) for own in every))  # one constant, however many notices
-    held = F.array_max(F.transform(notices, lambda own: F.size(F.array_intersect("grams", own)) / F.size(own)))
-    # explodes of one element, so that words and grams are made once, not again for each word and notice
-    background = blocks_of(drawn, ["doc_id"]).select("block", F.explode(F.array(words_of(F.col("block")))).alias("words"))
-    background = background.select("block", F.explode(F.array(ngrams(F.col("words")))).alias("grams")).where(held < CONFIRM)
-    lines = background.select(F.explode(F.split("block", "\n")).alias("line")).select(words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
-    negatives = settled(lines.select(ngrams(F.col("words")).alias("grams"), F.pmod(F.xxhash64("words"), F.lit(2)).alias("half")).coalesce(8))
-    notices = _training(spark).coalesce(1).select("family", ngrams(F.col("words")).alias("grams"))
-    ours = F.array(*(F.lit(g) for g in sorted({g for own in every for g in own})))
-    counts = negatives.select(F.explode(F.array_intersect("grams", ours)).alias("g")).groupBy("g").count()  # as many rows as the notices have grams
-    vocabulary = _features({r["g"]: r["count"] for r in counts.collect()}, RARE * negatives.count())
+    line = F.concat(F.lit("\n"), F.col("half").cast("string"))  # no gram, so each line counts once for its half
+    counted = _background(documents).select(F.explode(F.concat("grams", F.array(line))).alias("g")).groupBy("g").count()  # as many rows as the notices have grams
+    counts = {r["g"]: r["count"] for r in counted.collect()}
+    n_train, n_other = counts.pop("\n0", 0), counts.pop("\n1", 0)
+    vocabulary = _features(counts, RARE * (n_train + n_other))
+    inside = F.array_sort(F.filter("grams", lambda g: g.isin(vocabulary)))
+    lines = _background(documents, [g for g in vocabulary if " " not in g]).select("half", F.explode(F.array(inside)).alias("grams")).where(F.size("grams") > 0)
+    sets = settled(lines.groupBy("half", "grams").agg(F.count("*").alias("c")))
+    without = n_train - (sets.where("half = 0").agg(F.sum("c")).first()[0] or 0)
+    notices = _training(spark).coalesce(1).select("family", ngrams(F.col("words")).alias("grams"), F.lit(1.0).alias("weight"))
     classes = [*NOTICES, "unknown"]
     index = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
     vector = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
     vector.setBinary(True)
-    weight = F.when(F.col("family") == "unknown", F.lit(0.2)).otherwise(F.lit(1.0))
-    rows = notices.unionByName(negatives.where("half = 0").select(F.lit("unknown").alias("family"), "grams"))
-    rows = rows.unionByName(spark.createDataFrame([("unknown", [])] * 20, "family string, grams array<string>").coalesce(1)).coalesce(2)
-    data = vector.transform(rows.withColumn("label", index).withColumn("weight", weight)).cache()
+    each = LINE_WEIGHT * min(1.0, FULL_LINES / max(n_train, 1))
+    rows = notices.unionByName(sets.where("half = 0").select(F.lit("unknown").alias("family"), "grams", (F.col("c") * each).alias("weight")))
+    rows = rows.unionByName(spark.createDataFrame([("unknown", [], LINE_WEIGHT * 20 + without * each)], "family string, grams array<string>, weight double").coalesce(1))
+    data = vector.transform(rows.withColumn("label", index)).cache()
     model = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40, weightCol="weight").fit(data)
     data.unpersist()
     coefficients, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray().copy()
     intercepts[-1] = max(intercepts)  # a paragraph without features has no licence
     found = LicenseModel(classes, intercepts.tolist(), [(g, coefficients[:, i].tolist()) for i, g in enumerate(vocabulary)], 0.5)
-    kept = negatives.where("half = 1").select(F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("place"), "grams")
-    worst = _probabilities(kept, found, ["doc_id"]).select(F.array_max(F.slice("p", 1, len(classes) - 1)).alias("x")).agg(F.percentile("x", 0.999)).first()[0]
+    kept = sets.where("half = 1").select(F.col("c").alias("doc_id"), F.xxhash64("grams").alias("place"), "grams")
+    best = _probabilities(kept, found, ["doc_id"]).select(F.round(F.array_max(F.slice("p", 1, len(classes) - 1)), 4).alias("x"), "doc_id")
+    # at most 10,001 different values meet in one task
+    worst = best.groupBy("x").agg(F.sum("doc_id").alias("c")).agg(F.percentile("x", 0.999, F.col("c"))).first()[0]
     found.threshold = min(0.95, max(0.5, worst or 0.0))
     return found
 
