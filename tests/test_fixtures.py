@@ -123,6 +123,28 @@ def test_search_tiers_and_boosts(spark):
     assert got == {"a/parser.md": 5.0, "b/other.md": 5.0, "c/z.md": 8.0}
 
 
+def test_a_plan_reads_the_searched_files_once(spark):
+    files = spark.createDataFrame([("a/parser.md", "# Lexer notes"), ("b/other.md", "parser inside"), ("c/z.md", "none")], "path string, src string")
+    queries = spark.createDataFrame([(1, "parser lexer", "z.md"), (1, "parser lexer", "z.md")], "item_id long, text string, mention string")
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counting(text):
+        looked.add(1)
+        return text
+
+    seen = files.select("path", counting.asNondeterministic()("src").alias("src"))
+    edges = spark.createDataFrame([], "src string, dst string")
+    ranked = index.search(queries, files.select("path"), index.heading_symbols(seen), index.hint_terms(files), edges).select(F.col("item_id").alias("request_id"), "path", "score")
+    messages = spark.createDataFrame([(1, 0, "user", 5, 0.5, True)], "request_id long, idx int, kind string, tokens long, score double, tail boolean")
+    named = spark.createDataFrame([(1, 0, "z.md")], "request_id long, idx int, path string")
+    tools = spark.createDataFrame([(1, "read", 3, 0.5, True, True)], "request_id long, name string, tokens long, score double, core boolean, keep boolean")
+    pool = budget.candidate_pool(messages, named, tools, ranked, named.select("request_id", "path"))
+    plan = budget.joint_plan(pool, F.lit(50)).collect()
+    assert {(r["kind"], r["id"], round(r["value"], 4)) for r in plan} == {("message", "000000", 1.0), ("tool", "read", 0.5), ("file", "a/parser.md", 0.8333), ("file", "b/other.md", 0.5), ("file", "c/z.md", 0.25)}
+    assert looked.value == files.count()
+
+
 def test_imports(spark):
     files = spark.createDataFrame([("app/util.py",), ("web/index.js",)], "path string")
     specs = spark.createDataFrame([("app/main.py", "app.util"), ("app/main.py", "os"), ("x.js", "./web")], "src string, spec string")

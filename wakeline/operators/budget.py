@@ -90,7 +90,8 @@ def candidate_pool(messages: DataFrame, named: DataFrame, tools: DataFrame, rank
     files that the task names, unless the tail names them already, which makes a file worth a
     quarter. Paths meet under request and their endings.
     """
-    files = ranked.select("request_id", "path", F.least(F.lit(1.0), F.col("score") / 6.0).alias("value"))
+    # a search's few best files for each request, asked four times
+    files = ranked.select("request_id", "path", F.least(F.lit(1.0), F.col("score") / 6.0).alias("value")).persist()
     task = task_paths.select("request_id", "path").distinct()
     seen = named.select("request_id", "idx", "path").distinct()
 
@@ -122,7 +123,7 @@ def joint_plan(pool: DataFrame, budget: Column) -> DataFrame:
     items = pool.withColumn("id", F.col("id").cast("string")).withColumn("ratio", ratio)
     rows = items.withColumns({"_tokens": F.col("tokens").cast("long"), "_budget": budget.cast("long"), "_always": F.col("protected")})
     order = [F.col("protected").desc(), F.col("ratio").desc(), F.col("value").desc(), F.col("kind").asc(), F.col("id").asc()]
-    taken = greedy(rows, "request_id", order, "keep")
+    taken = greedy(rows, "request_id", order, "keep").persist()  # both for the sums and for the items
     won = F.col("keep") & ~F.col("protected")
     last = F.struct("ratio", (-F.col("value")).alias("value"), "kind", "id")
     spent = lambda which: F.coalesce(F.sum(F.when(which, F.col("tokens"))), F.lit(0)).cast("long")

@@ -59,17 +59,27 @@ def contained_in(needles: DataFrame, paths: DataFrame, needle: str) -> DataFrame
     return left.join(right, "_g").where(F.contains(F.col("path"), F.col(needle))).drop("_g")
 
 
-def term_scores(queries: DataFrame, symbols: DataFrame, hints: DataFrame, paths: DataFrame) -> DataFrame:
-    """(item_id, path, score): each query term earns the best tier of symbol, path and hint that it has in a file."""
-    terms = queries.select("item_id", F.explode("terms").alias("term"))
-    known = terms.select("term").distinct()
+def term_tiers(known: DataFrame, symbols: DataFrame, hints: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, term, w): the tiers of symbol, path and hint that the known terms have in a file, in one row for each tier."""
     # what no query asks for is left where the files are read, while the asked terms are few
-    asked = (lambda rows: rows.join(F.broadcast(known), "term", "left_semi")) if known.count() <= FEW_TERMS else (lambda rows: rows)
-    hits = terms.join(asked(symbols), "term").withColumn("w", F.lit(SYMBOL))
-    hits = hits.unionByName(contained_in(terms, paths, "term").withColumn("w", F.lit(PATH)))
-    hits = hits.unionByName(terms.join(asked(hints), "term").withColumn("w", F.lit(HINT)))
-    best = hits.groupBy("item_id", "path", "term").agg(F.max("w").alias("w"))
-    return best.groupBy("item_id", "path").agg(F.sum("w").alias("score"))
+    asked = (lambda rows: rows.join(F.broadcast(known), "term", "left_semi")) if known.count() <= FEW_TERMS else (lambda rows: rows.join(known, "term", "left_semi"))
+    tiers = asked(symbols).select("path", "term", F.lit(SYMBOL).alias("w"))
+    tiers = tiers.unionByName(contained_in(known, paths, "term").select("path", "term", F.lit(PATH).alias("w")))
+    return tiers.unionByName(asked(hints).select("path", "term", F.lit(HINT).alias("w")))
+
+
+def best_files(queries: DataFrame, tiers: DataFrame, more: DataFrame) -> DataFrame:
+    """(item_id, path, score): each term of a query (item_id, terms) earns the best tier it has in a file, and more (item_id, path, score) is added.
+
+    The rows meet by file, before they meet the queries: what files and queries have in common, the
+    larger by far, is added up where the file is. What is more of a pair comes as a term that only its query has.
+    """
+    own = F.concat(F.lit(" "), F.coalesce(F.col("item_id").cast("string"), F.lit("")))  # a term has no space
+    terms = queries.select("item_id", F.explode("terms").alias("term")).unionByName(queries.select("item_id", own.alias("term"))).distinct()
+    rows = tiers.unionByName(more.groupBy("item_id", "path").agg(F.sum("score").alias("w")).select("path", own.alias("term"), "w"))
+    best = rows.repartition("path").groupBy("path", "term").agg(F.max("w").alias("w"))
+    wanted = F.broadcast(terms) if terms.count() <= FEW_TERMS else terms
+    return best.join(wanted, "term").groupBy("item_id", "path").agg(F.round(F.sum("w"), 2).alias("score"))
 
 
 def mention_scores(mentions: DataFrame, paths: DataFrame) -> DataFrame:
@@ -85,10 +95,10 @@ def graph_scores(mentioned: DataFrame, edges: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, paths: DataFrame, symbols: DataFrame, hints: DataFrame, edges: DataFrame, k: int = 12) -> DataFrame:
     """The k best files of each query (item_id, text, mention), by score and then path."""
-    terms = queries.select("item_id", lexical_tokens(F.col("text"), 80).alias("terms"))
+    terms = queries.select("item_id", lexical_tokens(F.col("text"), 80).alias("terms")).persist()  # few next to the files, and asked several times
     mentioned = mention_scores(queries.select("item_id", "mention"), paths).persist()  # both as scores and as where the graph starts
-    parts = term_scores(terms, symbols, hints, paths).unionByName(mentioned).unionByName(graph_scores(mentioned.select("item_id", "path"), edges))
-    total = parts.groupBy("item_id", "path").agg(F.round(F.sum("score"), 2).alias("score")).where("score > 0")
+    tiers = term_tiers(terms.select(F.explode("terms").alias("term")).distinct(), symbols, hints, paths)
+    total = best_files(terms, tiers, mentioned.unionByName(graph_scores(mentioned.select("item_id", "path"), edges))).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "path"))
     return total.withColumn("rank", rank).where(F.col("rank") <= k)
 
