@@ -145,6 +145,13 @@ def test_a_plan_reads_the_searched_files_once(spark):
     assert looked.value == files.count()
 
 
+def test_arms_are_paired_without_a_pivot(spark):
+    rows = [(1, "a", None), (1, "a", 5), (1, "b", 6), (2, "a", 7), (3, "a", 1), (3, "b", 2), (3, "c", 9)]
+    paired = evaluate.paired_arms(spark.createDataFrame(rows, "task long, arm string, value long").coalesce(1), ["a", "b"])
+    assert sorted(map(tuple, paired.collect())) == [(1, 5, 6), (3, 1, 2)]
+    assert "pivot" not in paired._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_imports(spark):
     files = spark.createDataFrame([("app/util.py",), ("web/index.js",)], "path string")
     specs = spark.createDataFrame([("app/main.py", "app.util"), ("app/main.py", "os"), ("x.js", "./web")], "src string, spec string")

@@ -45,7 +45,8 @@ def survival(items: DataFrame) -> DataFrame:
 
 def paired_arms(rows: DataFrame, arms: list[str]) -> DataFrame:
     """rows (task, arm, value) as one row for each task that has all arms."""
-    wide = rows.groupBy("task").pivot("arm", arms).agg(F.first("value"))
+    # a number for each arm, so that a task's rows become one where they are read; a pivot keeps a row for each arm until they are sorted
+    wide = rows.groupBy("task").agg(*(F.first(F.when(F.col("arm") == arm, F.col("value")), ignorenulls=True).alias(arm) for arm in arms))
     return wide.dropna(subset=arms)
 
 
