@@ -6,8 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tests.comparing import SMALL
 from wakeline.functions import cost, text
 from wakeline.operators import budget, dataset, evaluate, index, labels, paths, report
+from wakeline.plans import queries_budget
 from wakeline.sources import bodies, logs
 from wakeline.streaming import jobs
 
@@ -152,6 +154,19 @@ def test_arms_are_paired_without_a_pivot(spark):
     assert "pivot" not in paired._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_a_tool_plan_searches_once(spark, monkeypatch):
+    looked, search = spark.sparkContext.accumulator(0), queries_budget.searched
+
+    @F.udf("string")
+    def counting(text):
+        looked.add(1)
+        return text
+
+    monkeypatch.setattr(queries_budget, "searched", lambda spark, d, k=12: search(spark, d, k).withColumn("path", counting.asNondeterministic()("path")))
+    assert queries_budget.k8t(spark, SMALL).count() > 0
+    assert looked.value == search(spark, SMALL, 10).count()
+
+
 def test_imports(spark):
     files = spark.createDataFrame([("app/util.py",), ("web/index.js",)], "path string")
     specs = spark.createDataFrame([("app/main.py", "app.util"), ("app/main.py", "os"), ("x.js", "./web")], "src string, spec string")

@@ -1,10 +1,11 @@
-"""Reading inputs and cutting lineage."""
+"""Reading inputs; how lineage is cut is in ``lineage``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import settled, shared_dir  # noqa: F401
 from ..shipping import ship
 
 
@@ -25,34 +26,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where all run on it (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    import tempfile
-
-    made = tempfile.mkdtemp(prefix="wakeline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate rows, in whatever store it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its rows stored in the shared folder, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, Column], list[Column]]:
     """df with its columns numbered, so that names of an operator's own clash with none; the column of each old name; what restores the names."""
     numbered = df.toDF(*(f"in_{i}" for i in range(len(df.columns))))

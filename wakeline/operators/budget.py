@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import settled
 from .paths import meet
 
 TAIL, TARGET_FRACTION, MIN_BUDGET = 4, 0.45, 1500
@@ -90,8 +91,8 @@ def candidate_pool(messages: DataFrame, named: DataFrame, tools: DataFrame, rank
     files that the task names, unless the tail names them already, which makes a file worth a
     quarter. Paths meet under request and their endings.
     """
-    # a search's few best files for each request, asked four times
-    files = ranked.select("request_id", "path", F.least(F.lit(1.0), F.col("score") / 6.0).alias("value")).persist()
+    # a search's few best files for each request, asked four times; in a plan of this size Spark doesn't find them again if they are only persisted
+    files = settled(ranked.select("request_id", "path", F.least(F.lit(1.0), F.col("score") / 6.0).alias("value")))
     task = task_paths.select("request_id", "path").distinct()
     seen = named.select("request_id", "idx", "path").distinct()
 
@@ -110,7 +111,8 @@ def candidate_pool(messages: DataFrame, named: DataFrame, tools: DataFrame, rank
     flag = lambda right, name: met(files, right).select("request_id", "path").distinct().withColumn(name, F.lit(True))
     both = files.join(flag(task, "_named"), ["request_id", "path"], "left").join(flag(tail, "_in"), ["request_id", "path"], "left")
     inside = F.coalesce("_in", F.lit(False))
-    return pool.unionByName(both.select("request_id", F.lit("file").alias("kind"), F.col("path").alias("id"), T.approx_tokens(F.concat(F.lit("- "), "path")).alias("tokens"), (F.col("value") * F.when(inside, IN_TAIL).otherwise(1.0)).alias("value"), (F.coalesce("_named", F.lit(False)) & ~inside).alias("protected"), *none))
+    pool = pool.unionByName(both.select("request_id", F.lit("file").alias("kind"), F.col("path").alias("id"), T.approx_tokens(F.concat(F.lit("- "), "path")).alias("tokens"), (F.col("value") * F.when(inside, IN_TAIL).otherwise(1.0)).alias("value"), (F.coalesce("_named", F.lit(False)) & ~inside).alias("protected"), *none))
+    return settled(pool)  # short rows, whose tools cost a scan of all texts; a booking asks for them three times
 
 
 def joint_plan(pool: DataFrame, budget: Column) -> DataFrame:
@@ -123,7 +125,7 @@ def joint_plan(pool: DataFrame, budget: Column) -> DataFrame:
     items = pool.withColumn("id", F.col("id").cast("string")).withColumn("ratio", ratio)
     rows = items.withColumns({"_tokens": F.col("tokens").cast("long"), "_budget": budget.cast("long"), "_always": F.col("protected")})
     order = [F.col("protected").desc(), F.col("ratio").desc(), F.col("value").desc(), F.col("kind").asc(), F.col("id").asc()]
-    taken = greedy(rows, "request_id", order, "keep").persist()  # both for the sums and for the items
+    taken = settled(greedy(rows, "request_id", order, "keep"))  # both for the sums and for the items
     won = F.col("keep") & ~F.col("protected")
     last = F.struct("ratio", (-F.col("value")).alias("value"), "kind", "id")
     spent = lambda which: F.coalesce(F.sum(F.when(which, F.col("tokens"))), F.lit(0)).cast("long")
