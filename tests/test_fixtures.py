@@ -154,6 +154,13 @@ def test_arms_are_paired_without_a_pivot(spark):
     assert "pivot" not in paired._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_hint_terms_are_the_first_in_order_and_never_null(spark):
+    files = spark.createDataFrame([("a/zoo.md", "Delta alpha ALPHA beta"), (None, "gamma beta")], "path string, src string")
+    got = sorted(tuple(r) for r in index.hint_terms(files, most=2).where("path is not null").collect())
+    assert got == [("a/zoo.md", "alpha"), ("a/zoo.md", "beta")]
+    assert sorted(r["term"] for r in index.hint_terms(files).where("path is null").collect()) == ["beta", "gamma"]
+
+
 def test_a_tool_plan_searches_once(spark, monkeypatch):
     looked, search = spark.sparkContext.accumulator(0), queries_budget.searched
 

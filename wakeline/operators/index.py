@@ -28,11 +28,11 @@ def heading_symbols(files: DataFrame) -> DataFrame:
 def hint_terms(files: DataFrame, symbols: DataFrame | None = None, most: int = MAX_HINTS) -> DataFrame:
     """(path, term): distinct words of four letters and more, of text, base name and symbols; the first ones in order."""
     word = F.transform(F.regexp_extract_all(F.coalesce("src", F.lit("")), F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower)
-    rows = files.withColumn("_w", F.concat(F.array_distinct(word), F.array(base_name(F.col("path")))))
+    rows = files.withColumn("_w", F.concat(F.array_distinct(word), F.array_compact(F.array(base_name(F.col("path"))))))
     if symbols is not None:
         own = symbols.groupBy("path").agg(F.collect_set("term").alias("_s"))
         rows = rows.join(own, "path", "left").withColumn("_w", F.concat("_w", F.coalesce("_s", F.array().cast("array<string>"))))
-    return rows.select("path", F.explode(F.slice(F.array_sort(F.array_distinct("_w")), 1, most)).alias("term"))
+    return rows.select("path", F.explode(F.slice(F.sort_array(F.array_distinct("_w")), 1, most)).alias("term"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
