@@ -263,6 +263,56 @@ def test_jaccard_ignores_the_case_of_ascii_letters(spark):
     assert [c for i, _, c in got if i in "1234None"] == ["1"] * 5 and ("5", 1, "5") in got
 
 
+def test_first_shingles_in_the_order_of_frequency():
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**64, 40, np.uint64)
+    order = count_vectors.Order(common, level := rng.integers(2, 5, 40).astype(np.int8))
+    rows = [np.unique(np.concatenate([rng.integers(0, 2**64, k, np.uint64), rng.choice(common, c, False)])) for k, c in ((0, 0), (9, 0), (0, 7), (30, 40), (5, 30), (0, 0), (200, 3), (0, 1))]
+    first = np.cumsum([0, *map(len, rows)])
+    size = count_vectors.prefix_size(np.diff(first))
+    of = dict(zip(common.tolist(), level.tolist(), strict=True))
+    want = [v for r, k in zip(rows, size, strict=True) for v in sorted(r.tolist(), key=lambda v: (of.get(v, 0), v))[:k]]
+    assert order.first(np.concatenate(rows), first, size).tolist() == want
+    plain = count_vectors.Order(common[:0], level[:0]).first(np.concatenate(rows), first, size).tolist()
+    assert plain == [v for r, k in zip(rows, size, strict=True) for v in r.tolist()[:k]]
+
+
+def test_a_passage_of_most_texts_is_no_key_of_them_all(spark, monkeypatch):
+    passage = [f"common{j}" for j in range(40)]
+    rows = [(i, " ".join([f"own{i}_{j}" for j in range(40)] + passage)) for i in range(640)]
+    rows += [(700 + i, " ".join(passage + [f"end{i}_{j}" for j in range(i % 6)])) for i in range(12)]  # linked by frequent shingles only
+    most, keyed = [], count_vectors.keyed
+
+    def counted(*args):
+        out = keyed(*args)
+        most.append(max(r["count"] for r in out.groupBy("key").count().collect()))
+        return out
+
+    monkeypatch.setattr(count_vectors, "keyed", counted)
+    got = count_vectors.jaccard_components(hard(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows)
+    assert most[0] <= 12
+
+
+def test_bound_of_long_sets_is_that_of_each_pair():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**64, n, np.uint64) for n in (300, 5000, 5600, 9000, 9400, 70_000)]
+    sets = [np.unique(np.concatenate([x[: int(len(x) * keep)], rng.integers(0, 2**64, int(len(x) * (1 - keep)), np.uint64)])) for x in base for keep in (1, 0.95, 0.88, 0.8, 0)]
+    n = np.array([len(x) for x in sets])
+    raw = count_vectors.points(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    held = count_vectors.Points(pa.array(raw, pa.binary()))
+    i, j = np.nonzero((5 * n[:, None] >= 4 * n) & (5 * n >= 4 * n[:, None]))
+
+    def passes(a, b):
+        if min(len(raw[a]), len(raw[b])) == count_vectors.GROUPS:
+            return True
+        x, y = (count_vectors.folded(np.frombuffer(raw[k], np.uint8), min(len(raw[a]), len(raw[b]))).astype(np.int64) for k in (a, b))
+        return 9 * (np.minimum(x, y).sum() + min(n[a] - x.sum(), n[b] - y.sum())) >= 4 * (n[a] + n[b])
+
+    want = [bool(passes(a, b)) for a, b in zip(i, j, strict=True)]
+    assert count_vectors.finer(held, n, i, j).tolist() == want == count_vectors.finer(held, np.concatenate([n, n]), i, j, held).tolist() and not all(want)
+
+
 def test_jaccard_of_nothing(spark):
     assert count_vectors.jaccard_components(empty(spark)).count() == 0
     assert [tuple(r) for r in count_vectors.jaccard_components(hard(spark, [(1, None), (2, None)])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]

@@ -6,8 +6,10 @@ intersection is at least 4 times the sum of their sizes (a similarity of 0.8).
 1. Each document gets the size and a 128-bit hash of its set; equal sets become one class, so
    copies cost one row. A class has the counts of its shingles over ``GROUPS`` hash groups: a
    point whose coordinate minima, summed over two points, bound their overlap from above.
-2. Linked sets share one of their size - ceil(0.8 size) + 1 smallest shingle hashes. Classes meet
-   under these keys.
+2. Linked sets share one of their first size - ceil(0.8 size) + 1 shingles in any one order of all
+   shingles. Classes meet under these keys. The order is by hash, but shingles that many texts of a
+   draw have come last, by how many: a line of every hundredth text is a key of few classes, not of
+   all that have it.
 3. Every class is first compared with the smallest class under each of its keys. This joins
    large groups of near copies in linear work, wherever their rows are.
 4. Under keys that still hold several components (a key of over ``block`` classes split in blocks
@@ -48,6 +50,8 @@ PAIRS = 16_000  # of points compared at once: 4 MB for each of their copies
 LED = 1024  # pairs of one id that meet in one task
 BROADCAST_ROWS = 250_000  # of a few numbers: about 30 MB
 MAX_STEPS = 12
+DRAWN, SEEN = 64, 4  # one of so many texts is drawn; a shingle in so many of them is frequent
+FREQUENT = 250_000  # shingles that are told apart as frequent: 3 MB
 CLASSES_A_TASK = 20_000  # of the small tables of pairs and links
 
 
@@ -104,10 +108,11 @@ def folded(point: np.ndarray, size: int) -> np.ndarray:
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Summed coordinate minima of the pairs a[i], b[j], PAIRS at a time."""
+    """Summed coordinate minima of the pairs a[i], b[j], as many at a time as PAIRS points have bytes."""
     out = np.empty(len(i), np.int64)
-    for k in range(0, len(i), PAIRS):
-        out[k : k + PAIRS] = np.minimum(a[i[k : k + PAIRS]], b[j[k : k + PAIRS]]).sum(1, dtype=np.uint32)
+    step = max(1, PAIRS * GROUPS // max(1, a.shape[1] * a.itemsize))
+    for k in range(0, len(i), step):
+        out[k : k + step] = np.minimum(a[i[k : k + step]], b[j[k : k + step]]).sum(1, dtype=np.uint32)
     return out
 
 
@@ -130,8 +135,22 @@ class Points:
                     part[r] = folded(point, GROUPS).clip(max=255)
                 base.append(part)
         self.base = np.concatenate(base) if base else np.zeros((0, GROUPS), np.uint8)
-        self.long = np.zeros(len(self.base), bool)
-        self.long[list(self.own)] = True
+        self.size = np.full(len(self.base), GROUPS)
+        self.size[list(self.own)] = [len(x) for x in self.own.values()]
+        self.long = self.size > GROUPS
+        self._over: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def over(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All points of at least size groups over so many, their sums, and the place of each point in them."""
+        if size not in self._over:
+            has = np.flatnonzero(self.size >= size)
+            place = np.zeros(len(self.base), np.int64)
+            place[has] = np.arange(len(has))
+            rows = np.empty((len(has), size), np.uint16)
+            for k, r in enumerate(has.tolist()):
+                rows[k] = folded(self.own[r], size).clip(max=65_535)
+            self._over[size] = rows, rows.sum(1, dtype=np.int64), place
+        return self._over[size]
 
 
 def finer(points: Points, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, other: Points | None = None) -> np.ndarray:
@@ -141,12 +160,14 @@ def finer(points: Points, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, other
     """
     second, shift = (points, 0) if other is None else (other, len(points.base))
     ok = np.ones(len(i), bool)
-    for k in np.flatnonzero(points.long[i] & second.long[j]).tolist():
-        x, y = points.own[int(i[k])], second.own[int(j[k])]
-        size = min(len(x), len(y))
-        a, b, n, m = folded(x, size), folded(y, size), int(sizes[i[k]]), int(sizes[shift + j[k]])
-        hidden = min(n - int(a.sum(dtype=np.int64)), m - int(b.sum(dtype=np.int64)))
-        ok[k] = 9 * (int(np.minimum(a, b).sum(dtype=np.int64)) + hidden) >= 4 * (n + m)
+    both = np.flatnonzero(points.long[i] & second.long[j])
+    groups = np.minimum(points.size[i[both]], second.size[j[both]])
+    for size in np.unique(groups).tolist():
+        (x, shown, at), (y, seen, to) = points.over(size), second.over(size)
+        k = both[groups == size]
+        n, m, a, b = sizes[i[k]], sizes[shift + j[k]], at[i[k]], to[j[k]]
+        hidden = np.minimum(n - shown[a], m - seen[b])
+        ok[k] = 9 * (overlaps(x, y, a, b) + hidden) >= 4 * (n + m)
     return ok
 
 
@@ -159,14 +180,67 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - -(-4 * n // 5) + 1, 0)
 
 
+class Order:
+    """An order of all shingles: frequent ones last, by level, the others and those of one level by hash."""
+
+    def __init__(self, frequent: np.ndarray, level: np.ndarray):
+        order = np.argsort(frequent)
+        self.frequent, self.level = frequent[order], level[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._slot(frequent)] = True
+
+    @staticmethod
+    def _slot(value: np.ndarray) -> np.ndarray:
+        return (value >> B.U(44)).astype(np.int64)
+
+    def first(self, value: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first size shingles of each row; those of a row are distinct and ascend."""
+        at = np.flatnonzero(self.maybe[self._slot(value)])
+        place = np.minimum(np.searchsorted(self.frequent, value[at]), max(len(self.frequent) - 1, 0))
+        known = self.frequent[place] == value[at] if len(at) else np.zeros(0, bool)
+        at, level = at[known], self.level[place[known]]
+        if not len(at):
+            return value[B.ragged(first[:-1], size)]
+        plain = np.ones(len(value), bool)
+        plain[at] = False
+        row = np.searchsorted(first, at, "right") - 1
+        late = np.bincount(row, minlength=len(size))
+        taken = np.minimum(size, np.diff(first) - late)
+        begin, rest = np.cumsum(size) - size, size - taken
+        out = np.empty(size.sum(), np.uint64)
+        own = np.cumsum(np.diff(first) - late) - (np.diff(first) - late)
+        out[B.ragged(begin, taken)] = value[plain][B.ragged(own, taken)]
+        order = np.lexsort((value[at], level, row))
+        out[B.ragged(begin + taken, rest)] = value[at][order][B.ragged(np.cumsum(late) - late, rest)]
+        return out
+
+
+def order_of(documents: DataFrame) -> Order:
+    """The order of shingles, from how many of the drawn texts have them; only the way depends on the draw, not the result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for _, _, data, offsets in B.slices(batch.column(0)):
+                value, n = np.unique(distinct_shingles(data, offsets)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    text = F.col("text").cast("string")
+    drawn = documents.select(text.alias("text"), F.xxhash64(text).alias("key")).where(F.pmod("key", F.lit(DRAWN)) == 0).dropDuplicates(["key"])
+    seen = drawn.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    got = seen.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    return Order(got.column("key").to_numpy().view(np.uint64), np.log2(got.column("n").to_numpy()).astype(np.int8))
+
+
 def row_key() -> Column:
     """With doc_id, the identity of a text."""
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def signatures(documents: DataFrame, full: bool) -> DataFrame:
-    """doc_id, n, lo and hi (the hash of the set); with full also row_key, the prefix keys and the point."""
-    schema = "doc_id long, n long, lo long, hi long" + ", row_key long, keys array<long>, point binary" * full
+def signatures(documents: DataFrame, order: Order) -> DataFrame:
+    """doc_id, n, lo and hi (the hash of the set), row_key, the prefix keys and the point."""
+    schema = "doc_id long, n long, lo long, hi long, row_key long, keys array<long>, point binary"
+    shared = documents.sparkSession.sparkContext.broadcast(order)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -175,14 +249,12 @@ def signatures(documents: DataFrame, full: bool) -> DataFrame:
                 value, first = distinct_shingles(data, offsets)
                 n = np.diff(first)
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x) for x in set_marks(value, first))]
-                if full:
-                    size = prefix_size(n)
-                    keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(value[B.ragged(first[:-1], size)].view(np.int64)))
-                    cols += [batch.column(2).slice(lo, hi - lo), keys, pa.array(points(value, first), pa.binary())]
+                size = prefix_size(n)
+                keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(shared.value.first(value, first, size).view(np.int64)))
+                cols += [batch.column(2).slice(lo, hi - lo), keys, pa.array(points(value, first), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
-    more = [row_key().alias("row_key")] if full else []
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(sign, schema)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key")).mapInArrow(sign, schema)
 
 
 class RTree:
@@ -452,10 +524,13 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("c") > block, pair).otherwise(F.col("key"))).drop("_own", "_other", "c")
 
 
-def class_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """n, lo, hi, doc_id and row_key (of the class's first row), id and component of each class of equal sets."""
+def class_components(signed: DataFrame, documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """n, lo, hi, doc_id and row_key (of the class's first row), id and component of each class of equal sets.
+
+    signed has the signatures of documents, with keys and points.
+    """
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
-    classes = signatures(documents, True).where("n > 0").groupBy("n", "lo", "hi").agg(least, F.first("keys").alias("keys"), F.first("point").alias("point"))
+    classes = signed.where("n > 0").groupBy("n", "lo", "hi").agg(least, F.first("keys").alias("keys"), F.first("point").alias("point"))
     classes = settled(classes.select("n", "lo", "hi", "m.doc_id", "m.row_key", "keys", "point").withColumn("id", F.monotonically_increasing_id()))
     shared = settled(keyed(classes, min(block, STAR)))
     stars = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -498,10 +573,11 @@ def class_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
-    own = class_components(documents, block)
+    signed = settled(signatures(documents, order_of(documents)))
+    own = class_components(signed, documents, block)
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = own.join(least, "component").select("n", "lo", "hi", "component_id")
-    out = signatures(documents, False).join(member, ["n", "lo", "hi"], "left")
+    out = signed.select("doc_id", "n", "lo", "hi").join(member, ["n", "lo", "hi"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -512,7 +588,8 @@ def one_of_each(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     The caller's columns stay as they are, whatever their names.
     """
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")
-    first = settled(class_components(documents, block).groupBy("component").agg(least).select(F.col("m.doc_id").alias("_id"), F.col("m.row_key").alias("_row"), F.lit(True).alias("_first")))
+    signed = signatures(documents, order_of(documents))
+    first = settled(class_components(signed, documents, block).groupBy("component").agg(least).select(F.col("m.doc_id").alias("_id"), F.col("m.row_key").alias("_row"), F.lit(True).alias("_first")))
     numbered, own, names = set_apart(documents)
     text, doc_id = own["text"].cast("string"), own["doc_id"].cast("long")
     blank = ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]"))
